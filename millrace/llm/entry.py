@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .linededup import dedup_lines
 from .mixing import mix
 
 SQL: dict[str, str] = {}
@@ -45,5 +46,28 @@ from (select *, unnest(range(0, n)) as copy from counts)
 """
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
+SQL["op10_line_dedup"] = r"""
+with lines as (
+  select doc_id, i, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents)),
+often as (
+  select key, max(doc_id) as keeper from lines where length(key) >= 20
+  group by key having count(distinct doc_id) >= 3),
+marked as (
+  select l.*, o.key is not null and l.doc_id <> o.keeper as gone from lines l left join often o using (key))
+select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
