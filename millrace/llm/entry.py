@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .linededup import dedup_lines
+from .minhash import near_duplicates
 from .mixing import mix
 
 SQL: dict[str, str] = {}
@@ -69,5 +70,35 @@ from marked group by doc_id
 """
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+SQL["op2_minhash"] = r"""
+with recursive words as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+shingles as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []::varchar[] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+pairs as (
+  select a.doc_id as a, b.doc_id as b, count(*) as shared
+  from shingles a join shingles b using (s) where a.doc_id < b.doc_id group by all),
+links as (
+  select a, b from pairs join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * shared >= 85 * (x.n + y.n - shared)),
+reach as (
+  select doc_id as id, doc_id as seen from documents
+  union
+  select r.id, e.b from reach r join (select a, b from links union all select b, a from links) e on e.a = r.seen)
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(seen) as component_id, d.doc_id = min(seen) as kept
+from documents d join reach r on r.id = d.doc_id left join sizes using (doc_id)
+group by d.doc_id, n
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
