@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import find_passages
 from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
@@ -100,5 +101,37 @@ group by d.doc_id, n
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_passages(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+SQL["op7_decontamination"] = r"""
+with masks as (select * from (values (0, [0, 1, 2, 3]), (1, [0, 1, 3, 4]), (2, [0, 2, 3, 4]), (3, [0, 1, 2, 4])) t(mask, offs)),
+docs as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as h
+  from documents),
+items as (
+  select item_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as b
+  from benchmark),
+dw as (
+  select doc_id, i, mask, array_to_string(list_transform(offs, lambda o: h[i + o + 1]), ' ') as k
+  from (select doc_id, h, unnest(range(0, len(h))) as i from docs) w, masks where i + offs[4] < len(h)),
+bw as (
+  select item_id, j, mask, array_to_string(list_transform(offs, lambda o: b[j + o + 1]), ' ') as k
+  from (select item_id, b, unnest(range(0, len(b))) as j from items) w, masks where j + offs[4] < len(b) and len(b) >= 5),
+hits as (select distinct doc_id, item_id, i - j as d from dw join bw using (mask, k)),
+scored as (
+  select doc_id, item_id, d, len(b) as n_item,
+         len(list_filter(range(0, len(b)), lambda j: d + j >= 0 and d + j < len(h) and h[(d + j + 1)::int] = b[(j + 1)::int])) as n_equal
+  from hits join docs using (doc_id) join items using (item_id))
+select doc_id, item_id, n_item::bigint as n_item, n_equal::bigint as n_equal, d::bigint as at from scored
+where n_equal * 100 >= n_item * 80
+qualify row_number() over (partition by doc_id, item_id order by n_equal desc, d) = 1
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
