@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from . import langid
+from .common import remainder, table
 from .decontam import find_passages
 from .linededup import dedup_lines
 from .minhash import near_duplicates
@@ -133,5 +135,12 @@ qualify row_number() over (partition by doc_id, item_id order by n_equal desc, d
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
