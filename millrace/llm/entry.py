@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, quality
+from . import langid, licenses, quality, secret_scan
 from .common import remainder, table
 from .decontam import find_passages
 from .linededup import dedup_lines
@@ -156,5 +156,18 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_license_scan"] = licenses.oracle()
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.scan_secrets(docs, secret_scan.fit(docs)).withColumn("base", F.filter("secrets", lambda s: s["known"]))
+
+    def joined(c):
+        return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
