@@ -82,6 +82,25 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def groups(batches, names: tuple[str, ...]):
+    """Runs of rows with equal values in names of a sorted stream of Arrow batches, as tables."""
+    import pyarrow as pa
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        if not t.num_rows:
+            continue
+        held = np.stack([t.column(k).to_numpy() for k in names])
+        cuts = np.flatnonzero((held[:, 1:] != held[:, :-1]).any(axis=0)) + 1
+        for x, y in zip(np.append(0, cuts[:-1]), cuts, strict=True) if len(cuts) else ():
+            yield t.slice(x, y - x)
+        rest = t.slice(cuts[-1]) if len(cuts) else t
+    if rest is not None:
+        yield rest
+
+
 # --- vectorised words of UTF-8 text ---------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import langid, licenses, quality, secret_scan
 from .common import remainder, table
 from .decontam import find_passages
+from .embed import near_vectors
 from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
@@ -169,5 +170,9 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secret_scan.KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("secrets").alias("spans"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
