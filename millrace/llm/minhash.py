@@ -5,13 +5,16 @@
    bin borrows from the bin that a fixed random order names first (optimal densification).
 2. Documents with equal sets form a class; only its smallest doc_id, the representative,
    goes on. Its signature is cut into 25 bands of 5 bins, each band naming a bucket.
-3. In a bucket, members are linked to one centre, not with each other. Every such edge is
-   confirmed on the full sets. Confirmed edges give components.
-4. Buckets whose members are still in several components get further rounds: another centre
-   each, or, once the pairs left across components are few against the buckets' rows, all
-   of those. So any two members of a bucket end up in one component or with a refuted pair.
-
-A pair of similarity 0.85 shares none of 25 buckets with probability 4e-7.
+3. In a bucket, members are linked to one centre, not with each other: the member that meets
+   most others in its buckets. Each member keeps its best centre. Such an edge is confirmed
+   on the full sets; confirmed edges give components.
+4. Where a bucket's members are still in several components, pairs across components are
+   compared in blocks of rows, by bottom-512 sketches that are exact for sets of up to 512
+   shingles. No pair becomes a row but those that the sketches can't refute; these are
+   confirmed on the full sets. So a star loses no link between members of a bucket.
+
+A pair of similarity 0.85 shares none of 25 buckets with probability 4e-7. A sketch of a
+larger set refutes a pair only five standard deviations below the threshold.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, drop_shared, mix64, word_hashes, write_shared
+from .common import blocks, groups, mix64, word_hashes, write_shared
 from .components import connected_components
 
 WORDS = 5
 PERCENT = 85
 BINS = 128
 BANDS, ROWS = 25, 5
-#: Pairs across components are all tested at once when they are at most so many for each
-#: row of a bucket; until then, each round adds one centre to each bucket.
-FINISH_FACTOR = 4
+SKETCH = 512
+#: Rows of a bucket that are compared with as many others in one group.
+BLOCK = 512
+#: Ids of documents whose sets are wanted are broadcast up to so many (some 32 MB); beyond, joined.
+MAX_BROADCAST_IDS = 1_000_000
 
 _rng = np.random.default_rng(20240229)
 _ODD = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,8 +103,15 @@ def _signatures(batches):
 
 
 def _sets(batches):
+    """The whole set, and the bottom-k sketch: the upper 32 bits of its least hashes."""
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1))], pa.binary())], ["id", "shingles"])
+        full, short, keys = [], [], []
+        for s in shingle_sets(batch.column(1)):
+            full.append(s.tobytes())
+            short.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
+            keys.append(bucket_keys(s).tobytes() if len(s) else b"")
+        made = [batch.column(0), *(pa.array(x, pa.binary()) for x in (full, short, keys))]
+        yield pa.RecordBatch.from_arrays(made, ["id", "shingles", "sketch", "bands"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -135,20 +147,81 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _left(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of buckets whose members are in several components: key, id, n, comp, held (rows of
-    that component in the bucket)."""
+    """Rows of buckets whose members are in several components: key, band, id, n, comp, blocks."""
     named = buckets.join(components, buckets["id"] == components["cid"], "left")
-    named = named.select("key", buckets["id"].alias("id"), "n", F.coalesce("comp", buckets["id"]).alias("comp"))
-    per = named.groupBy("key", "comp").agg(F.count("*").alias("held"))
-    mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.sum("held").alias("rows")).filter("comps > 1")
-    return named.join(mixed.select("key", "rows"), "key").join(per, ["key", "comp"])
+    named = named.select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp"))
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
+    mixed = mixed.filter("lo < hi").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    return named.join(mixed, "key")
+
+
+def _refute(group, percent: int) -> list[tuple[int, int]]:
+    """Of two blocks of one bucket's rows: the pairs across components that sketches can't refute."""
+    i, j, own = (group.column(k)[0].as_py() for k in ("i", "j", "band"))
+    ids, comp, block, n = (group.column(k).to_numpy() for k in ("id", "comp", "block", "n"))
+    bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(len(ids), BANDS)
+    parts = [np.frombuffer(x, np.uint32) for x in group.column("sketch").to_pylist()]
+    sizes = np.array([len(x) for x in parts])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    flat = np.concatenate(parts)
+    places = last = mark = None
+    found = []
+    for x in range(len(ids)):
+        # each pair once: from the first block's row to the second's, in the first bucket that both share
+        if block[x] != i:
+            continue
+        other = (block == j) & (comp != comp[x])
+        if i == j:
+            other &= ids > ids[x]
+        other &= np.minimum(n, n[x]) * 100 >= np.maximum(n, n[x]) * percent
+        if not other.any():
+            continue
+        other &= (bands == bands[x]).argmax(axis=1) == own
+        if not other.any():
+            continue
+        if places is None:
+            values, places = np.unique(flat, return_inverse=True)
+            mark = np.zeros(len(values), bool)
+            last = np.where(n > SKETCH, np.array([p[-1] for p in parts]), np.uint32(0xFFFFFFFF))
+        mine = places[starts[x] : starts[x] + sizes[x]]
+        mark[mine] = True
+        both = np.add.reduceat(mark[places].astype(np.int32), starts)
+        mark[mine] = False
+        theirs = np.add.reduceat((flat <= last[x]).astype(np.int32), starts)
+        ours = np.searchsorted(parts[x], last, side="right")
+        seen = np.maximum(ours + theirs - both, 1)
+        level = percent / 100
+        slack = np.where(np.maximum(n, n[x]) <= SKETCH, 0, 5 * np.sqrt(level * (1 - level) / seen)) + 1e-9
+        found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in np.flatnonzero(other & (both / seen >= level - slack))]
+    return found
+
+
+def _open_pairs(percent: int):
+    def run(batches):
+        found = []
+        for group in groups(batches, ("key", "i", "j")):
+            found += _refute(group, percent)
+            if len(found) > 10_000:
+                yield _pairs(found)
+                found = []
+        yield _pairs(found)
+
+    return run
+
+
+def _pairs(found) -> pa.RecordBatch:
+    f = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy())], ["a", "b"])
 
 
-def _across(left: DataFrame, percent: int) -> DataFrame:
-    one = left.select("key", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    two = left.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-    fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("a") < F.col("b"))
-    return one.join(two, "key").filter((F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs to confirm, each bucket's rows dealt in blocks; a group has two blocks at most."""
+    rows = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", "band", "id", "n", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    rows = rows.join(sets.select("id", "sketch", "bands"), "id")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    return rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
@@ -165,47 +238,27 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     valid = signed.filter("n > 0 and doc_id is not null")
     classes = write_shared(valid.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     first = valid.join(classes.withColumnRenamed("rep", "doc_id"), ["s1", "s2", "doc_id"], "left_semi")
-    rows = first.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
-    centres = rows.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).filter("centre < last")
-    buckets = write_shared(rows.join(centres.select("key", "centre"), "key"), "buckets")
-    wanted = buckets.select("id").distinct()
-    found = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInArrow(_sets, "id long, shingles binary")
+    rows = first.select(F.col("doc_id").alias("id"), "n", F.posexplode("bands").alias("band", "key"))
+    sized = rows.groupBy("key").agg(F.count("*").alias("met"), F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi")
+    buckets = write_shared(rows.join(sized.select("key", "met"), "key"), "buckets")
+    wanted = buckets.groupBy("id").agg(F.sum("met").alias("rank"))
+    wanted = write_shared(wanted, "wanted")
+    few = wanted.count() <= MAX_BROADCAST_IDS
+    only = F.broadcast(wanted.select("id")) if few else wanted.select("id")
+    found = texts.join(only, texts["doc_id"] == only["id"], "left_semi").mapInArrow(_sets, "id long, shingles binary, sketch binary, bands binary")
     sets = write_shared(found, "sets")
 
-    edges = buckets.filter("id <> centre").groupBy(F.col("id").alias("b")).agg(F.min("centre").alias("a")).select("a", "b")
-    tested = write_shared(edges, "tested")
-    links = write_shared(_confirmed(tested, sets, percent), "links")
-    limit = FINISH_FACTOR * buckets.count()
-    used = None
-    while True:
-        components = connected_components(links).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
-        components = write_shared(components, "components")
-        left = write_shared(_left(buckets.select("key", "id", "n"), components), "left")
-        pairs = left.agg(F.sum(F.col("rows") - F.col("held"))).first()[0] or 0
-        if not pairs:
-            break
-        done = pairs <= 2 * limit
-        if done:
-            more = _across(left, percent)
-        else:
-            fresh = left if used is None else left.join(used, ["key", "id"], "left_anti")
-            pick = fresh.groupBy("key").agg(F.min_by("id", F.struct("held", "id")).alias("c"))
-            pick = write_shared(pick, "centres")
-            used = pick.select("key", F.col("c").alias("id")) if used is None else used.union(pick.select("key", F.col("c").alias("id")))
-            of = left.select(F.col("key").alias("k"), F.col("id").alias("c"), F.col("comp").alias("cc"), F.col("n").alias("nc"))
-            pick = pick.join(of, (pick["key"] == of["k"]) & (pick["c"] == of["c"])).select("key", of["c"], "cc", "nc")
-            fits = F.least("n", "nc") * 100 >= F.greatest("n", "nc") * percent
-            more = left.join(pick, "key").filter((F.col("comp") != F.col("cc")) & fits)
-            more = more.select(F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")).distinct()
-            if pick.limit(1).count() == 0:
-                break
-        more = write_shared(more.join(tested, ["a", "b"], "left_anti"), "edges")
-        tested = tested.union(more)
-        links = write_shared(links.union(_confirmed(more, sets, percent)), "links")
-        drop_shared(left)
-        if done:
-            components = connected_components(links).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
-            break
+    ranked = buckets.join(wanted, "id")
+    centres = ranked.groupBy("key").agg(F.max(F.struct("rank", (-F.col("id")).alias("c"))).alias("centre"))
+    edges = ranked.join(centres, "key").groupBy(F.col("id").alias("b")).agg(F.max("centre").alias("x"))
+    edges = edges.select((-F.col("x.c")).alias("a"), "b").filter("a <> b")
+    links = write_shared(_confirmed(edges, sets, percent), "links")
+    components = connected_components(links).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+    components = write_shared(components, "components")
+    more = write_shared(_across(_left(buckets, components), sets, percent), "edges")
+    more = write_shared(_confirmed(more, sets, percent), "links")
+    if more.limit(1).count():
+        components = connected_components(links.union(more)).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
     named = classes.join(components, classes["rep"] == components["cid"], "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     held = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2")
     out = held.join(named, (held["s1"] == named["s1"]) & (held["s2"] == named["s2"]) & held["doc_id"].isNotNull(), "left")
