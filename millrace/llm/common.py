@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -101,6 +104,28 @@ def groups(batches, names: tuple[str, ...]):
         yield rest
 
 
+@contextlib.contextmanager
+def one_thread():
+    """Small matrix products on one thread: tasks already fill the cores. Where numpy's own
+    library isn't an OpenBLAS that can be found, its setting stays."""
+    put = get = None
+    maps = Path("/proc/self/maps")
+    for path in {x.split()[-1] for x in maps.read_text().splitlines() if "openblas" in x} if maps.exists() else ():
+        library = ctypes.CDLL(path)
+        for form in ("scipy_openblas_{}_num_threads64_", "openblas_{}_num_threads64_", "openblas_{}_num_threads"):
+            if hasattr(library, form.format("set")):
+                put, get = getattr(library, form.format("set")), getattr(library, form.format("get"))
+                break
+    before = get() if get else 0
+    if put:
+        put(1)
+    try:
+        yield
+    finally:
+        if put:
+            put(before)
+
+
 # --- vectorised words of UTF-8 text ---------------------------------------------------
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import write_shared
+from .common import one_thread, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
 HOT_WORDS = 200_000
-VOCABULARY, CLASS = 4096, 64
-HIDDEN, EMBED = 48, 24
+VOCABULARY, CLASS = 1024, 32
+HIDDEN, EMBED = 32, 16
 #: The network is fitted on whole training documents of about so many tokens in all, by hash of the id. Counts cover all.
 SAMPLE_TOKENS = 600_000
 EPOCHS, LANES, WINDOW, RATE = 2, 32, 24, 0.004
@@ -299,7 +299,8 @@ def fit(training: DataFrame) -> LanguageModel:
         chosen = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(_RANGE)) < bound
         found = sorted(bytes(r["x"]) for r in training.filter(chosen).select("text").mapInArrow(sampled, "x binary").collect())
         if found:
-            network.train([np.frombuffer(x, np.int16).astype(np.int32) for x in found])
+            with one_thread():
+                network.train([np.frombuffer(x, np.int16).astype(np.int32) for x in found])
     return model
 
 
@@ -329,7 +330,8 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 inner.append(float(within_log[there[entry == _OTHER]].sum()))
                 rest.append([words[k].decode("utf-8", "surrogatepass") for k in rare])
                 numbers.append(number)
-            likely = m.network.score(numbers) + np.array(inner) if n else np.zeros(0)
+            with one_thread():
+                likely = m.network.score(numbers) + np.array(inner) if n else np.zeros(0)
             columns = [pa.array(c, t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (likely, pa.float64()), (rest, pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import one_thread
+
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 4, 48, 24
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
@@ -178,7 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
         return model
     most = max(map(len, by.values()))  # the rarer label is repeated; the shift takes that back
     even = [x for y in (0, 1) for x in (by[y] * (-(-most // len(by[y]))))[:most]]
-    model.train(even)
+    with one_thread():
+        model.train(even)
     model.shift = float(np.log(sizes[1] / sizes[0]))
     return model
 
@@ -194,7 +197,8 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            s = held.value.score(batch.column("text").to_pylist())
+            with one_thread():
+                s = held.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema.names)
 
     return docs.mapInArrow(run, schema)
