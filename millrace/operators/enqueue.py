@@ -43,8 +43,8 @@ def conflicts(batch: DataFrame, stored: DataFrame) -> DataFrame:
     batch or with what is stored; must be empty."""
     cols = ["queue", "job_id", "dedup_key", "dedup_fingerprint"]
     both = batch.select(*cols).union(stored.select(*cols))
-    prints = both.filter("dedup_key is not null").groupBy("queue", "dedup_key").agg(F.count_distinct("dedup_fingerprint").alias("n"), F.count_distinct("job_id").alias("jobs"))
-    prints = prints.filter("n > 1 or jobs > 1").select("queue", F.lit("dedup_key").alias("kind"), F.col("dedup_key").alias("value"))
+    prints = both.filter("dedup_key is not null").groupBy("queue", "dedup_key").agg(F.count_distinct("dedup_fingerprint").alias("n"))
+    prints = prints.filter("n > 1").select("queue", F.lit("dedup_key").alias("kind"), F.col("dedup_key").alias("value"))
     mark = F.coalesce("dedup_key", F.lit(""))
     jobs = both.filter("job_id is not null").groupBy("queue", "job_id").agg(F.count_distinct(mark).alias("n")).filter("n > 1")
     return prints.union(jobs.select("queue", F.lit("job_id").alias("kind"), F.col("job_id").alias("value")))
