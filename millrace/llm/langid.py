@@ -135,18 +135,22 @@ def fit(training: DataFrame) -> LanguageModel:
     found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))  # the order of tasks doesn't matter
     names = sorted({r["lang"] for r in found})
     model = LanguageModel(names, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.ones((max(1, len(names)), 40)))
-    rng, centroids, owner = np.random.default_rng(11), [], []
+    rng, centroids, owner, seen = np.random.default_rng(11), [], [], []
     for i, lang in enumerate(names):
         counts = np.stack([np.frombuffer(r["counts"], np.int32) for r in found if r["lang"] == lang])
         v = model.vectors(counts)
         c = _k_means(v, CENTROIDS, rng)
         centroids.append(c)
         owner += [i] * len(c)
-        away, size = 1 - (v @ c.T).max(axis=1), _length_class(counts)
-        for b in range(40):
-            near = np.abs(size - b) <= 1
-            if near.sum() >= LEAST_FOR_THRESHOLD:
-                model.farthest[i, b] = away[near].max() + MARGIN
+        seen.append((1 - (v @ c.T).max(axis=1), _length_class(counts)))
+    every = [np.concatenate(x) for x in zip(*seen, strict=True)]
+    for i, own in enumerate(seen):
+        for b in range(40):  # its own texts of a like length; where they are few, all languages' texts over a wider range
+            for (away, size), width in ((own, 1), (every, 3)):
+                near = np.abs(size - b) <= width
+                if near.sum() >= LEAST_FOR_THRESHOLD:
+                    model.farthest[i, b] = away[near].max() + MARGIN
+                    break
     if centroids:
         model.centroids, model.owner = np.concatenate(centroids), np.array(owner)
     return model

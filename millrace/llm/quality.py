@@ -69,7 +69,7 @@ class QualityModel:
     @staticmethod
     def _combine(a: np.ndarray, counts: np.ndarray) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        return np.concatenate([np.maximum.reduceat(a, starts), np.add.reduceat(a, starts) / counts[:, None], np.minimum.reduceat(a, starts)], axis=1).astype(np.float32)
+        return np.concatenate([np.maximum.reduceat(a, starts), np.add.reduceat(a, starts) / counts[:, None].astype(a.dtype), np.minimum.reduceat(a, starts)], axis=1)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """The probability of label 1 for each whole text."""
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     for label, n in sizes.items():
         some = some | ((F.col("label") == label) & (draw < min(_RANGE, SAMPLE_PER_LABEL * _RANGE // n)))
     chosen = F.broadcast(known.filter(some))  # about 2 * SAMPLE_PER_LABEL rows
-    found = docs.join(chosen, "doc_id").select("label", "text").mapInArrow(_samples, "label int, chunks binary").collect()
+    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text").mapInArrow(_samples, "label int, chunks binary").collect()
     found.sort(key=lambda r: (r["label"], bytes(r["chunks"])))
     samples = [(np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK), r["label"]) for r in found]
     by = {y: [s for s in samples if s[1] == y] for y in (0, 1)}
