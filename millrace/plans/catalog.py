@@ -204,7 +204,7 @@ _B = fx.ctes(b=fx.BATCH)
 @query(_B + "select queue, job_id, min(seq) as seq, min_by(payload, seq) as payload from b group by all")
 def enqueue_dedup_job_id(spark, d):
     out = enqueue.dedup_by_job(fx.relation(spark, d, fx.BATCH)).filter("inserted")
-    return out.select("queue", "job_id", "seq", "payload").dropDuplicates(["queue", "job_id"])
+    return out.select("queue", "job_id", "seq", "payload").dropDuplicates(["queue", "job_id"])  # rows with one seq are equal; no further shuffle
 
 
 @query(_B + "select queue, count(*) filter (where seq = f) as inserted, count(*) filter (where seq <> f) as deduplicated from (select queue, seq, min(seq) over (partition by queue, job_id) as f from b) group by queue")

@@ -23,7 +23,7 @@ from events
 TOPOLOGY = "select * from (values ('audit','*'), ('sales','purchase'), ('ux','click'), ('ux','view')) t(subscription, pattern)"
 BATCH = """
 select l_returnflag as queue, concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20))) as job_id,
-       concat(lpad(cast(l_orderkey as varchar(20)), 12, '0'), '-', lpad(cast(l_linenumber as varchar(20)), 3, '0'), '-', lpad(cast(l_partkey as varchar(20)), 12, '0'), '-', lpad(cast(l_suppkey as varchar(20)), 12, '0'), '-', cast(cast(l_quantity * 100 as bigint) as varchar(20)), '-', cast(cast(round(l_extendedprice * 100) as bigint) as varchar(20))) as seq,
+       (l_orderkey * 8 + l_linenumber) * cast(100000000 as bigint) + l_partkey as seq,
        concat('p', cast(l_partkey as varchar(20))) as payload
 from lineitem
 """
