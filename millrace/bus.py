@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import asyncio
+import inspect
 import json
 import secrets
 import uuid
@@ -97,6 +99,16 @@ class _Handler:
     function: object
     retry: RetryPolicy | None
     permanent: tuple
+    timeout: float | None = None
+    context: object = None
+
+    def __call__(self, e, attempt: int):
+        """What the function returns. A context factory is called for each attempt; a coroutine may time out."""
+        args = (e,) if self.context is None else (e, self.context(attempt))
+        out = self.function(*args)
+        if inspect.iscoroutine(out):
+            out = asyncio.run(asyncio.wait_for(out, self.timeout))
+        return out
 
 
 class EventBus:
@@ -113,17 +125,22 @@ class EventBus:
         for p in patterns:
             self.topology = self.topology.with_route(subscription, p if isinstance(p, str) else p.event_type)
 
-    def handler(self, pattern, *, subscription: str, retry: RetryPolicy | None = None, permanent_errors: tuple = ()):
-        """Decorator: handle a pattern's events of a subscription; may return one event, which is dispatched."""
+    def handler(self, pattern, *, subscription: str, retry: RetryPolicy | None = None, permanent_errors: tuple = (), timeout: float | None = None, context=None):
+        """Decorator: handle a pattern's events of a subscription; may return one event, which is dispatched.
+
+        Functions may be coroutines; only those can have a timeout. context(attempt) makes a second argument.
+        """
         if self.frozen:
             raise RuntimeError("handlers can't change after consumption has started")
         kind = pattern if isinstance(pattern, str) else pattern.event_type
 
         def put(f):
+            if timeout is not None and not inspect.iscoroutinefunction(f):
+                raise ValueError("only a coroutine can have a timeout")
             if (subscription, kind) in self.handlers:
                 raise ValueError(f"{subscription} already handles {kind}")
             self.subscribe(subscription, kind)
-            self.handlers[subscription, kind] = _Handler(f, retry, tuple(permanent_errors))
+            self.handlers[subscription, kind] = _Handler(f, retry, tuple(permanent_errors), timeout, context)
             return f
 
         return put
@@ -440,11 +457,13 @@ def _deliver(payload: bytes, attempts: int, handlers: dict[str, _Handler], regis
     if h is None:
         return failed("no_handler", f"no handler for {kind!r}")
     try:
-        out = h.function(e)
+        out = h(e, attempts)
     except Retry as error:
         return "nack", error_text(error), None, None, int((error.after if error.after is not None else _delay(h.retry, attempts)) * 1000), None
     except Reject as error:
         return failed("rejected", error_text(error), error.category)
+    except TimeoutError as error:  # under a policy, exhaustion reads as such; else as a timeout
+        return "nack", error_text(error), None if h.retry else "handler_timeout", None, int(_delay(h.retry, attempts) * 1000), None
     except h.permanent as error:
         return failed("permanent_handler_error", error_text(error))
     except Exception as error:  # noqa: BLE001  any other error of the handler means another attempt
