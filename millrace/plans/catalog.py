@@ -369,9 +369,10 @@ def checkpoint_resume(spark, d):
     return resume(e, "event_id", low + 4321, 1000)
 
 
-@query("select event_type, count(value) as count, min(value) as min, max(value) as max, avg(value) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, count(value) * 1e6 / sum(value) as ops_per_second from events group by 1")
+@query("select event_type, count(value) as count, min(value) as min, max(value) as max, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, quantile_disc(value, 0.99) as p99, round(count(value) * 1e6 / sum(value), 3) as ops_per_second from events group by 1")
 def latency_summary(spark, d):
-    return agg.latency_summary(_events(spark, d), "event_type", "value")
+    out = agg.latency_summary(_events(spark, d), "event_type", "value")  # rounded: sums of doubles depend on the order
+    return out.withColumns({"mean": F.round("mean", 6), "ops_per_second": F.round("ops_per_second", 3)})
 
 
 @query("select event_id, value from events where event_id % (select (count(*) + 499) // 500 from events) = 0 order by event_id limit 500")
@@ -385,9 +386,9 @@ def id_validation(spark, d):
     return agg.id_check(_events(spark, d), "user_id", "event_id")
 
 
-@query(_M + "select queue, min(created_at) as first_at, max(updated_at) as last_at, count(*) as n, count(*) * 1000.0 / greatest(max(updated_at) - min(created_at), 1) as per_second from m group by queue")
+@query(_M + "select queue, min(created_at) as first_at, max(updated_at) as last_at, count(*) as n, round(count(*) * 1000.0::double / greatest(max(updated_at) - min(created_at), 1), 6) as per_second from m group by queue")
 def throughput_interval(spark, d):
-    return agg.throughput(_messages(spark, d), "queue", "created_at", "updated_at")
+    return agg.throughput(_messages(spark, d), "queue", "created_at", "updated_at").withColumn("per_second", F.round("per_second", 6))
 
 
 @query(_M + """, dl as (select o_orderkey as message_id from orders)
@@ -423,3 +424,12 @@ def stream_state_machine(spark, d):
 
     commands = _events(spark, d).select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "put").when(F.col("event_id") % 3 == 1, "get").otherwise("ack").alias("op"), F.col("event_id").alias("at"))
     return run_to_end(spark, commands)
+
+
+@query("select event_type, count(*) as items, max(event_id) as cursor from events group by 1")
+def resumable_stream(spark, d):
+    from ..streaming.machine import resumed
+
+    e = _events(spark, d).select("event_id", "event_type")
+    out = resumed(spark, [e.filter("event_id % 3 = 0"), e.filter("event_id % 3 <> 0")])
+    return out.groupBy("event_type").agg(F.count("*").alias("items"), F.max("event_id").alias("cursor"))
