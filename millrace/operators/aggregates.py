@@ -89,7 +89,7 @@ def latency_summary(samples: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def id_check(ids: DataFrame, by: str, column: str) -> DataFrame:
-    """(count, sum, xor, digest) by group; the digest is the sum of 60-bit pieces of each id's SHA-256.
+    """(count, sum, xor, digest) by group; the digest is the sum of the first 32 bits of each id's SHA-256.
 
     All four are sums of partial results, so groups of any size meet in no task.
     """
@@ -97,6 +97,25 @@ def id_check(ids: DataFrame, by: str, column: str) -> DataFrame:
     return ids.groupBy(by).agg(F.count("*").alias("count"), F.sum(column).alias("sum"), F.bit_xor(column).alias("xor"), F.sum(piece).alias("digest"))
 
 
+def digest_sums(ids: DataFrame, column: str) -> DataFrame:
+    """One row d0 ... d7: sums of the eight 32-bit pieces of each id's SHA-256, mergeable over any parts."""
+    digest = F.sha2(F.col(column).cast("string"), 256)
+    return ids.agg(*[F.coalesce(F.sum(F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias(f"d{k}") for k in range(8)])
+
+
+def digest_256(sums: list[int]) -> int:
+    """The sum of the whole digests modulo 2**256, from digest_sums()."""
+    return sum(s << 32 * (7 - k) for k, s in enumerate(sums)) % (1 << 256)
+
+
+def reconcile(outcomes: DataFrame, messages: DataFrame) -> DataFrame:
+    """(queue, claims, settled, acks, acked, ok): whether a run's counted outcomes (queue, outcome) agree
+    with what is stored."""
+    seen = outcomes.groupBy("queue").agg(F.count("*").alias("claims"), F.count_if(F.col("outcome").isin("ack", "nack", "fail", "lost")).alias("settled"), F.count_if(F.col("outcome") == "ack").alias("acks"))
+    out = seen.join(stats(messages).select("queue", "acked"), "queue", "full").na.fill(0)
+    return out.withColumn("ok", (F.col("claims") == F.col("settled")) & (F.col("acks") == F.col("acked")))
+
+
 def sample_every(rows: DataFrame, column: str, total: int, limit: int) -> DataFrame:
     """A systematic sample by id: every stride-th, in order, limit at most."""
     stride = max(1, -(-total // limit))

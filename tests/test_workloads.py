@@ -49,3 +49,16 @@ def test_timeout_and_context():
     assert _deliver(body(), 1, {"*": _Handler(lambda e: 5, None, ())}, REGISTRY)[2] == "permanent_handler_error"
     with pytest.raises(ValueError):
         EventBus(None).handler(Tick, subscription="s", timeout=1)(lambda e: None)
+
+
+def test_digest_and_reconciliation(spark):
+    import hashlib
+
+    from millrace.operators.aggregates import digest_256, digest_sums, reconcile
+
+    ids = spark.range(300).repartition(3)
+    want = sum(int(hashlib.sha256(str(i).encode()).hexdigest(), 16) for i in range(300)) % (1 << 256)
+    assert digest_256(list(digest_sums(ids, "id").first())) == want
+    outcomes = spark.createDataFrame([("q", "ack"), ("q", "nack"), ("p", "ack")], "queue string, outcome string")
+    messages = spark.createDataFrame([("q", 2), ("p", 0)], "queue string, status int")
+    assert {r["queue"]: r["ok"] for r in reconcile(outcomes, messages).collect()} == {"q": True, "p": False}
