@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import os
 import tempfile
 import time
 import uuid
@@ -90,8 +91,9 @@ class Store:
     def commit(self, base: int, tables: dict[str, DataFrame], **facts) -> int:
         """Write tables and make them the next version after base, or raise Conflict.
 
-        Facts (such as last_id) are kept in the commit. The file is created exclusively, so of
-        two writers with one base exactly one succeeds.
+        Facts (such as last_id) are kept in the commit. The file is written under another name and
+        gets its own by a step that fails where the name exists (a rename, or a link on a local
+        disk), so of two writers with one base exactly one succeeds.
         """
         old = self.commit_at(base)
         named = dict(old["tables"])
@@ -106,9 +108,16 @@ class Store:
             out.write(bytearray(body.encode()))
         finally:
             out.close()
-        if fs.exists(p) or not fs.rename(tp, p):
-            fs.delete(tp, False)
-            raise Conflict(f"version {base + 1} exists")
+        try:
+            if fs.getUri().getScheme() == "file":  # a link fails where the name exists; a local rename would replace it
+                os.link(tp.toUri().getPath(), p.toUri().getPath())
+            elif fs.exists(p) or not fs.rename(tp, p):
+                raise FileExistsError
+        except FileExistsError:
+            raise Conflict(f"version {base + 1} exists") from None
+        finally:
+            if fs.exists(tp):
+                fs.delete(tp, False)
         return base + 1
 
     def change(self, f: Callable[[int, Store], tuple[dict[str, DataFrame], dict]], *, seconds: float = 30) -> int:

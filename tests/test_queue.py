@@ -1,4 +1,5 @@
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 
@@ -126,6 +127,16 @@ def test_store_commits_are_exclusive(spark, tmp_path, queue):
     store.commit(base, {})
     with pytest.raises(Conflict):
         store.commit(base, {})
+    base = store.version()
+
+    def race(_):
+        try:
+            return store.commit(base, {})
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(6) as pool:
+        assert sorted(map(str, pool.map(race, range(6)))) == sorted([str(base + 1), *["None"] * 5])
     assert queue.backup(f"file://{tmp_path}/copy")["rows"] == {"messages": 1}
     with pytest.raises(FileExistsError):
         queue.backup(f"file://{tmp_path}/copy")
