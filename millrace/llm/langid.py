@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BUCKETS = 2048
 CENTROIDS = 4
 #: Centroids and thresholds are fitted on about so many training rows in all, and per language
@@ -119,7 +121,7 @@ def _sampled(batches):
 
 def fit(training: DataFrame) -> LanguageModel:
     """From rows (doc_id, text, lang); rows with null text or lang, or without a letter, teach nothing."""
-    rows = training.select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = small_batches(training).select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"over {MAX_LANGUAGES} languages")
@@ -164,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     centroids counts. rejected: farther than training texts of a like length are. A model
     without languages gives und. Empty table: empty result.
     """
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = small_batches(docs).drop("lang_pred", "score", "rejected")
     schema = docs.limit(0).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "rejected": F.lit(False)}).schema
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MAX_LANGUAGES; 8 kB a centroid
     width = len(docs.columns)

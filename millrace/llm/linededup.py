@@ -24,13 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, write_shared
+from .common import SPACES, small_batches, write_shared
 from .cuckoo import CuckooFilter
 
 MIN_CHARS = 20
 MIN_DOCS = 3
 #: Keys for each filter shard, about; a filter of so many takes under 1 MB.
 KEYS_PER_SHARD = 1 << 17
+PACK_ROWS = 100_000
 _PACK = np.dtype([("doc_id", "<i8"), ("h1", "<i8"), ("h2", "<i8")])
 
 
@@ -59,19 +60,29 @@ def _postings_of(min_chars: int):
 
 
 def _pack(shards: int):
-    """Postings as blocks of bytes, one for each shard and batch."""
+    """Postings as blocks of bytes: one for each shard and PACK_ROWS rows of a task."""
+
+    def blocks(parts: list[np.ndarray]):
+        rows = np.concatenate([np.zeros(0, _PACK), *parts])
+        shard = rows["h1"] & (shards - 1)
+        order = np.argsort(shard, kind="stable")
+        rows, shard = rows[order], shard[order]
+        found, starts = np.unique(shard, return_index=True)
+        cut = [x.tobytes() for x in np.split(rows, starts[1:])] if len(rows) else []
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(cut, pa.binary())], ["shard", "block"])
 
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             rows = np.empty(batch.num_rows, _PACK)
             for k in ("doc_id", "h1", "h2"):
                 rows[k] = batch.column(k).to_numpy()
-            shard = rows["h1"] & (shards - 1)
-            order = np.argsort(shard, kind="stable")
-            rows, shard = rows[order], shard[order]
-            found, starts = np.unique(shard, return_index=True)
-            parts = np.split(rows, starts[1:]) if len(rows) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())], ["shard", "block"])
+            held.append(rows)
+            n += len(rows)
+            if n >= PACK_ROWS:
+                yield blocks(held)
+                held, n = [], 0
+        yield blocks(held)
 
     return run
 
@@ -141,7 +152,7 @@ class LineIndex:
 
     @staticmethod
     def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
-        made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        made = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         return made.mapInArrow(_postings_of(min_chars), "doc_id long, h1 long, h2 long")
 
     @classmethod
@@ -205,7 +216,7 @@ class LineIndex:
         replaced. Null text stays null and counts as one empty line; a null doc_id keeps all
         its lines; rows of one doc_id are treated alike; an empty table gives none.
         """
-        docs = docs.drop("n_lines", "n_dropped", "kept_sha256", "mr_drops")
+        docs = small_batches(docs).drop("n_lines", "n_dropped", "kept_sha256", "mr_drops")
         drops = self.drops().withColumnRenamed("doc_id", "mr_id")
         joined = docs.join(drops, docs["doc_id"] == drops["mr_id"], "left").drop("mr_id")
         schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, groups, mix64, word_hashes, write_shared
+from .common import blocks, groups, mix64, small_batches, word_hashes, write_shared
 from .components import connected_components
 
 WORDS = 5
@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     nothing. Null doc_id: linked with nothing, component_id null, kept. Rows with one doc_id
     stand for one document. Empty table: empty result. Other columns are ignored.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = write_shared(texts.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>"), "signed")
     valid = signed.filter("n > 0 and doc_id is not null")
     classes = write_shared(valid.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import one_thread, small_batches
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 4, 48, 24
@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The columns of docs, then score (the probability of label 1) and predicted (1 from
     THRESHOLD on). Null and empty texts are scored as no bytes. Input columns of these two
     names are replaced; an empty table gives none."""
-    docs = docs.drop("score", "predicted")
+    docs = small_batches(docs).drop("score", "predicted")
     schema = docs.limit(0).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: some 10 kB
     width = len(docs.columns)
