@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread, write_shared
+from .common import one_thread, small_batches, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
@@ -34,6 +34,8 @@ HIDDEN, EMBED = 32, 16
 SAMPLE_TOKENS = 600_000
 EPOCHS, LANES, WINDOW, RATE = 2, 32, 24, 0.004
 SCORE_LANES, SCORE_WINDOW = 256, 64
+#: Tokens of whole documents that a task gathers before it scores them.
+SCORE_TOKENS = 3_000_000
 _FLUSH = 300_000
 _RANGE = 1 << 30
 _OTHER, _END = 0, 1
@@ -263,7 +265,7 @@ def numbered(texts, model: LanguageModel):
 
 def fit(training: DataFrame) -> LanguageModel:
     """From all training documents (doc_id, text); a null text is an empty one."""
-    texts = training.select("text").mapInArrow(_count, "word string, n long")
+    texts = small_batches(training).select("text").mapInArrow(_count, "word string, n long")
     counts = write_shared(texts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     # the least count with which at most HOT_WORDS words are hot
@@ -314,30 +316,39 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model.spread())
 
     def run(batches):
+        m = held.value
+        base_log, within_log = m.base(m.hot), m.within(m.hot)
+        rows, numbers, tokens = [], [], 0
+
+        def out():
+            with one_thread():
+                likely = m.network.score(numbers) + np.array([r[5] for r in rows]) if rows else np.zeros(0)
+            kinds = (pa.int64(), ids, pa.int64(), pa.int64(), pa.float64(), None, pa.list_(pa.string()))
+            columns = [pa.array(likely if k == 5 else [r[k] for r in rows], pa.float64() if k == 5 else t) for k, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns, names)
+
+        ids = pa.int64()
         for batch in batches:
-            m = held.value
-            base_log, within_log = m.base(m.hot), m.within(m.hot)
-            n, known, base, inner, rest, numbers = [], [], [], [], [], []
-            for words, at in numbered(batch.column(2).to_pylist(), m):
-                rare = np.flatnonzero(at < 0)
-                there = at[at >= 0]
+            ids = batch.column(1).type
+            head = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            for (row, doc_id), (words, at) in zip(head, numbered(batch.column(2).to_pylist(), m), strict=True):
+                rare, there = np.flatnonzero(at < 0), at[at >= 0]
                 entry = m.entries[there] if len(there) else there
                 number = np.full(len(at), _OTHER, np.int32)
                 number[at >= 0] = entry
-                n.append(len(words) + 1)
-                known.append(len(there) + (m.end > 0))
-                base.append(float(base_log[there].sum()) + float(m.base(m.end)))
-                inner.append(float(within_log[there[entry == _OTHER]].sum()))
-                rest.append([words[k].decode("utf-8", "surrogatepass") for k in rare])
+                base = float(base_log[there].sum()) + float(m.base(m.end))
+                inner = float(within_log[there[entry == _OTHER]].sum())
+                rows.append((row, doc_id, len(words) + 1, len(there) + (m.end > 0), base, inner, [words[k].decode("utf-8", "surrogatepass") for k in rare]))
                 numbers.append(number)
-            with one_thread():
-                likely = m.network.score(numbers) + np.array(inner) if n else np.zeros(0)
-            columns = [pa.array(c, t) for c, t in ((n, pa.int64()), (known, pa.int64()), (base, pa.float64()), (likely, pa.float64()), (rest, pa.list_(pa.string())))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
+                tokens += len(words) + 1
+            if tokens >= SCORE_TOKENS:  # enough to fill the lanes
+                yield out()
+                rows, numbers, tokens = [], [], 0
+        yield out()
 
     names = ["row", "doc_id", "n_tokens", "known", "base", "likely", "rest"]
     kind = dict(docs.dtypes)["doc_id"]
-    numbered_rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    numbered_rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     made = write_shared(numbered_rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, likely double, rest array<string>"), "scored")
     rare = made.select("row", F.explode("rest").alias("word")).join(model.counts, "word", "left")
     c = F.coalesce("n", F.lit(0))
