@@ -17,6 +17,9 @@ from millrace.llm.linededup import dedup_lines
 from millrace.llm.minhash import near_duplicates
 from millrace.llm.mixing import mix
 
+#: Fixed value: documents whose shingle sets have so many percent in common are near-duplicates here.
+#: (The query op2_minhash has a bound of its own.)
+NEAR_PERCENT = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -37,7 +40,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates, the document with the smallest id stays."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id")
+    gone = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as p
 from millrace.llm.decontam import find_passages
 
@@ -26,3 +28,26 @@ def test_each_stage(spark, sf_dir, tmp_path):
         assert 0.7 * n <= left <= n and docs.select("doc_id").distinct().count() == left
         n = left
     assert f(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_dedup_against_brute_force(spark):
+    """Pairs from 0.7 to 0.95, many of them between 0.80 and 0.85."""
+    rng, docs = random.Random(4), []
+    for g in range(40):
+        words = [f"w{g}x{i}" for i in range(100)]
+        docs.append(" ".join(words))
+        for n in (1, 2, 3):
+            other = list(words)
+            for k in rng.sample(range(5, 95), n):
+                other[k] = f"n{len(docs)}x{k}"
+            docs.append(" ".join(other))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, docs)]
+    root = list(range(len(docs)))
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(docs)) for b in range(a)}
+    assert sum(0.8 <= x < 0.85 for x in alike.values()) > 10
+    for _ in docs:
+        for (a, b), x in alike.items():
+            if x >= 0.8:
+                root[a] = root[b] = min(root[a], root[b])
+    df = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, df, "").collect()) == [i for i, r in enumerate(root) if i == r]
