@@ -3,8 +3,8 @@
 A text, lower-cased and with one space for each run of ASCII characters that aren't letters,
 becomes counts of its byte trigrams hashed to 2,048 buckets; logarithm of the counts, times the inverse document frequency, normalised to length 1. Each language
 has up to four centroids (spherical k-means over its training vectors). The nearest centroid
-gives the language and its cosine the score; a text farther from it than any training text
-of a like length is rejected.
+gives the language and its cosine the score; a text farther from it than all but one in a
+thousand of the training texts of a like length is rejected.
 """
 
 from __future__ import annotations
@@ -13,23 +13,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
 
 BUCKETS = 2048
 CENTROIDS = 4
-#: Centroids and thresholds are fitted on about so many training rows in all, and per language
-#: at most (by hash of the id). Document frequencies cover all training rows.
+#: Centroids are fitted on about so many training rows in all, and per language at most (by
+#: hash of the id). Document frequencies and thresholds cover all training rows.
 SAMPLE_ROWS = 6000
 SAMPLE_PER_LANGUAGE = 1500
 #: So many language values at most; more is an error, not a cut.
 MAX_LANGUAGES = 2000
-#: Beyond the farthest training text of a like length.
-MARGIN = 0.15
-#: Training texts of a like length that a threshold needs; with fewer, nothing is rejected.
-LEAST_FOR_THRESHOLD = 50
+#: A threshold is this quantile of the distances of all training texts of a like length, to one
+#: of BINS steps, and MOST at most: a text that shares nothing with any centroid is never kept.
+QUANTILE, BINS, MOST = 0.999, 1000, 0.999
 _RANGE = 1 << 30
 _WORD_BYTES = np.arange(256, dtype=np.uint8)
 _WORD_BYTES[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -69,6 +68,12 @@ class LanguageModel:
         v = np.log1p(counts).astype(np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
+    def nearest(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the nearest centroid's language, and cosine (0 to 1)."""
+        cos = self.vectors(counts) @ self.centroids.T
+        near = cos.argmax(axis=1)
+        return self.owner[near], np.clip(cos[np.arange(len(cos)), near].astype(float), 0, 1)
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language or und, cosine (0 to 1), rejected."""
         n = len(texts)
@@ -76,10 +81,7 @@ class LanguageModel:
         if not len(self.languages) or not n:
             return ["und"] * n, np.zeros(n), np.ones(n, bool)
         counts = np.stack([counts_of(t) for t in texts])
-        cos = self.vectors(counts) @ self.centroids.T
-        near = cos.argmax(axis=1)
-        score = np.clip(cos[np.arange(n), near].astype(float), 0, 1)
-        own = self.owner[near]
+        own, score = self.nearest(counts)
         far = 1 - score > self.farthest[own, _length_class(counts)]
         names = [self.languages[o] if ok else "und" for o, ok in zip(own, letters, strict=True)]
         return names, np.where(letters, score, 0.0), far | ~letters
@@ -119,6 +121,40 @@ def _sampled(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["lang", "counts"])
 
 
+def _thresholds(rows: DataFrame, model: LanguageModel) -> np.ndarray:
+    """By language and length class, from the distances of all rows (text): the greater of the
+    quantiles of those that the language is nearest to and of all, over the class and those
+    beside it. A class without rows has the threshold of the next shorter one, and MOST where
+    no row is as short."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+
+    def distances(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for i in range(0, len(texts), 512):
+                counts = np.stack([counts_of(t) for t in texts[i : i + 512]])
+                own, score = held.value.nearest(counts)
+                step = np.ceil((1 - score) * BINS).astype(np.int64)
+                seen, n = np.unique(np.stack([own, _length_class(counts), step]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (*seen, n)], ["own", "size", "step", "n"])
+
+    steps = rows.select("text").mapInArrow(distances, "own long, size long, step long, n long").groupBy("own", "size", "step").agg(F.sum("n").alias("n"))
+    wide = steps.withColumn("own", F.explode(F.array("own", F.lit(-1)))).withColumn("size", F.explode(F.sequence(F.col("size") - 1, F.col("size") + 1)))
+    wide = wide.groupBy("own", "size", "step").agg(F.sum("n").alias("n"))
+    each = Window.partitionBy("own", "size")
+    wide = wide.withColumn("upto", F.sum("n").over(each.orderBy("step"))).withColumn("all", F.sum("n").over(each))
+    found = wide.filter(F.col("upto") >= F.col("all") * QUANTILE).groupBy("own", "size").agg(F.min("step").alias("step")).collect()
+    at = np.full((len(model.languages) + 1, 40), np.nan)  # the last row: of all languages
+    for r in found:
+        if 0 <= r["size"] < 40:
+            at[r["own"], r["size"]] = r["step"] / BINS
+    every = at[-1].copy()
+    for b in range(40):
+        if np.isnan(every[b]):
+            every[b] = every[b - 1] if b else MOST
+    return np.minimum(np.fmax(at[:-1], every), MOST)
+
+
 def fit(training: DataFrame) -> LanguageModel:
     """From rows (doc_id, text, lang); rows with null text or lang, or without a letter, teach nothing."""
     rows = small_batches(training).select("doc_id", "text", "lang").filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
@@ -137,24 +173,16 @@ def fit(training: DataFrame) -> LanguageModel:
     found.sort(key=lambda r: (r["lang"], bytes(r["counts"])))  # the order of tasks doesn't matter
     names = sorted({r["lang"] for r in found})
     model = LanguageModel(names, idf, np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.ones((max(1, len(names)), 40)))
-    rng, centroids, owner, seen = np.random.default_rng(11), [], [], []
+    rng, centroids, owner = np.random.default_rng(11), [], []
     for i, lang in enumerate(names):
         counts = np.stack([np.frombuffer(r["counts"], np.int32) for r in found if r["lang"] == lang])
         v = model.vectors(counts)
         c = _k_means(v, CENTROIDS, rng)
         centroids.append(c)
         owner += [i] * len(c)
-        seen.append((1 - (v @ c.T).max(axis=1), _length_class(counts)))
-    every = [np.concatenate(x) for x in zip(*seen, strict=True)]
-    for i, own in enumerate(seen):
-        for b in range(40):  # its own texts of a like length; where they are few, all languages' texts over a wider range
-            for (away, size), width in ((own, 1), (every, 3)):
-                near = np.abs(size - b) <= width
-                if near.sum() >= LEAST_FOR_THRESHOLD:
-                    model.farthest[i, b] = away[near].max() + MARGIN
-                    break
     if centroids:
         model.centroids, model.owner = np.concatenate(centroids), np.array(owner)
+        model.farthest = _thresholds(rows, model)
     return model
 
 
@@ -163,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     lang_pred: a learned value, or und for a null text or one without a letter (score 0,
     rejected). Score: the cosine with the nearest centroid, 0 to 1; the first of equally near
-    centroids counts. rejected: farther than training texts of a like length are. A model
+    centroids counts. rejected: farther than training texts of a like length are, but for one in a thousand. A model
     without languages gives und. Empty table: empty result.
     """
     docs = small_batches(docs).drop("lang_pred", "score", "rejected")

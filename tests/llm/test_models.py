@@ -59,6 +59,22 @@ def test_language_id_edges(spark, sf_dir):
     assert langid.identify(strange, model).first()["rejected"]
 
 
+STRANGE = [
+    "Сегодня мы пошли в лес собирать грибы и ягоды после дождя вместе с друзьями и вернулись домой поздно вечером", "今天天气很好我们一起去公园散步看到很多漂亮的花朵和小鸟在树上唱歌孩子们在草地上玩耍",
+    "hän käveli metsään ja löysi sieltä paljon sieniä mutta ei yhtään marjaa koska oli jo myöhäinen syksy ja kylmä", "bugün hava çok güzel olduğu için arkadaşlarımla birlikte parka gidip uzun bir yürüyüş yaptık ve çay içtik",
+]
+
+
+def test_short_strange_texts_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    assert (model.farthest < 1).all()
+    strange = spark.createDataFrame([(i, t[:100]) for i, t in enumerate(STRANGE)], "doc_id long, text string")
+    assert all(r["rejected"] for r in langid.identify(strange, model).collect())
+    kept = [not r["rejected"] for r in langid.identify(docs.filter(F.col("text").rlike(r"\p{L}")), model).collect()]
+    assert np.mean(kept) > 0.99
+
+
 def test_nearest_centroid_is_brute_force():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abc "), 60)) for _ in range(9)]
