@@ -7,6 +7,8 @@ steps, first its class, then the word within it (class-factored softmax). It lea
 truncated backpropagation: gradients reach back one window, the state goes on. For scoring,
 documents run side by side in lanes, window by window, each with its state carried from its
 first word to its end, so that a score is the log-likelihood of the complete document.
+It begins on a sample; then every task trains it on over all of its training documents, and
+the tasks' parameters are averaged, so that what it learns from grows with the corpus.
 
 Counts of the most frequent words travel to every task, up to HOT_WORDS of them; all rarer
 words are joined with the table of counts, so that no word is dropped.
@@ -14,6 +16,7 @@ words are joined with the table of counts, so that no word is dropped.
 
 from __future__ import annotations
 
+import copy
 import heapq
 from collections import Counter
 from dataclasses import dataclass
@@ -28,10 +31,15 @@ from .common import one_thread, small_batches, write_shared
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
 HOT_WORDS = 200_000
-VOCABULARY, CLASS = 1024, 32
-HIDDEN, EMBED = 32, 16
-#: The network is fitted on whole training documents of about so many tokens in all, by hash of the id. Counts cover all.
+VOCABULARY, CLASS = 4096, 32
+HIDDEN, EMBED = 48, 24
+#: The network begins on whole training documents of about so many tokens in all, by hash of the id;
+#: from there on it learns from all training documents.
 SAMPLE_TOKENS = 600_000
+#: Every task trains a network of its own over its documents, SHARD_TOKENS at a time; networks are averaged by tokens.
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 256, 0.002
+#: Sums of networks that go to the driver, at most (some 3 MB each).
+SUMS = 8
 EPOCHS, LANES, WINDOW, RATE = 2, 32, 24, 0.004
 SCORE_LANES, SCORE_WINDOW = 256, 64
 #: Tokens of whole documents that a task gathers before it scores them.
@@ -113,24 +121,38 @@ class WordNetwork:
 
     def train(self, docs: list[np.ndarray], seed: int = 2) -> None:
         """docs: numbers of the words, without the end. State goes on between windows; a new document starts at 0."""
-        m, v, steps = {}, {}, 0
+        moments = ({}, {}, [0])
         for epoch in range(EPOCHS):
             rng = np.random.default_rng(seed + epoch)
             shuffled = [docs[i] for i in rng.permutation(len(docs))]
-            inputs, targets, _, starts = in_lanes(shuffled, LANES)
-            h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
-            for t in range(0, len(inputs), WINDOW):
-                x, y, s = inputs[t : t + WINDOW], targets[t : t + WINDOW], starts[t : t + WINDOW]
-                g, h = self._gradients(x, y, s, h)
-                steps += 1
-                rate = RATE * min(1, steps / 50) * (1 - 0.9 * (epoch + t / len(inputs)) / EPOCHS)
-                norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-                clip = min(1, 1 / max(norm, 1e-9))
-                for k, a in g.items():
-                    a = a * clip
-                    m[k] = 0.9 * m.get(k, 0) + 0.1 * a
-                    v[k] = 0.999 * v.get(k, 0) + 0.001 * a * a
-                    self.p[k] -= (rate * (m[k] / (1 - 0.9**steps)) / (np.sqrt(v[k] / (1 - 0.999**steps)) + 1e-7)).astype(np.float32)
+            self.once(shuffled, LANES, moments, lambda at, epoch=epoch: RATE * (1 - 0.9 * (epoch + at) / EPOCHS))
+
+    def once(self, docs: list[np.ndarray], lanes: int, moments, rate_at) -> None:
+        """One pass; moments (two by parameter, and the steps) go on from call to call, rate_at: by the share of docs read."""
+        m, v, steps = moments
+        inputs, targets, _, starts = in_lanes(docs, lanes)
+        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+        for t in range(0, len(inputs), WINDOW):
+            x, y, s = inputs[t : t + WINDOW], targets[t : t + WINDOW], starts[t : t + WINDOW]
+            g, h = self._gradients(x, y, s, h)
+            steps[0] += 1
+            rate = rate_at(t / len(inputs)) * min(1, steps[0] / 50)
+            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
+            clip = min(1, 1 / max(norm, 1e-9))
+            for k, a in g.items():
+                a = a * clip
+                m[k] = 0.9 * m.get(k, 0) + 0.1 * a
+                v[k] = 0.999 * v.get(k, 0) + 0.001 * a * a
+                self.p[k] -= (rate * (m[k] / (1 - 0.9 ** steps[0])) / (np.sqrt(v[k] / (1 - 0.999 ** steps[0])) + 1e-7)).astype(np.float32)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)]).astype(np.float64)
+
+    def unflat(self, x: np.ndarray) -> None:
+        at = 0
+        for k in sorted(self.p):
+            self.p[k] = x[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
 
     def _gradients(self, x, y, starts, h):
         p, held, states = self.p, [], []
@@ -293,9 +315,7 @@ def fit(training: DataFrame) -> LanguageModel:
 
         def sampled(batches):
             for batch in batches:
-                made = []
-                for _, at in numbered(batch.column(0).to_pylist(), held.value):
-                    made.append(np.where(at >= 0, held.value.entries[at], _OTHER).astype(np.int16).tobytes() if len(held.value.entries) else b"\0\0" * len(at))
+                made = [x.astype(np.int16).tobytes() for x in entries_of(batch.column(0).to_pylist(), held.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["x"])
 
         chosen = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(_RANGE)) < bound
@@ -303,9 +323,55 @@ def fit(training: DataFrame) -> LanguageModel:
         if found:
             with one_thread():
                 network.train([np.frombuffer(x, np.int16).astype(np.int32) for x in found])
+        _learn_from_all(small_batches(training).select("text"), model)
     return model
 
 
+def entries_of(texts, model: LanguageModel):
+    """For each text: its words' vocabulary numbers."""
+    for _, at in numbered(texts, model):
+        yield np.where(at >= 0, model.entries[at], _OTHER).astype(np.int32) if len(model.entries) else np.zeros(len(at), np.int32)
+
+
+def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
+    """One round: all training documents, each task from the network that the sample gave."""
+    held = texts.sparkSession.sparkContext.broadcast(model.spread())
+
+    def trained(batches):
+        network, moments, docs, size, tokens = copy.deepcopy(held.value.network), ({}, {}, [0]), [], 0, 0
+
+        def learn():
+            with one_thread():
+                network.once(docs, SHARD_LANES, moments, lambda at: SHARD_RATE)
+
+        for batch in batches:
+            for x in entries_of(batch.column(0).to_pylist(), held.value):
+                docs.append(x)
+                size += len(x) + 1
+                if size >= SHARD_TOKENS:
+                    learn()
+                    docs, tokens, size = [], tokens + size, 0
+        if docs:
+            learn()
+            tokens += size
+        if tokens:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([network.flat().astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
+
+    def summed(batches):
+        n, p = 0, 0.0
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, p = n + k, p + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([p.tobytes()], pa.binary())], ["n", "p"])
+
+    parts = write_shared(texts.mapInArrow(trained, "n long, p binary"), "networks")
+    sums = parts.coalesce(SUMS).mapInArrow(summed, "n long, p binary").collect()
+    if sums:
+        total = sum(np.frombuffer(r["p"], np.float64) for r in sums)
+        model.network.unflat(total / sum(r["n"] for r in sums))
+
+
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row for each row of docs: doc_id, n_tokens, n_known, base_score, score.
 

@@ -165,6 +165,16 @@ def test_lm_against_brute_force(spark, sf_dir, quick, monkeypatch):
     assert lm.score(docs.limit(0), model).count() == 0
 
 
+def test_lm_learns_from_documents_outside_the_sample(spark, monkeypatch):
+    """Without any sample, the order of words is still learned from all documents."""
+    monkeypatch.setattr(lm, "SAMPLE_TOKENS", 0)
+    monkeypatch.setattr(lm, "SHARD_LANES", 8)
+    docs = spark.createDataFrame([(i, "one two three four five six seven " * 30) for i in range(400)], "doc_id long, text string").repartition(2)
+    held = spark.createDataFrame([(1, "one two three four five six seven " * 9)], "doc_id long, text string")
+    r = lm.score(held, lm.fit(docs)).first()
+    assert r["score"] > 0.5 * r["base_score"]
+
+
 def test_lm_is_a_distribution_and_carries_state():
     net = lm.WordNetwork(np.array([5, 3, 2, 1, 1]))
     h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
