@@ -8,7 +8,8 @@ truncated backpropagation: gradients reach back one window, the state goes on. F
 documents run side by side in lanes, window by window, each with its state carried from its
 first word to its end, so that a score is the log-likelihood of the complete document.
 It begins on a sample; then every task trains it on over all of its training documents, and
-the tasks' parameters are averaged, so that what it learns from grows with the corpus.
+the tasks' parameters are averaged, so that what it learns from grows with the corpus. For
+learning only, long texts are cut into parts that run side by side.
 
 Counts of the most frequent words travel to every task, up to HOT_WORDS of them; all rarer
 words are joined with the table of counts, so that no word is dropped.
@@ -31,17 +32,21 @@ from .common import one_thread, small_batches, write_shared
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
 HOT_WORDS = 200_000
-VOCABULARY, CLASS = 4096, 32
+VOCABULARY, CLASS = 16_384, 128
 HIDDEN, EMBED = 48, 24
 #: The network begins on whole training documents of about so many tokens in all, by hash of the id;
 #: from there on it learns from all training documents.
 SAMPLE_TOKENS = 600_000
 #: Every task trains a network of its own over its documents, SHARD_TOKENS at a time; networks are averaged by tokens.
-SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 256, 0.002
-#: Sums of networks that go to the driver, at most (some 3 MB each).
-SUMS = 8
-EPOCHS, LANES, WINDOW, RATE = 2, 32, 24, 0.004
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 256, 0.004
+#: Averages of networks that go to the driver, at most (some 5 MB each).
+SUMS, FAN_IN = 4, 64
+EPOCHS, LANES, WINDOW, RATE = 2, 48, 24, 0.004
+#: For learning, a longer text is cut into parts of so many words that run side by side; scoring cuts none.
+PART = 2048
 SCORE_LANES, SCORE_WINDOW = 256, 64
+#: Levels of counts (16 for each doubling), and parts of the level at the cut, by hash.
+_LEVELS, _PARTS = 16, 4096
 #: Tokens of whole documents that a task gathers before it scores them.
 SCORE_TOKENS = 3_000_000
 _FLUSH = 300_000
@@ -67,14 +72,35 @@ class WordNetwork:
         held = np.zeros(k * CLASS)
         held[: len(counts)] = counts + 0.5
         held = held.reshape(k, CLASS)
-        draw = lambda scale, *s: (rng.standard_normal(s) * scale).astype(np.float32)
+        draw = lambda scale, *s: rng.standard_normal(s) * scale
         with np.errstate(divide="ignore"):
             inner = np.where(held > 0, np.log(held / held.sum(axis=1, keepdims=True)), -1e9)
-        self.p = {
-            "embed": draw(0.3, k * CLASS, EMBED), "w": draw(EMBED**-0.5, EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
-            "u": draw(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), "c": draw(0.05, HIDDEN, k), "cb": np.log(held.sum(axis=1) / held.sum()).astype(np.float32),
-            "o": draw(0.05, k, HIDDEN, CLASS), "ob": inner.astype(np.float32),
+        made = {
+            "embed": draw(0.3, k * CLASS, EMBED), "w": draw(EMBED**-0.5, EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN),
+            "u": draw(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), "c": draw(0.05, HIDDEN, k), "cb": np.log(held.sum(axis=1) / held.sum()),
+            "o": draw(0.05, k, HIDDEN, CLASS), "ob": inner,
         }
+        self.shapes = {name: x.shape for name, x in made.items()}
+        self.use(np.concatenate([x.reshape(-1) for x in made.values()]).astype(np.float32))
+
+    def use(self, flat: np.ndarray) -> None:
+        """All parameters as one vector; p holds views of it."""
+        self.flat, self.p = flat, self._views(flat)
+
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        at, views = 0, {}
+        for name, shape in self.shapes.items():
+            n = int(np.prod(shape))
+            views[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return views
+
+    def __getstate__(self):
+        return self.shapes, self.flat
+
+    def __setstate__(self, state):
+        self.shapes, flat = state
+        self.use(flat.copy())
 
     def step(self, x: np.ndarray, h: np.ndarray):
         """x: the input's part of the gates. Returns the new state and what backpropagation needs."""
@@ -85,116 +111,130 @@ class WordNetwork:
         return n + z * (h - n), (z, r, q, n)
 
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log of each target's probability after state h; with grads, also d(-sum)/dh."""
-        p, cls, at = self.p, target // CLASS, target % CLASS
-        rows = np.arange(len(target))
-        logits = h @ p["c"] + p["cb"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
+        """Natural log of each target's probability after state h; with grads (zeros), also d(-sum)/dh."""
+        p, cls = self.p, target // CLASS
+        order = np.argsort(cls, kind="stable")  # by class: its words' part is one product
+        cuts = np.searchsorted(cls[order], np.arange(len(p["cb"]) + 1))
+        hs, cls, at, rows = h[order], cls[order], (target % CLASS)[order], np.arange(len(order))
+        e = hs @ p["c"]
+        e += p["cb"]
+        e -= e.max(axis=1, keepdims=True)
+        out = e[rows, cls]
+        np.exp(e, out=e)
         total = e.sum(axis=1)
-        out = logits[rows, cls] - np.log(total)
+        out -= np.log(total)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["c"], grads["cb"] = h.T @ d, d.sum(axis=0)
-            grads["o"], grads["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-            dh = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(len(p["cb"]) + 1))
-        hs, ats = h[order], at[order]
-        inner = np.empty(len(order), np.float32)
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            grads["c"] += hs.T @ e
+            grads["cb"] += e.sum(axis=0)
+            dh = e @ p["c"].T
         for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
             a, b = cuts[k], cuts[k + 1]
-            z = hs[a:b] @ p["o"][k] + p["ob"][k]
+            z = hs[a:b] @ p["o"][k]
+            z += p["ob"][k]
             z -= z.max(axis=1, keepdims=True)
-            e = np.exp(z)
-            total = e.sum(axis=1)
-            inner[a:b] = z[np.arange(b - a), ats[a:b]] - np.log(total)
+            chosen, mine = z[rows[: b - a], at[a:b]], rows[: b - a]
+            np.exp(z, out=z)
+            total = z.sum(axis=1)
+            out[a:b] += chosen - np.log(total)
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(b - a), ats[a:b]] -= 1
-                grads["o"][k], grads["ob"][k] = hs[a:b].T @ d, d.sum(axis=0)
-                dh[order[a:b]] += d @ p["o"][k].T
-        out[order] += inner
-        return out, dh
+                z /= total[:, None]
+                z[mine, at[a:b]] -= 1
+                grads["o"][k], grads["ob"][k] = hs[a:b].T @ z, z.sum(axis=0)
+                dh[a:b] += z @ p["o"][k].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return out[back], None if dh is None else dh[back]
 
     def train(self, docs: list[np.ndarray], seed: int = 2) -> None:
         """docs: numbers of the words, without the end. State goes on between windows; a new document starts at 0."""
-        moments = ({}, {}, [0])
+        moments = self.moments()
         for epoch in range(EPOCHS):
             rng = np.random.default_rng(seed + epoch)
             shuffled = [docs[i] for i in rng.permutation(len(docs))]
             self.once(shuffled, LANES, moments, lambda at, epoch=epoch: RATE * (1 - 0.9 * (epoch + at) / EPOCHS))
 
+    def moments(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """What Adam keeps: two vectors, and the number of steps."""
+        return np.zeros_like(self.flat), np.zeros_like(self.flat), [0]
+
     def once(self, docs: list[np.ndarray], lanes: int, moments, rate_at) -> None:
-        """One pass; moments (two by parameter, and the steps) go on from call to call, rate_at: by the share of docs read."""
+        """One pass; moments go on from call to call, rate_at: by the share of docs read."""
         m, v, steps = moments
-        inputs, targets, _, starts = in_lanes(docs, lanes)
-        h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
+        inputs, targets, _, starts = in_lanes([part for d in docs for part in _parts(d)], lanes)
+        h = np.zeros((inputs.shape[1], HIDDEN), self.flat.dtype)
         for t in range(0, len(inputs), WINDOW):
             x, y, s = inputs[t : t + WINDOW], targets[t : t + WINDOW], starts[t : t + WINDOW]
             g, h = self._gradients(x, y, s, h)
             steps[0] += 1
             rate = rate_at(t / len(inputs)) * min(1, steps[0] / 50)
-            norm = np.sqrt(sum(float((a * a).sum()) for a in g.values()))
-            clip = min(1, 1 / max(norm, 1e-9))
-            for k, a in g.items():
-                a = a * clip
-                m[k] = 0.9 * m.get(k, 0) + 0.1 * a
-                v[k] = 0.999 * v.get(k, 0) + 0.001 * a * a
-                self.p[k] -= (rate * (m[k] / (1 - 0.9 ** steps[0])) / (np.sqrt(v[k] / (1 - 0.999 ** steps[0])) + 1e-7)).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].reshape(-1) for k in sorted(self.p)]).astype(np.float64)
-
-    def unflat(self, x: np.ndarray) -> None:
-        at = 0
-        for k in sorted(self.p):
-            self.p[k] = x[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
-            at += self.p[k].size
+            g *= min(1, 1 / max(float(np.sqrt(g @ g)), 1e-9))
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            g *= g
+            g *= 0.001
+            v += g
+            np.sqrt(v, out=g)
+            g /= np.sqrt(1 - 0.999 ** steps[0])
+            g += 1e-7
+            np.divide(m, g, out=g)
+            g *= rate / (1 - 0.9 ** steps[0])
+            self.flat -= g
 
     def _gradients(self, x, y, starts, h):
+        """Of the mean loss of a window, as one vector like flat; and the state after it."""
         p, held, states = self.p, [], []
-        e = p["embed"][np.maximum(x, 0)]
-        xs = e @ p["w"] + p["b"]
+        flat = np.zeros_like(self.flat)
+        g = self._views(flat)
+        e = p["embed"][x]
+        xs = e @ p["w"]
+        xs += p["b"]
         for t in range(len(x)):
-            h = np.where(starts[t][:, None], 0, h)
+            if starts[t].any():
+                h = np.where(starts[t][:, None], 0, h)
             new, inner = self.step(xs[t], h)
             held.append((h, *inner))
             states.append(new)
             h = new
         live = y >= 0
-        g: dict[str, np.ndarray] = {}
         _, dlive = self.log_probability(np.stack(states)[live], y[live], g)
-        n = max(1, int(live.sum()))
-        d = np.zeros((*y.shape, HIDDEN), np.float32)
-        d[live] = dlive / n
-        for k in g:
-            g[k] = g[k] / n
-        g |= {"u": np.zeros_like(p["u"])}
-        dxs, back = np.zeros_like(xs), np.zeros_like(h)
+        d = np.zeros((*y.shape, HIDDEN), xs.dtype)
+        d[live] = dlive
+        dxs, dgs, back = np.empty_like(xs), np.empty_like(xs), np.zeros_like(h)
+        turned = np.ascontiguousarray(p["u"].T)
         for t in range(len(x) - 1, -1, -1):
             h0, z, r, q, nn = held[t]
             dh = d[t] + back
-            dz = dh * (h0 - nn) * z * (1 - z)
-            dn = dh * (1 - z) * (1 - nn * nn)
-            dr = dn * q * r * (1 - r)
-            dxs[t] = np.concatenate([dz, dr, dn], axis=1)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            g["u"] += h0.T @ dg
-            back = np.where(starts[t][:, None], 0, dh * z + dg @ p["u"].T)
-        flat = dxs.reshape(-1, 3 * HIDDEN)
-        g["w"], g["b"] = e.reshape(-1, EMBED).T @ flat, flat.sum(axis=0)
-        de = flat @ p["w"].T
-        g["embed"] = np.stack([np.bincount(np.maximum(x, 0).reshape(-1), de[:, k], len(p["embed"])) for k in range(EMBED)], axis=1)
-        return g, h
+            keep = 1 - z
+            dn = dh * keep * (1 - nn * nn)
+            dx, dg = dxs[t], dgs[t]
+            dx[:, :HIDDEN] = dh * (h0 - nn) * z * keep
+            dx[:, HIDDEN : 2 * HIDDEN] = dn * q * r * (1 - r)
+            dx[:, 2 * HIDDEN :] = dn
+            dg[:, : 2 * HIDDEN] = dx[:, : 2 * HIDDEN]
+            dg[:, 2 * HIDDEN :] = dn * r
+            back = dh * z + dg @ turned
+            if starts[t].any():
+                back = np.where(starts[t][:, None], 0, back)
+        rows = dxs.reshape(-1, 3 * HIDDEN)
+        g["u"][:] = np.stack([k[0] for k in held]).reshape(-1, HIDDEN).T @ dgs.reshape(-1, 3 * HIDDEN)
+        g["w"][:] = e.reshape(-1, EMBED).T @ rows
+        g["b"][:] = rows.sum(axis=0)
+        de, order = rows @ p["w"].T, np.argsort(x.reshape(-1), kind="stable")
+        words = x.reshape(-1)[order]
+        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+        g["embed"][words[first]] = np.add.reduceat(de[order], first, axis=0)
+        flat /= max(1, int(live.sum()))
+        return flat, h
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 of the probability of each whole document's entries and its end."""
         if not docs:
             return np.zeros(0)
-        inputs, targets, owner, starts = in_lanes(docs, SCORE_LANES)
+        inputs, targets, owner, starts = in_lanes([_whole(d) for d in docs], SCORE_LANES)
         table = self.p["embed"] @ self.p["w"] + self.p["b"]
         h, total = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros(len(docs))
         for t in range(0, len(inputs), SCORE_WINDOW):
@@ -211,25 +251,38 @@ class WordNetwork:
         return total / np.log(10)
 
 
-def in_lanes(docs: list[np.ndarray], most: int):
-    """Documents one after another in lanes of like length: inputs, targets (-1: none), owner, starts; time by lane."""
-    sizes = np.array([len(d) + 1 for d in docs])
+def _whole(doc: np.ndarray) -> np.ndarray:
+    """The end before the first word (what the first is predicted from), the words, the end."""
+    return np.concatenate([[_END], doc, [_END]]).astype(np.int32)
+
+
+def _parts(doc: np.ndarray) -> list[np.ndarray]:
+    """The same in parts of PART predictions; a part begins with the word before its first."""
+    full = _whole(doc)
+    return [full[i : i + PART + 1] for i in range(0, len(full) - 1, PART)]
+
+
+def in_lanes(runs: list[np.ndarray], most: int):
+    """Runs one after another in lanes of like length: inputs, targets (-1: none), owner, starts; time by lane.
+
+    Of a run, every entry but the first is predicted from those before it.
+    """
+    sizes = np.array([len(r) - 1 for r in runs])
     lanes = int(np.clip(sizes.sum() // sizes.max(), 1, most))
     ends = [(0, i) for i in range(lanes)]
-    places = np.zeros((len(docs), 2), int)
-    for d in np.argsort(-sizes, kind="stable"):  # the longest first, each into the shortest lane
+    places = np.zeros((len(runs), 2), int)
+    for r in np.argsort(-sizes, kind="stable"):  # the longest first, each into the shortest lane
         at, lane = heapq.heappop(ends)
-        places[d] = at, lane
-        heapq.heappush(ends, (at + int(sizes[d]), lane))
+        places[r] = at, lane
+        heapq.heappush(ends, (at + int(sizes[r]), lane))
     t = max(e for e, _ in ends)
     inputs, targets = np.full((t, lanes), _END, np.int32), np.full((t, lanes), -1, np.int32)
     owner, starts = np.zeros((t, lanes), np.int32), np.zeros((t, lanes), bool)
-    for i, d in enumerate(docs):
+    for i, r in enumerate(runs):
         at, lane = places[i]
-        inputs[at + 1 : at + len(d) + 1, lane] = d
-        targets[at : at + len(d), lane] = d
-        targets[at + len(d), lane] = _END
-        owner[at : at + len(d) + 1, lane] = i
+        inputs[at : at + len(r) - 1, lane] = r[:-1]
+        targets[at : at + len(r) - 1, lane] = r[1:]
+        owner[at : at + len(r) - 1, lane] = i
         starts[at, lane] = True
     return inputs, targets, owner, starts
 
@@ -277,6 +330,26 @@ def _count(batches):
     yield out()
 
 
+def _most_frequent(counts: DataFrame) -> DataFrame:
+    """HOT_WORDS of counts (word, n), or nearly so many, with no sort of all: whole levels of like counts
+    from the top, and of the level that no longer fits the words in the first parts by hash."""
+    level, part = F.floor(F.log2("n") * _LEVELS).cast("int"), F.pmod(F.xxhash64("word"), F.lit(_PARTS))
+    sizes = sorted(((r["l"], r["n"]) for r in counts.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    room, cut = HOT_WORDS, -1
+    for at, n in sizes:
+        if n > room:
+            cut = at
+            break
+        room -= n
+    if cut < 0:
+        return counts
+    parts, upto = {r["p"]: r["n"] for r in counts.filter(level == cut).groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}, 0
+    while upto < _PARTS and parts.get(upto, 0) <= room:
+        room -= parts.get(upto, 0)
+        upto += 1
+    return counts.filter((level > cut) | ((level == cut) & (part < upto)))
+
+
 def numbered(texts, model: LanguageModel):
     """For each text: its words, and the places of the hot ones (-1: not hot)."""
     get = model.places.get
@@ -290,14 +363,7 @@ def fit(training: DataFrame) -> LanguageModel:
     texts = small_batches(training).select("text").mapInArrow(_count, "word string, n long")
     counts = write_shared(texts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    # the least count with which at most HOT_WORDS words are hot
-    levels = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("words")).collect()
-    least, seen = 1 << 62, 0
-    for r in sorted(levels, key=lambda r: -r["n"]):
-        if seen + r["words"] > HOT_WORDS:
-            break
-        least, seen = r["n"], seen + r["words"]
-    rows = sorted(((r["word"], r["n"]) for r in counts.filter(F.col("n") >= least).collect()), key=lambda r: (-r[1], r[0]))
+    rows = sorted(((r["word"], r["n"]) for r in _most_frequent(counts).collect()), key=lambda r: (-r[1], r[0]))
     end = next((n for w, n in rows if w == END), None)
     if end is None:
         end = sum(r["n"] for r in counts.filter(F.col("word") == END).collect())
@@ -338,7 +404,8 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
     held = texts.sparkSession.sparkContext.broadcast(model.spread())
 
     def trained(batches):
-        network, moments, docs, size, tokens = copy.deepcopy(held.value.network), ({}, {}, [0]), [], 0, 0
+        network, docs, size, tokens = copy.deepcopy(held.value.network), [], 0, 0
+        moments = network.moments()
 
         def learn():
             with one_thread():
@@ -355,7 +422,7 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
             learn()
             tokens += size
         if tokens:
-            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([network.flat().astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([network.flat.tobytes()], pa.binary())], ["n", "p"])
 
     def summed(batches):
         n, p = 0, 0.0
@@ -363,13 +430,15 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 n, p = n + k, p + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([p.tobytes()], pa.binary())], ["n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(p / n).astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
 
     parts = write_shared(texts.mapInArrow(trained, "n long, p binary"), "networks")
+    while (tasks := parts.count()) > SUMS * FAN_IN:  # averages of averages: no task reads more than some FAN_IN networks
+        parts = write_shared(parts.repartition(-(-tasks // FAN_IN)).mapInArrow(summed, "n long, p binary"), "networks")
     sums = parts.coalesce(SUMS).mapInArrow(summed, "n long, p binary").collect()
     if sums:
-        total = sum(np.frombuffer(r["p"], np.float64) for r in sums)
-        model.network.unflat(total / sum(r["n"] for r in sums))
+        total = sum(r["n"] * np.frombuffer(r["p"], np.float32).astype(np.float64) for r in sums)
+        model.network.use((total / sum(r["n"] for r in sums)).astype(np.float32))
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:

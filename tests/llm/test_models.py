@@ -175,6 +175,34 @@ def test_lm_learns_from_documents_outside_the_sample(spark, monkeypatch):
     assert r["score"] > 0.5 * r["base_score"]
 
 
+def test_lm_ties_keep_a_full_vocabulary(spark, monkeypatch):
+    """More words of one count than may be hot: as many as fit are, not none."""
+    monkeypatch.setattr(lm, "HOT_WORDS", 500)
+    words = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(60)], "doc_id long, text string")
+    model = lm.fit(docs)
+    assert 400 <= len(model.places) <= 500 and model.other[1] == 3000 - len(model.places)
+    r = lm.score(docs, model).first()
+    assert r["n_known"] == r["n_tokens"] == 51
+
+
+def test_lm_scores_a_very_long_text_whole(spark):
+    docs = spark.createDataFrame([(1, "one two three " * 30_000), (2, "one two"), (3, None)], "doc_id long, text string")
+    model = lm.fit(docs)
+    by = {r["doc_id"]: r for r in lm.score(docs, model).collect()}
+    assert by[1]["n_tokens"] == 90_001 and by[1]["base_score"] < by[1]["score"] < 0 and by[3]["n_tokens"] == 1
+    half = lm.score(spark.createDataFrame([(1, "one two three " * 15_000)], "doc_id long, text string"), model).first()
+    assert by[1]["score"] < half["score"]
+
+
+def test_lm_averages_of_averages(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "one two three four five six " * 20) for i in range(64)], "doc_id long, text string").repartition(8)
+    whole = lm.fit(docs).network.flat
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    monkeypatch.setattr(lm, "SUMS", 1)
+    assert np.allclose(lm.fit(docs).network.flat, whole, atol=1e-4)
+
+
 def test_lm_is_a_distribution_and_carries_state():
     net = lm.WordNetwork(np.array([5, 3, 2, 1, 1]))
     h = np.random.default_rng(1).standard_normal((1, lm.HIDDEN)).astype(np.float32)
@@ -193,7 +221,7 @@ def test_lm_is_a_distribution_and_carries_state():
 
 def test_lm_gradients():
     net = lm.WordNetwork(np.array([5, 3, 2, 1, 1]))
-    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.use(net.flat.astype(np.float64))
     rng = np.random.default_rng(1)
     x, y = rng.integers(0, 5, (6, 2)), rng.integers(0, 5, (6, 2))
     starts = np.zeros((6, 2), bool)
@@ -209,7 +237,7 @@ def test_lm_gradients():
             total -= float(net.log_probability(s, y[t])[0].sum())
         return total / 12
 
-    g, _ = net._gradients(x, y, starts, h)
+    g = net._views(net._gradients(x, y, starts, h)[0])
     for k in ("embed", "w", "b", "u", "c", "o"):
         at = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         old, e = net.p[k][at], 1e-3
