@@ -32,16 +32,18 @@ from .common import one_thread, small_batches, write_shared
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
 HOT_WORDS = 200_000
-VOCABULARY, CLASS = 16_384, 128
+VOCABULARY = 8192
+#: The rarer words, the larger their class: its size is a SHARE-th of the number of words before it, SHARE / 2 at least.
+SHARE = 16
 HIDDEN, EMBED = 48, 24
 #: The network begins on whole training documents of about so many tokens in all, by hash of the id;
 #: from there on it learns from all training documents.
 SAMPLE_TOKENS = 600_000
 #: Every task trains a network of its own over its documents, SHARD_TOKENS at a time; networks are averaged by tokens.
-SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_000_000, 256, 0.004
-#: Averages of networks that go to the driver, at most (some 5 MB each).
+SHARD_TOKENS, SHARD_LANES, SHARD_RATE = 1_500_000, 384, 0.006
+#: Averages of networks that go to the driver, at most (some 3 MB each).
 SUMS, FAN_IN = 4, 64
-EPOCHS, LANES, WINDOW, RATE = 2, 48, 24, 0.004
+EPOCHS, LANES, WINDOW, RATE = 2, 48, 32, 0.004
 #: For learning, a longer text is cut into parts of so many words that run side by side; scoring cuts none.
 PART = 2048
 SCORE_LANES, SCORE_WINDOW = 256, 64
@@ -68,17 +70,14 @@ class WordNetwork:
     def __init__(self, counts: np.ndarray, seed: int = 1):
         """counts: of the vocabulary's entries, in the order of their numbers."""
         rng = np.random.default_rng(seed)
-        k = -(-len(counts) // CLASS)
-        held = np.zeros(k * CLASS)
-        held[: len(counts)] = counts + 0.5
-        held = held.reshape(k, CLASS)
+        self._classes(_class_starts(len(counts)))
+        held, k = counts + 0.5, len(self.first) - 1
+        mass = np.add.reduceat(held, self.first[:-1])
         draw = lambda scale, *s: rng.standard_normal(s) * scale
-        with np.errstate(divide="ignore"):
-            inner = np.where(held > 0, np.log(held / held.sum(axis=1, keepdims=True)), -1e9)
         made = {
-            "embed": draw(0.3, k * CLASS, EMBED), "w": draw(EMBED**-0.5, EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN),
-            "u": draw(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), "c": draw(0.05, HIDDEN, k), "cb": np.log(held.sum(axis=1) / held.sum()),
-            "o": draw(0.05, k, HIDDEN, CLASS), "ob": inner,
+            "embed": draw(0.3, len(held), EMBED), "w": draw(EMBED**-0.5, EMBED, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN),
+            "u": draw(HIDDEN**-0.5, HIDDEN, 3 * HIDDEN), "c": draw(0.05, HIDDEN, k), "cb": np.log(mass / mass.sum()),
+            "o": draw(0.05, len(held), HIDDEN), "ob": np.log(held / mass[self.of]),
         }
         self.shapes = {name: x.shape for name, x in made.items()}
         self.use(np.concatenate([x.reshape(-1) for x in made.values()]).astype(np.float32))
@@ -95,11 +94,16 @@ class WordNetwork:
             at += n
         return views
 
+    def _classes(self, first: np.ndarray) -> None:
+        """first: where classes begin, and the end; of: each entry's class."""
+        self.first, self.of = first, np.repeat(np.arange(len(first) - 1), np.diff(first))
+
     def __getstate__(self):
-        return self.shapes, self.flat
+        return self.shapes, self.first, self.flat
 
     def __setstate__(self, state):
-        self.shapes, flat = state
+        self.shapes, first, flat = state
+        self._classes(first)
         self.use(flat.copy())
 
     def step(self, x: np.ndarray, h: np.ndarray):
@@ -112,10 +116,10 @@ class WordNetwork:
 
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log of each target's probability after state h; with grads (zeros), also d(-sum)/dh."""
-        p, cls = self.p, target // CLASS
+        p, cls = self.p, self.of[target]
         order = np.argsort(cls, kind="stable")  # by class: its words' part is one product
-        cuts = np.searchsorted(cls[order], np.arange(len(p["cb"]) + 1))
-        hs, cls, at, rows = h[order], cls[order], (target % CLASS)[order], np.arange(len(order))
+        hs, cls, rows = h[order], cls[order], np.arange(len(order))
+        cuts, at = np.searchsorted(cls, np.arange(len(self.first))), target[order] - self.first[cls]
         e = hs @ p["c"]
         e += p["cb"]
         e -= e.max(axis=1, keepdims=True)
@@ -125,25 +129,26 @@ class WordNetwork:
         out -= np.log(total)
         dh = None
         if grads is not None:
-            e /= total[:, None]
+            e *= (1 / total)[:, None]
             e[rows, cls] -= 1
             grads["c"] += hs.T @ e
             grads["cb"] += e.sum(axis=0)
             dh = e @ p["c"].T
-        for k in np.flatnonzero(cuts[1:] > cuts[:-1]):
-            a, b = cuts[k], cuts[k + 1]
-            z = hs[a:b] @ p["o"][k]
-            z += p["ob"][k]
+        for k in np.flatnonzero((cuts[1:] > cuts[:-1]) & (np.diff(self.first) > 1)):
+            a, b, words = cuts[k], cuts[k + 1], slice(self.first[k], self.first[k + 1])
+            own, mine, chosen = hs[a:b], rows[: b - a], at[a:b]
+            z = own @ p["o"][words].T
+            z += p["ob"][words]
             z -= z.max(axis=1, keepdims=True)
-            chosen, mine = z[rows[: b - a], at[a:b]], rows[: b - a]
+            out[a:b] += z[mine, chosen]
             np.exp(z, out=z)
             total = z.sum(axis=1)
-            out[a:b] += chosen - np.log(total)
+            out[a:b] -= np.log(total)
             if grads is not None:
-                z /= total[:, None]
-                z[mine, at[a:b]] -= 1
-                grads["o"][k], grads["ob"][k] = hs[a:b].T @ z, z.sum(axis=0)
-                dh[a:b] += z @ p["o"][k].T
+                z *= (1 / total)[:, None]
+                z[mine, chosen] -= 1
+                grads["o"][words], grads["ob"][words] = z.T @ own, z.sum(axis=0)
+                dh[a:b] += z @ p["o"][words]
         back = np.empty_like(order)
         back[order] = rows
         return out[back], None if dh is None else dh[back]
@@ -251,6 +256,15 @@ class WordNetwork:
         return total / np.log(10)
 
 
+def _class_starts(n: int) -> np.ndarray:
+    """Where the classes of n entries begin, and the end: the first (words outside the vocabulary)
+    is a class of its own; the others grow with the number of entries before them."""
+    at = [0]
+    while at[-1] < n:
+        at.append(min(n, at[-1] + max(SHARE // 2, at[-1] // SHARE) if at[-1] else 1))
+    return np.array(at)
+
+
 def _whole(doc: np.ndarray) -> np.ndarray:
     """The end before the first word (what the first is predicted from), the words, the end."""
     return np.concatenate([[_END], doc, [_END]]).astype(np.int32)
