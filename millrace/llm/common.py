@@ -94,8 +94,9 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def groups(batches, names: tuple[str, ...]):
-    """Runs of rows with equal values in names of a sorted stream of Arrow batches, as tables."""
+def group_runs(batches, names: tuple[str, ...]):
+    """Whole groups of rows with equal values in names of a sorted stream of Arrow batches, several
+    at a time: a table, and where its groups begin."""
     import pyarrow as pa
 
     rest = None
@@ -106,11 +107,18 @@ def groups(batches, names: tuple[str, ...]):
             continue
         held = np.stack([t.column(k).to_numpy() for k in names])
         cuts = np.flatnonzero((held[:, 1:] != held[:, :-1]).any(axis=0)) + 1
-        for x, y in zip(np.append(0, cuts[:-1]), cuts, strict=True) if len(cuts) else ():
-            yield t.slice(x, y - x)
+        if len(cuts):
+            yield t.slice(0, cuts[-1]), np.append(0, cuts[:-1])
         rest = t.slice(cuts[-1]) if len(cuts) else t
     if rest is not None:
-        yield rest
+        yield rest, np.zeros(1, int)
+
+
+def groups(batches, names: tuple[str, ...]):
+    """The same, one group at a time."""
+    for t, starts in group_runs(batches, names):
+        for x, y in zip(starts, np.append(starts[1:], t.num_rows), strict=True):
+            yield t.slice(x, y - x)
 
 
 @contextlib.contextmanager

@@ -174,6 +174,28 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+# All pairs, in double precision; the operator finds those that its tables bring together.
+SQL["op9_embedding_dedup"] = """
+with recursive rows as (
+  select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+units as (select vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as size from rows),
+links as (
+  select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_inner_product(a.v, b.v) >= 0.95::double * a.size * b.size),
+reach as (
+  select vec_id as id, vec_id as seen from embeddings
+  union
+  select r.id, l.b from reach r join links l on l.a = r.seen),
+least as (select id, min(seen) as component_id from reach group by id),
+counts as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join least on id = e.vec_id left join counts on a = e.vec_id
+"""
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     fold = remainder(F.col("doc_id"), 5)

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from millrace.llm import minhash
+from millrace.llm import embed, minhash
 from millrace.llm.components import connected_components
 from millrace.llm.cuckoo import CuckooFilter
 from millrace.llm.embed import near_vectors
@@ -96,11 +96,61 @@ def test_vectors_against_brute_force(spark):
     n = {i: sum(i in e for e in near) for i in names}
     assert sum(found[i]["n_links"] for i in names) >= 0.95 * sum(n.values()) > 0
     assert all(found[i]["n_links"] <= n[i] for i in names) and found[907]["n_links"] == n[907]
-    for i in (900, 901, 902, 903, 904, 905, 906):
+    for i in (900, 901, 902, 903, 904, 905, 906):  # 906 is the only one of its length
         assert (found[i]["n_links"], found[i]["component_id"], found[i]["kept"]) == (0, i, True)
     assert near_vectors(df.limit(0)).count() == 0 and len(found) == len(rows)
 
 
+def _brute_vectors(rows):
+    """(n_links, component) of each row (vec_id, vector), all lengths, double precision."""
+    x = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links = [(a, b) for a in range(len(x)) for b in range(a) if len(x[a]) == len(x[b]) and float(x[a] @ x[b]) >= 0.95]
+    at = _components(range(len(x)), links)
+    least = {}
+    for i, r in at.items():
+        least[r] = min(least.get(r, rows[i][0]), rows[i][0])
+    return [(rows[i][0], sum(i in e for e in links), least[at[i]]) for i in range(len(x))]
+
+
+def test_vectors_of_several_lengths_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for dims, n in ((3, 12), (8, 30), (16, 20)):
+        base = rng.standard_normal((n, dims))
+        rows += [(len(rows) + k, v.tolist()) for k, v in enumerate(np.concatenate([base, base + 0.02 * rng.standard_normal(base.shape)]))]
+    a, b = rng.standard_normal((2, 8))
+    rows += [(500, a.tolist()), (500, b.tolist()), (501, (a + 0.01).tolist()), (502, (b + 0.01).tolist()), (503, [1.0, 0.0]), (503, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(df).collect())
+    assert found == sorted(_brute_vectors(rows))
+
+
+def test_vectors_in_a_bucket_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr("millrace.llm.embed.BLOCK", 16)
+    monkeypatch.setattr("millrace.llm.embed.FEW", 6)
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(12)
+    rows = [(i, (centre + 0.04 * rng.standard_normal(12)).tolist()) for i in range(150)] + [(i, rng.standard_normal(12).tolist()) for i in range(150, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(i, np.array(v, np.float32).astype(float).tolist()) for i, v in rows]
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(df).collect()) == sorted(_brute_vectors(rows))
+
+
+def test_vectors_meet_as_often_as_promised():
+    """Pairs of exactly the threshold, also where all vectors lie to one side, and short ones."""
+    rng = np.random.default_rng(8)
+    for dims, mean, n in ((64, 0.0, 50_000), (32, 0.0, 50_000), (64, 1.0, 50_000), (64, 0.0, 1_000_000_000)):
+        x = rng.standard_normal((4000, dims)) + mean
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = embed.learn(x[:3000], n)
+        u = rng.standard_normal((1000, dims))
+        u -= (u * x[3000:]).sum(axis=1, keepdims=True) * x[3000:]
+        y = 0.95 * x[3000:] + np.sqrt(1 - 0.95**2) * u / np.linalg.norm(u, axis=1, keepdims=True)
+        assert (q.keys(x[3000:]) == q.keys(y)).any(axis=1).mean() > 0.95 and q.width >= np.log2(n)
+        lone = embed.unlearned(dims, n)
+        assert mean or (lone.keys(x[3000:]) == lone.keys(y)).any(axis=1).mean() > 0.9
+
+
 def test_cuckoo_filter():
     rng = np.random.default_rng(1)
     h = rng.integers(-(1 << 62), 1 << 62, 4000)
