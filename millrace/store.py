@@ -9,6 +9,7 @@ systems; nothing is written beside them.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import json
 import os
 import tempfile
@@ -30,32 +31,57 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that every executor sees: ``spark.checkpoint.dir``.
+
+    Where it is unset, a temporary folder is used on a local master only; on a
+    cluster that is an error, since other machines would not see the files.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(_shared, "own"):
-        _shared.own = tempfile.mkdtemp(prefix="millrace-")
-    return f"file://{_shared.own}"
+    if not hasattr(shared_dir, "own"):
+        shared_dir.own = tempfile.mkdtemp(prefix="millrace-")
+    return f"file://{shared_dir.own}"
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a table in the shared folder, deleted when Python ends."""
-    spark, schema = df.sparkSession, df.schema
-    path = f"{_shared(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+_made: dict[str, SparkSession] = {}
 
-    def clean():
-        if spark.sparkContext._jsc is not None:
+
+def _clean() -> None:
+    for path, spark in _made.items():
+        with contextlib.suppress(Exception):  # the session may have ended: then nothing can be deleted through it
             fs, p = _fs(spark, path)
             fs.delete(p, True)
 
-    atexit.register(clean)
-    df.write.parquet(path)
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df to the shared folder and read it again.
+
+    A lost executor costs no work before this point. The files go with drop_scratch(), or when
+    Python ends.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def drop_scratch(*frames: DataFrame) -> None:
+    """Delete tables of scratch() that no later plan reads."""
+    for df in frames:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            fs, p = _fs(df.sparkSession, path)
+            fs.delete(p, True)
+            for known in [k for k in _made if k.rpartition("/")[2] == path.rpartition("/")[2]]:
+                del _made[known]
+
+
 class Store:
     """Tables messages, checkpoints, executions, deliveries, edges and runtime under one folder."""
 
