@@ -8,15 +8,19 @@ Poisson distribution. The copies are then shuffled globally by a second hash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import write_shared
 
-#: The per-source table is broadcast up to so many sources (a few MB); beyond, it is joined.
-MAX_BROADCAST_GROUPS = 20_000
+#: The per-source table is broadcast up to so many steps of distributions in all (some 40 MB); beyond, it is joined.
+MAX_BROADCAST_STEPS = 5_000_000
 _SALTS = 64
+#: A distribution is tabled so many standard deviations (and steps) to either side of its mean: beyond lies less than doubles tell.
+_WIDTH, _MORE = 12, 24
 
 
 def _unit(*parts):
@@ -39,24 +43,32 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None, group: s
         for name, value in sorted(weights.items()):
             weight = F.when(F.col("mr_group") == name, F.lit(float(value))).otherwise(weight)
     sizes = sizes.withColumn("mr_weight", F.when(F.col("mr_size") > 0, weight).otherwise(0.0))
-    every = Window.partitionBy()  # over the groups, not the documents
-    share = F.col("mr_weight") / F.sum("mr_weight").over(every)
-    total = F.sum("mr_size").over(every).cast("double")
-    rate = F.lit(float(budget)) * total * share / F.col("mr_size")
+    sizes = write_shared(sizes, "sizes")
+    sums = sizes.agg(F.coalesce(F.sum("mr_size"), F.lit(0)).alias("size"), F.coalesce(F.sum("mr_weight"), F.lit(0.0)).alias("weight")).first()
+    share = F.col("mr_weight") / F.lit(sums["weight"])
+    rate = F.lit(float(budget)) * F.lit(float(sums["size"])) * share / F.col("mr_size")
     return sizes.withColumn("mr_rate", F.when(F.col("mr_weight") > 0, rate).otherwise(0.0))
 
 
-def _cumulative(rate):
-    """The Poisson distribution function at 0, 1, 2 ... as an array, as far as doubles tell."""
-    most = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")
-    zero = F.struct((-rate).alias("lp"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("all"))
+def _log_factorial(k: Column) -> Column:
+    """ln(k!), by Stirling's series from 16 on."""
+    x = k.cast("double") + 1
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    small = F.array(*[F.lit(math.lgamma(n + 1)) for n in range(16)])
+    return F.when(k < 16, F.get(small, k.cast("int"))).otherwise(series)
 
-    def step(acc, k):
-        lp = acc["lp"] + F.log(rate) - F.log(k.cast("double"))
-        c = acc["c"] + F.exp(lp)
-        return F.struct(lp.alias("lp"), c.alias("c"), F.concat(acc["all"], F.array(c)).alias("all"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), most), zero, step)["all"]).otherwise(F.array(F.lit(2.0)))
+def _distributions(rates: DataFrame) -> DataFrame:
+    """(mr_group, mr_first, mr_cdf): the Poisson distribution function at mr_first, mr_first + 1, ... of each
+    group, around its mean only, as far as doubles tell. A group of rate 0 has an empty one."""
+    rate = F.col("mr_rate")
+    spread = _WIDTH * F.sqrt(rate) + _MORE
+    first, last = F.greatest(F.lit(0), F.floor(rate - spread)), F.ceil(rate + spread)
+    steps = rates.select("mr_group", "mr_rate", first.alias("mr_first"), F.explode(F.when(rate > 0, F.sequence(first, last))).alias("k"))
+    steps = steps.withColumn("p", F.exp(F.col("k") * F.log("mr_rate") - F.col("mr_rate") - _log_factorial(F.col("k"))))
+    upto = steps.withColumn("c", F.sum("p").over(Window.partitionBy("mr_group").orderBy("k")))
+    made = upto.groupBy("mr_group").agg(F.first("mr_first").alias("mr_first"), F.array_sort(F.collect_list("c")).alias("mr_cdf"))
+    return rates.filter(rate <= 0).select("mr_group", F.lit(0).cast("bigint").alias("mr_first"), F.lit(None).cast("array<double>").alias("mr_cdf")).union(made)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, group: str = "source", budget: float = 1.0, seed: int = 17) -> DataFrame:
@@ -67,23 +79,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, *, group: str
     Null group: a group of its own. Null doc_id: drawn as the text 'null'. Null or empty
     text: drawn at its group's rate. Rows with one doc_id get the same count each. Empty
     table: an empty result. The per-group table is broadcast only up to
-    MAX_BROADCAST_GROUPS groups; above, documents are salted and joined, so that no group,
+    MAX_BROADCAST_STEPS steps; above, documents are salted and joined, so that no group,
     however large, meets in one task.
     """
     docs = docs.drop("copy", "shuffle_key")
-    rates = repetition_rates(docs, weights, group, budget).select("mr_group", _cumulative(F.col("mr_rate")).alias("mr_cdf"))
-    rates = write_shared(rates, "rates")
+    rates = write_shared(_distributions(repetition_rates(docs, weights, group, budget)), "rates")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = docs.withColumn("mr_u", _unit(F.lit(str(seed)), key))
-    if rates.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS:
+    if (rates.agg(F.sum(F.greatest(F.size("mr_cdf"), F.lit(1)))).first()[0] or 0) <= MAX_BROADCAST_STEPS:
         joined = drawn.join(F.broadcast(rates), drawn[group].eqNullSafe(rates["mr_group"]))
     else:
         drawn = drawn.withColumn("mr_salt", F.floor(F.col("mr_u") * 2**20 % _SALTS).cast("int"))
         salted = rates.withColumn("mr_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
         joined = drawn.join(salted, drawn[group].eqNullSafe(salted["mr_group"]) & (drawn["mr_salt"] == salted["mr_s"]))
-    count = F.size(F.filter("mr_cdf", lambda c: c <= F.col("mr_u")))
-    copies = joined.withColumn("mr_n", count).filter("mr_n > 0")
-    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("mr_n") - 1)))
+    beyond = F.size(F.filter("mr_cdf", lambda c: c <= F.col("mr_u")))
+    copies = joined.withColumn("mr_n", F.coalesce(F.col("mr_first") + F.when(F.col("mr_cdf").isNotNull(), beyond), F.lit(0))).filter("mr_n > 0")
+    copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("mr_n") - 1).cast("int"))))
     order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}-order"), key, F.col("copy").cast("string"))), 1, 15), 16, 10)
     out = copies.withColumn("shuffle_key", order.cast("bigint")).select(*docs.columns, "copy", "shuffle_key")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
