@@ -8,13 +8,15 @@
 3. In a bucket, members are linked to one centre, not with each other: the member that meets
    most others in its buckets. Each member keeps its best centre. Such an edge is confirmed
    on the full sets; confirmed edges give components.
-4. Where a bucket's members are still in several components, pairs across components are
-   compared in blocks of rows, by bottom-512 sketches that are exact for sets of up to 512
-   shingles. No pair becomes a row but those that the sketches can't refute; these are
-   confirmed on the full sets. So a star loses no link between members of a bucket.
+4. Where a bucket's members are still in several components, those outside the largest one
+   are compared with it and with each other, in blocks of rows, by bottom-512 sketches that
+   are exact for sets of up to 512 shingles. No pair becomes a row but those that the sketches
+   can't refute; these are confirmed on the full sets. So a star loses no link between
+   members of a bucket, and a bucket of one component and a few strays costs a few times its
+   rows.
 
 A pair of similarity 0.85 shares none of 25 buckets with probability 4e-7. A sketch of a
-larger set refutes a pair only five standard deviations below the threshold.
+larger set refutes a pair only eight standard deviations below the threshold (6e-16).
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, groups, mix64, small_batches, word_hashes, write_shared
+from .common import blocks, drop_shared, groups, mix64, pieces, word_hashes, write_shared
 from .components import connected_components
 
 WORDS = 5
@@ -32,6 +34,9 @@ PERCENT = 85
 BINS = 128
 BANDS, ROWS = 25, 5
 SKETCH = 512
+#: A sketch of a larger set refutes a pair so many standard deviations below the threshold; inf: never,
+#: then every such pair of a bucket's different components is confirmed on full sets.
+DEVIATIONS = 8.0
 #: Rows of a bucket that are compared with as many others in one group.
 BLOCK = 512
 #: Ids of documents whose sets are wanted are broadcast up to so many (some 32 MB); beyond, joined.
@@ -104,7 +109,7 @@ def _signatures(batches):
 
 def _sets(batches):
     """The whole set, and the bottom-k sketch: the upper 32 bits of its least hashes."""
-    for batch in batches:
+    for batch in pieces(batches, 1):
         full, short, keys = [], [], []
         for s in shingle_sets(batch.column(1)):
             full.append(s.tobytes())
@@ -126,7 +131,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def _confirm(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "y", 1 << 24):
             last, centre, keep = None, None, []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x = x.as_py()
@@ -147,16 +152,21 @@ def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _left(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """Rows of buckets whose members are in several components: key, band, id, n, comp, blocks."""
+    """Rows of buckets whose members are in several components: key, band, id, n, comp; stray: outside
+    the bucket's largest component; and how many blocks its rows and the strays make."""
     named = buckets.join(components, buckets["id"] == components["cid"], "left")
     named = named.select("key", "band", "id", "n", F.coalesce("comp", "id").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows"))
-    mixed = mixed.filter("lo < hi").select("key", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    return named.join(mixed, "key")
+    sizes = named.groupBy("key", "comp").agg(F.count("*").alias("rows"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("rows"))
+    strays = F.col("rows") - F.col("main.rows")
+    blocks_of = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    mixed = mixed.filter(strays > 0).select("key", F.col("main.comp").alias("main"), blocks_of(F.col("main.rows")).alias("blocks"), blocks_of(strays).alias("strays"))
+    return named.join(mixed, "key").withColumn("stray", F.col("comp") != F.col("main"))
 
 
 def _refute(group, percent: int) -> list[tuple[int, int]]:
-    """Of two blocks of one bucket's rows: the pairs across components that sketches can't refute."""
+    """Of two blocks of one bucket's rows (i: strays, j: strays, or from -1 downwards the largest
+    component's): the pairs across components that sketches can't refute."""
     i, j, own = (group.column(k)[0].as_py() for k in ("i", "j", "band"))
     ids, comp, block, n = (group.column(k).to_numpy() for k in ("id", "comp", "block", "n"))
     bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(len(ids), BANDS)
@@ -191,7 +201,7 @@ def _refute(group, percent: int) -> list[tuple[int, int]]:
         ours = np.searchsorted(parts[x], last, side="right")
         seen = np.maximum(ours + theirs - both, 1)
         level = percent / 100
-        slack = np.where(np.maximum(n, n[x]) <= SKETCH, 0, 5 * np.sqrt(level * (1 - level) / seen)) + 1e-9
+        slack = np.where(np.maximum(n, n[x]) <= SKETCH, 0, DEVIATIONS * np.sqrt(level * (1 - level) / seen)) + 1e-9
         found += [(min(ids[x], ids[y]), max(ids[x], ids[y])) for y in np.flatnonzero(other & (both / seen >= level - slack))]
     return found
 
@@ -216,9 +226,14 @@ def _pairs(found) -> pa.RecordBatch:
 
 def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs to confirm, each bucket's rows dealt in blocks; a group has two blocks at most."""
-    rows = left.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", "band", "id", "n", "comp", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    # strays meet every block of strays, and every block of the rest (-1, -2, ...); the rest meets the strays' blocks
+    of_strays, of_rest = F.sequence(F.lit(0), F.col("strays") - 1), F.sequence(F.lit(-1), -F.col("blocks"), F.lit(-1))
+    rows = left.withColumn("block", F.when(F.col("stray"), block(F.col("strays"))).otherwise(-1 - block(F.col("blocks"))))
+    rows = rows.withColumn("o", F.explode(F.when(F.col("stray"), F.concat(of_strays, of_rest)).otherwise(of_strays)))
+    rows = rows.withColumn("i", F.when((F.col("block") >= 0) & (F.col("o") >= 0), F.least("block", "o")).otherwise(F.greatest("block", "o")))
+    rows = rows.withColumn("j", F.when((F.col("block") >= 0) & (F.col("o") >= 0), F.greatest("block", "o")).otherwise(F.least("block", "o")))
+    rows = rows.select("key", "band", "id", "n", "comp", "block", "i", "j")
     rows = rows.join(sets.select("id", "sketch", "bands"), "id")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     return rows.mapInArrow(_open_pairs(percent), "a long, b long").distinct()
@@ -233,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     nothing. Null doc_id: linked with nothing, component_id null, kept. Rows with one doc_id
     stand for one document. Empty table: empty result. Other columns are ignored.
     """
-    texts = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = write_shared(texts.mapInArrow(_signatures, "doc_id long, n long, s1 long, s2 long, bands array<long>"), "signed")
     valid = signed.filter("n > 0 and doc_id is not null")
     classes = write_shared(valid.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -259,6 +274,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT) -> DataFrame:
     more = write_shared(_confirmed(more, sets, percent), "links")
     if more.limit(1).count():
         components = connected_components(links.union(more)).select(F.col("id").alias("cid"), F.col("component").alias("comp"))
+    drop_shared(buckets, wanted, sets, links, more)
     named = classes.join(components, classes["rep"] == components["cid"], "left").select("s1", "s2", F.coalesce("comp", "rep").alias("comp"))
     held = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("s1")).alias("s1"), "s2")
     out = held.join(named, (held["s1"] == named["s1"]) & (held["s2"] == named["s2"]) & held["doc_id"].isNotNull(), "left")
