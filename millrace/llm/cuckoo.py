@@ -38,6 +38,10 @@ class CuckooFilter:
         made.insert(hashes)
         return made
 
+    def room(self) -> int:
+        """How many hashes it takes at a load of 80 %."""
+        return self.buckets * _SLOTS * 4 // 5
+
     def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = mix64(np.asarray(hashes).astype(np.uint64))
         prints = (m >> np.uint64(48)).astype(np.uint16)

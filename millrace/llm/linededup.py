@@ -5,11 +5,12 @@ State of a LineIndex, all in tables of the shared folder:
 * postings (doc_id, h1, h2): which document holds which line key, once each;
 * counts (h1, h2, n_docs, keeper): the exact number of documents of a key, and the largest
   doc_id among them;
-* filters (shard, bits): for each shard of the key space, a cuckoo filter of the keys that
-  reach the threshold.
+* filters (shard, room, bits): for each shard of the key space, a cuckoo filter of the keys that
+  reach the threshold, and how many it takes at a load of 80 %.
 
 insert() and delete() change all three; a deletion takes fingerprints out of the filters
-again, so the index is as if the document had never been there. A document's lines are
+again, so the index is as if the document had never been there. A shard that outgrows its
+filter gets a larger one, made from the counts; as the keys grow, all shards are split in two. A document's lines are
 tested against the filters first; only those that pass are joined with the exact counts,
 which decide. Keys are 128-bit hashes (xxh3) of the normalised line.
 """
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, small_batches, write_shared
+from .common import SPACES, pieces, write_shared
 from .cuckoo import CuckooFilter
 
 MIN_CHARS = 20
@@ -45,7 +46,7 @@ def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
 
 def _postings_of(min_chars: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             ids, keys = [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text and doc_id is not None:
@@ -106,26 +107,35 @@ def _build_filter(key, group):
     import pandas as pd
 
     hashes = group["h1"].to_numpy() ^ group["h2"].to_numpy()
-    return pd.DataFrame({"shard": [key[0]], "bits": [CuckooFilter.of(hashes).to_bytes()]})
+    made = CuckooFilter.of(hashes)
+    return pd.DataFrame({"shard": [key[0]], "room": [made.room()], "bits": [made.to_bytes()]})
 
 
 def _change_filter(key, old, changes):
     """changes: add boolean. Takes away what fell below the threshold, then adds."""
     import pandas as pd
 
-    now = CuckooFilter.from_bytes(old["bits"].iloc[0]) if len(old) else CuckooFilter.sized(KEYS_PER_SHARD)
+    now = CuckooFilter.from_bytes(old["bits"].iloc[0])
     hashes, add = changes["h1"].to_numpy() ^ changes["h2"].to_numpy(), changes["add"].to_numpy(bool)
     if len(hashes):
         now.delete(hashes[~add])
         now.insert(hashes[add])
-    return pd.DataFrame({"shard": [key[0]], "bits": [now.to_bytes()]})
+    return pd.DataFrame({"shard": [key[0]], "room": [now.room()], "bits": [now.to_bytes()]})
+
+
+def _shards_for(keys: int) -> int:
+    return 1 << max(4, (keys // KEYS_PER_SHARD).bit_length())
+
+
+def _built(often: DataFrame) -> DataFrame:
+    return often.groupBy("shard").applyInPandas(_build_filter, "shard long, room long, bits binary")
 
 
 def _rewrite(min_chars: int, names: list[str]):
     """Drop the lines whose keys stand in the column drops."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             texts, n_lines, n_dropped, digests = [], [], [], []
             for text, drops in zip(batch.column("text").to_pylist(), batch.column("mr_drops").to_pylist(), strict=True):
                 lines = (text or "").split("\n")
@@ -152,7 +162,7 @@ class LineIndex:
 
     @staticmethod
     def _postings(docs: DataFrame, min_chars: int) -> DataFrame:
-        made = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         return made.mapInArrow(_postings_of(min_chars), "doc_id long, h1 long, h2 long")
 
     @classmethod
@@ -162,21 +172,28 @@ class LineIndex:
         postings = write_shared(cls._postings(docs, min_chars).distinct(), "postings")
         counts = write_shared(postings.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")), "counts")
         often = counts.filter(F.col("n_docs") >= min_docs)
-        shards = 1 << max(4, (often.count() // KEYS_PER_SHARD).bit_length())
+        shards = _shards_for(often.count())
         often = often.select(F.col("h1").bitwiseAND(shards - 1).alias("shard"), "h1", "h2")
-        filters = write_shared(often.groupBy("shard").applyInPandas(_build_filter, "shard long, bits binary"), "filters")
-        return cls(postings, counts, filters, shards, min_docs, min_chars)
+        return cls(postings, counts, write_shared(_built(often), "filters"), shards, min_docs, min_chars)
 
     def _changed(self, postings: DataFrame, counts: DataFrame) -> LineIndex:
-        """With the filters brought from the old counts to the new ones."""
-        is_in = F.col("n_docs") >= self.min_docs
-        before = self.counts.filter(is_in).select("h1", "h2")
-        after = counts.filter(is_in).select("h1", "h2")
-        on = ["h1", "h2"]
+        """With the filters brought from the old counts to the new ones. Those of shards that have more
+        keys than room, or had none, are made anew; all of them when there are more shards."""
+        is_in, on = F.col("n_docs") >= self.min_docs, ["h1", "h2"]
+        before = self.counts.filter(is_in).select(*on)
+        after = counts.filter(is_in).select(*on)
+        shards = max(self.shards, _shards_for(after.count()))
+        often = after.withColumn("shard", F.col("h1").bitwiseAND(shards - 1))
+        if shards > self.shards:
+            return LineIndex(postings, counts, write_shared(_built(often), "filters"), shards, self.min_docs, self.min_chars)
+        sizes = often.groupBy("shard").agg(F.count("*").alias("n")).join(self.filters.select("shard", "room"), "shard", "left")
+        grown = write_shared(sizes.filter("room is null or n > room").select("shard"), "grown")
         changes = after.join(before, on, "left_anti").withColumn("add", F.lit(True))
         changes = changes.union(before.join(after, on, "left_anti").withColumn("add", F.lit(False)))
         changes = changes.withColumn("shard", F.col("h1").bitwiseAND(self.shards - 1))
-        filters = self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_change_filter, "shard long, bits binary")
+        kept, changes = (t.join(grown, "shard", "left_anti") for t in (self.filters, changes))
+        filters = kept.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_change_filter, "shard long, room long, bits binary")
+        filters = filters.select("shard", "room", "bits").union(_built(often.join(grown, "shard", "left_semi")).select("shard", "room", "bits"))
         return LineIndex(postings, counts, write_shared(filters, "filters"), self.shards, self.min_docs, self.min_chars)
 
     def insert(self, docs: DataFrame) -> LineIndex:
@@ -203,7 +220,7 @@ class LineIndex:
     def drops(self) -> DataFrame:
         """(doc_id, mr_drops): the keys that an indexed document loses. Filter first, counts after."""
         blocks = self.postings.mapInArrow(_pack(self.shards), "shard long, block binary")
-        passed = blocks.join(self.filters, "shard").mapInArrow(_probe, "doc_id long, h1 long, h2 long")
+        passed = blocks.join(self.filters.select("shard", "bits"), "shard").mapInArrow(_probe, "doc_id long, h1 long, h2 long")
         exact = self.counts.filter(F.col("n_docs") >= self.min_docs).select("h1", "h2", "keeper")
         lost = passed.join(exact, ["h1", "h2"]).filter(F.col("doc_id") != F.col("keeper"))
         return lost.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2")).alias("mr_drops"))
@@ -216,7 +233,7 @@ class LineIndex:
         replaced. Null text stays null and counts as one empty line; a null doc_id keeps all
         its lines; rows of one doc_id are treated alike; an empty table gives none.
         """
-        docs = small_batches(docs).drop("n_lines", "n_dropped", "kept_sha256", "mr_drops")
+        docs = docs.drop("n_lines", "n_dropped", "kept_sha256", "mr_drops")
         drops = self.drops().withColumnRenamed("doc_id", "mr_id")
         joined = docs.join(drops, docs["doc_id"] == drops["mr_id"], "left").drop("mr_id")
         schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long"), "kept_sha256": F.lit("")}).schema
