@@ -12,16 +12,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import one_thread, small_batches
+from .common import one_thread, pieces, write_shared
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 8, 2, 4, 48, 24
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
-#: Training takes about so many labelled documents of each label, by hash of the id, and of
-#: each so many chunks at most, evenly spread over the whole text. Scoring has no such bound.
+#: Training takes about so many labelled documents of each label, those with the least hashes of
+#: the id, and fewer where their whole texts are more than so many bytes in all. Scoring has no bound.
 SAMPLE_PER_LABEL = 1200
-SAMPLE_CHUNKS = 12
+SAMPLE_BYTES = 64_000_000
 STEPS, BATCH, RATE = 600, 32, 0.004
 THRESHOLD = 0.3
 _RANGE = 1 << 30
@@ -144,13 +145,10 @@ class QualityModel:
 
 
 def _samples(batches):
-    for batch in batches:
-        made = []
-        for text in batch.column(1).to_pylist():
-            c = chunks_of(text)
-            keep = np.unique(np.linspace(0, len(c) - 1, min(len(c), SAMPLE_CHUNKS)).round().astype(int))
-            made.append(c[keep].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["label", "chunks"])
+    for batch in pieces(batches, "text"):
+        made = [chunks_of(text).tobytes() for text in batch.column("text").to_pylist()]
+        sizes = pa.array([len(x) for x in made], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("draw"), sizes, pa.array(made, pa.binary())], ["label", "draw", "size", "chunks"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
@@ -171,8 +169,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> QualityModel:
     some = F.lit(False)
     for label, n in sizes.items():
         some = some | ((F.col("label") == label) & (draw < min(_RANGE, SAMPLE_PER_LABEL * _RANGE // n)))
-    chosen = F.broadcast(known.filter(some))  # about 2 * SAMPLE_PER_LABEL rows
-    found = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "text").mapInArrow(_samples, "label int, chunks binary").collect()
+    chosen = F.broadcast(known.filter(some).withColumn("draw", draw))  # about 2 * SAMPLE_PER_LABEL rows
+    texts = docs.select("doc_id", "text").join(chosen, "doc_id").select("label", "draw", "text")
+    found = write_shared(texts.mapInArrow(_samples, "label int, draw long, size long, chunks binary"), "samples")
+    so_far = Window.partitionBy("label").orderBy("draw", "chunks").rowsBetween(Window.unboundedPreceding, -1)  # over the sample
+    found = found.withColumn("before", F.coalesce(F.sum("size").over(so_far), F.lit(0))).filter(F.col("before") < SAMPLE_BYTES).select("label", "chunks").collect()
     found.sort(key=lambda r: (r["label"], bytes(r["chunks"])))
     samples = [(np.frombuffer(r["chunks"], np.uint8).reshape(-1, CHUNK), r["label"]) for r in found]
     by = {y: [s for s in samples if s[1] == y] for y in (0, 1)}
@@ -190,13 +191,13 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """The columns of docs, then score (the probability of label 1) and predicted (1 from
     THRESHOLD on). Null and empty texts are scored as no bytes. Input columns of these two
     names are replaced; an empty table gives none."""
-    docs = small_batches(docs).drop("score", "predicted")
+    docs = docs.drop("score", "predicted")
     schema = docs.limit(0).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: some 10 kB
     width = len(docs.columns)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             with one_thread():
                 s = held.value.score(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], schema.names)
