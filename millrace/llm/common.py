@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -14,72 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import drop_scratch as drop_shared
+from ..store import scratch as write_shared
+
 #: Fixed value: the characters that separate words and are stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder is used on a local master only; on a
-    cluster that is an error, since other machines would not see the files.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = tempfile.mkdtemp(prefix="millrace-")
-    return f"file://{shared_dir.own}"
-
-
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc
-            if jvm is not None and sc is not None:
-                at = jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(sc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001  the session has ended before: nothing can be deleted
-            return
-
-
-def write_shared(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it again.
-
-    A lost executor costs no work before this point. The files go when Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_shared(*frames: DataFrame) -> None:
-    """Delete tables of write_shared() that no later plan reads."""
-    for df in frames:
-        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            sc = df.sparkSession.sparkContext
-            at = sc._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound what a Python task holds: whole texts go to it by 512 rows, where the session leaves
-    Spark's default of 10,000 (its other choices stay)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(key) == "10000":
-        df.sparkSession.conf.set(key, "512")
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,6 +31,25 @@ def lower_ascii(c):
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def pieces(batches, column: str | int, size: int = 1 << 22):
+    """Arrow batches cut so that the texts of column take about size bytes in each; no row is cut.
+
+    (Spark itself bounds what it sends to a Python task by bytes, spark.sql.execution.arrow.maxBytesPerBatch.)
+    """
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(lengths, dtype=np.int64), 0
+        while first < batch.num_rows or first == batch.num_rows == 0:
+            before = ends[first - 1] if first else 0
+            last = min(max(int(np.searchsorted(ends, before + size, side="right")), first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            if last >= batch.num_rows:
+                break
+            first = last
+
+
 def group_runs(batches, names: tuple[str, ...]):
     """Whole groups of rows with equal values in names of a sorted stream of Arrow batches, several
     at a time: a table, and where its groups begin."""

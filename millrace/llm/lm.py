@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread, small_batches, write_shared
+from .common import one_thread, pieces, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
@@ -332,7 +332,7 @@ def _count(batches):
         rows = [(w.decode("utf-8", "surrogatepass"), n) for w, n in held.items()]
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64()))], ["word", "n"])
 
-    for batch in batches:
+    for batch in pieces(batches, 0):
         for text in batch.column(0).to_pylist():
             held.update(words_of(text))
             texts += 1
@@ -374,7 +374,7 @@ def numbered(texts, model: LanguageModel):
 
 def fit(training: DataFrame) -> LanguageModel:
     """From all training documents (doc_id, text); a null text is an empty one."""
-    texts = small_batches(training).select("text").mapInArrow(_count, "word string, n long")
+    texts = training.select("text").mapInArrow(_count, "word string, n long")
     counts = write_shared(texts.groupBy("word").agg(F.sum("n").alias("n")), "words")
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     rows = sorted(((r["word"], r["n"]) for r in _most_frequent(counts).collect()), key=lambda r: (-r[1], r[0]))
@@ -394,7 +394,7 @@ def fit(training: DataFrame) -> LanguageModel:
         held = training.sparkSession.sparkContext.broadcast(model.spread())
 
         def sampled(batches):
-            for batch in batches:
+            for batch in pieces(batches, 0):
                 made = [x.astype(np.int16).tobytes() for x in entries_of(batch.column(0).to_pylist(), held.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["x"])
 
@@ -403,7 +403,7 @@ def fit(training: DataFrame) -> LanguageModel:
         if found:
             with one_thread():
                 network.train([np.frombuffer(x, np.int16).astype(np.int32) for x in found])
-        _learn_from_all(small_batches(training).select("text"), model)
+        _learn_from_all(training.select("text"), model)
     return model
 
 
@@ -425,7 +425,7 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
             with one_thread():
                 network.once(docs, SHARD_LANES, moments, lambda at: SHARD_RATE)
 
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for x in entries_of(batch.column(0).to_pylist(), held.value):
                 docs.append(x)
                 size += len(x) + 1
@@ -477,7 +477,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
             return pa.RecordBatch.from_arrays(columns, names)
 
         ids = pa.int64()
-        for batch in batches:
+        for batch in pieces(batches, 2):
             ids = batch.column(1).type
             head = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
             for (row, doc_id), (words, at) in zip(head, numbered(batch.column(2).to_pylist(), m), strict=True):
@@ -497,7 +497,7 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     names = ["row", "doc_id", "n_tokens", "known", "base", "likely", "rest"]
     kind = dict(docs.dtypes)["doc_id"]
-    numbered_rows = small_batches(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    numbered_rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     made = write_shared(numbered_rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, known long, base double, likely double, rest array<string>"), "scored")
     rare = made.select("row", F.explode("rest").alias("word")).join(model.counts, "word", "left")
     c = F.coalesce("n", F.lit(0))

@@ -110,6 +110,33 @@ def test_quality(spark, quick):
     assert {r["predicted"] for r in quality.score(docs, one).collect()} == {1}
 
 
+def test_quality_against_brute_force(spark):
+    """Scores of whole texts by plain loops over chunks, places and filters; repeated rows and clashing columns."""
+    m = quality.QualityModel(seed=11)
+    m.shift = -0.4
+    rng = random.Random(5)
+    texts = ["", None, "é" * 700, "word " * 900, *("".join(rng.choice("abc \n!") for _ in range(n)) for n in (1, 511, 512, 513, 1400))]
+
+    def plain(text):
+        data = (text or "").encode()
+        data = data + bytes(max(0, 512 - len(data)))
+        starts = [*range(0, len(data) - 512, 448), len(data) - 512]
+        peaks = []
+        for s in starts:
+            e = m.p["embed"][np.frombuffer(data[s : s + 512], np.uint8)].astype(float)
+            z = [e[k : k + 8].reshape(-1) @ m.p["filters"].astype(float) for k in range(0, 505, 2)]
+            peaks.append(np.maximum(np.max(z, axis=0) + m.p["bias"], 0))
+        f = np.concatenate([np.max(peaks, axis=0), np.mean(peaks, axis=0), np.min(peaks, axis=0)])
+        h = np.maximum(f @ m.p["hidden"] + m.p["hidden_bias"], 0)
+        return 1 / (1 + math.exp(-(float((h @ m.p["out"] + m.p["out_bias"])[0]) + m.shift)))
+
+    df = spark.createDataFrame([(i, t, "old", 7) for i, t in enumerate(texts)] + [(3, texts[3], "old", 7)], "doc_id long, text string, score string, predicted int").repartition(2)
+    rows = quality.score(df, m).collect()
+    assert len(rows) == len(texts) + 1
+    for r in rows:
+        assert r["score"] == pytest.approx(plain(texts[r["doc_id"]]), abs=1e-4) and r["predicted"] == int(r["score"] >= quality.THRESHOLD)
+
+
 def test_chunks_cover_everything():
     for n in (0, 1, 511, 512, 513, 961, 5000):
         text = "".join(chr(97 + i % 26) for i in range(n))
@@ -266,6 +293,33 @@ def test_base_spans(text):
     assert secret_scan.base_spans(text or "") == brute(text)
 
 
+def test_candidates_cover_long_runs():
+    text = "a" * 11 + " " + "b" * 12 + " " + "c" * 40 + " " + "d" * 41 + " " + "e" * 130
+    found = secret_scan.candidates(text)
+    assert found[:4] == [(12, 24), (25, 65), (66, 106), (67, 107)]
+    assert found[4][0] == 108 and found[-1][1] == len(text) and all(b - a <= 40 for a, b in found) and {c for a, b in found[4:] for c in range(a, b)} == set(range(108, 238))
+
+
+def test_covered_is_overlap():
+    rng = random.Random(1)
+    for _ in range(300):
+        spans = sorted((a, a + rng.randrange(1, 9), "hex") for a in (rng.randrange(60) for _ in range(rng.randrange(6))))
+        covered = secret_scan._Covered(spans)
+        for a in range(0, 70, 3):
+            assert covered(a, a + 4) == any(s < a + 4 and a < e for s, e, _ in spans)
+
+
+def test_many_findings_in_one_text():
+    """Time grows with the text, not with its square."""
+    import time
+
+    rng = random.Random(3)
+    text = "\n".join(f"{rng.getrandbits(64):016x}{rng.getrandbits(64):016x} someLongName{i:09d}" for i in range(30_000))
+    began = time.process_time()
+    spans = secret_scan.find([text, None], secret_scan.SecretModel())
+    assert len(spans[0]) == 30_000 and spans[1] == [] and time.process_time() - began < 30
+
+
 def test_secret_model(spark, quick):
     rng = random.Random(2)
     draw = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
@@ -275,6 +329,11 @@ def test_secret_model(spark, quick):
     model = secret_scan.fit(df)
     new = [(1, f"{words(5)} ghp_{draw(30, 'abcXYZ0189qrsTUV')} {words(5)}"), (2, words(60)), (3, None)]
     out = {r["doc_id"]: r["secrets"] for r in secret_scan.scan_secrets(spark.createDataFrame([(*n, 1) for n in new], "doc_id long, text string, secrets int"), model).collect()}
+    inside = "/srv/app/v1/callback/" + draw(38, "abcXYZ0189qrsTUV") + "/deploy/production/eu/"
+    at = secret_scan.find([f"{words(4)} {inside} {words(4)}"], model)[0]
+    assert any(k == "model" for *_, k in at)
+    rows = spark.createDataFrame([(1, "password=" + "Zq" * 9), (1, "password=" + "Zq" * 9), (None, "password=" + "Zq" * 9)], "doc_id long, text string")
+    assert [len(r["secrets"]) for r in secret_scan.scan_secrets(rows, model).collect()] == [1, 1, 1]
     assert [s["kind"] for s in out[1]] == ["model"] and not out[1][0]["known"] and out[2] == [] == out[3]
     for r in secret_scan.scan_secrets(df, model).collect():  # base findings stay
         assert [(s["start"], s["end"], s["kind"]) for s in r["secrets"] if s["known"]] == brute(r["text"])
