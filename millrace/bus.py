@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import asyncio
+import contextlib
 import inspect
 import json
 import secrets
+import time
 import uuid
-from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame
@@ -15,11 +17,13 @@ from pyspark.sql import functions as F
 
 from .functions.identity import identities
 from .functions.retry import Reject, Retry, RetryPolicy, error_text
-from .operators import aggregates, lineage, transitions
+from .operators import aggregates, enqueue, lineage, transitions
 from .operators.routing import NAME, Topology
-from .queue import admit, dumps, insert, prepared, wall_clock
-from .schema import CheckpointConflict, ExecutionFailed, ExecutionLeaseLost, FullImpossible, NoSubscribers, SourceChanged
-from .store import Store, scratch
+from .queue import Heartbeat, Queue, admit, dumps, fan_out, insert, prepared, wall_clock
+from .schema import (
+    CheckpointConflict, ExecutionFailed, ExecutionLeaseLost, ExecutionRuntimeMissing, Full, FullImpossible, InvalidEventIdentity, MillraceError, NoSubscribers, SourceChanged,
+)
+from .store import Change, Store, changed, removed, scratch
 
 REGISTRY: dict[str, type] = {}
 LEASE_MS = 60_000
@@ -94,6 +98,15 @@ class ExecutionResult:
         return self
 
 
+@dataclass(frozen=True)
+class RuntimeContext:
+    """What a context factory may know of one attempt."""
+
+    event_id: str
+    attempt: int
+    handler_name: str
+
+
 @dataclass
 class _Handler:
     function: object
@@ -102,93 +115,263 @@ class _Handler:
     timeout: float | None = None
     context: object = None
 
-    def __call__(self, e, attempt: int):
-        """What the function returns. A context factory is called for each attempt; a coroutine may time out."""
-        args = (e,) if self.context is None else (e, self.context(attempt))
+    @property
+    def name(self) -> str:
+        return getattr(self.function, "__name__", type(self.function).__name__)
+
+    def __call__(self, e, attempt: int, event_id: str = "") -> tuple[bool, object]:
+        """(timed out, what the function returns). A context factory is called for each attempt; only a
+        coroutine may time out. An error of its own after that, TimeoutError too, is the function's."""
+        args = (e,) if self.context is None else (e, self.context(RuntimeContext(event_id, attempt, self.name)))
         out = self.function(*args)
-        if inspect.iscoroutine(out):
-            out = asyncio.run(asyncio.wait_for(out, self.timeout))
+        return asyncio.run(self._awaited(out)) if inspect.isawaitable(out) else (False, out)
+
+    async def _awaited(self, out) -> tuple[bool, object]:
+        task = asyncio.ensure_future(out)
+        done, _ = await asyncio.wait({task}, timeout=self.timeout)
+        if done:
+            return False, task.result()
+        task.cancel()
+        with contextlib.suppress(BaseException):  # what it does while it is cancelled doesn't count
+            await task
+        return True, None
+
+
+@dataclass
+class SubscriptionConfig:
+    """Settings of one subscription in this process; frozen once it is consumed."""
+
+    concurrency: int | None = None
+    retry: RetryPolicy | None = None
+    frozen: bool = False
+
+    def __setattr__(self, name, value):
+        if getattr(self, "frozen", False) and not (name == "frozen" and value):
+            raise RuntimeError("a subscription's settings can't change after consumption has started")
+        if name == "concurrency" and value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
+            raise ValueError("concurrency must be a positive integer")
+        if name == "retry" and value is not None and not isinstance(value, RetryPolicy):
+            raise TypeError("retry must be a RetryPolicy")
+        super().__setattr__(name, value)
+
+
+class Subscription:
+    """One declared subscription of a bus: its handlers, settings and dead letters."""
+
+    def __init__(self, bus: EventBus, name: str):
+        self.bus, self.name = bus, name
+
+    @property
+    def config(self) -> SubscriptionConfig:
+        return self.bus.configs.setdefault(self.name, SubscriptionConfig())
+
+    def handler(self, pattern, function=None, **options):
+        """As EventBus.handler, for this subscription."""
+        return self.bus.handler(pattern, function, subscription=self.name, **options)
+
+    @property
+    def queue(self) -> Queue:
+        return self.bus.queue_of(self.name)
+
+    def stats(self) -> dict[str, int]:
+        return self.queue.stats()
+
+    def list_failed(self, limit: int = 100, offset: int = 0) -> list[dict]:
+        """Dead letters, each with its event type and payload where the envelope can be read, else why not."""
+        out = []
+        for row in self.queue.list_failed(limit, offset):
+            try:
+                body = json.loads(bytes(row["payload"]))
+                seen = {"event_type": body["event_type"], "event_id": body["event_id"], "event": body["payload"], "inspection_error": None}
+            except (ValueError, KeyError, TypeError) as e:
+                seen = {"event_type": None, "event_id": None, "event": None, "inspection_error": error_text(e)}
+            out.append(row | seen)
         return out
 
+    def retry_failed(self, message_id: int) -> None:
+        self.queue.retry_failed(message_id)
+
+
+@dataclass
+class SourceConfig:
+    """How a declared source is ingested; frozen when it first runs."""
+
+    batch_size: int = 1000
+    max_pending: int | None = None
+    frozen: bool = False
+
+    def __setattr__(self, name, value):
+        if getattr(self, "frozen", False) and not (name == "frozen" and value):
+            raise RuntimeError("a source's settings can't change after it has run")
+        if name in ("batch_size", "max_pending") and value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
+            raise ValueError(f"{name} must be a positive integer")
+        super().__setattr__(name, value)
+
+
+@dataclass(frozen=True)
+class SourceDefinition:
+    """A source with its transformation, as declared by EventBus.source."""
+
+    bus: EventBus
+    source: object
+    transform: object
+    checkpoint: str | None
+    config: SourceConfig
+
+    @property
+    def name(self) -> str:
+        return getattr(self.transform, "__name__", type(self.transform).__name__)
+
+    def ingest(self) -> IngestionResult:
+        self.config.frozen = True
+        return self.bus.ingest(self.source, self.transform, batch_size=self.config.batch_size, checkpoint=self.checkpoint, max_pending=self.config.max_pending)
+
+    def execute(self, *, timeout: float | None = None) -> ExecutionResult:
+        self.config.frozen = True
+        return self.bus.execute(self.source, self.transform, name=self.name, checkpoint=self.checkpoint, batch_size=self.config.batch_size, timeout=timeout)
+
+
+class _Pull:
+    """Items of a source one at a time, and transformations, either of which may be asynchronous. Nothing is
+    read ahead of what is asked for."""
+
+    def __init__(self, source):
+        self.loop = asyncio.new_event_loop()
+        self.items = source.__aiter__() if hasattr(source, "__aiter__") else iter(source)
+
+    def __iter__(self):
+        if not hasattr(self.items, "__anext__"):
+            yield from self.items
+            return
+        while True:
+            try:
+                yield self.loop.run_until_complete(self.items.__anext__())
+            except StopAsyncIteration:
+                return
+
+    def settled(self, value):
+        async def wait():
+            return await value
+
+        return self.loop.run_until_complete(wait()) if inspect.isawaitable(value) else value
+
+    def close(self) -> None:
+        self.loop.run_until_complete(self.loop.shutdown_asyncgens())
+        self.loop.close()
+
 
 class EventBus:
-    def __init__(self, store: Store, name: str = "bus", *, require_subscribers: bool = True, max_retries: int = 3, max_pending: int | None = None, clock=wall_clock):
+    def __init__(self, store: Store, name: str = "bus", *, require_subscribers: bool = True, max_retries: int = 3, max_pending: int | None = None, lease_seconds: float = 60, clock=wall_clock):
         if not NAME.match(name):
             raise ValueError(f"invalid name: {name!r}")
         self.store, self.name, self.require, self.clock = store, name, require_subscribers, clock
         self.max_attempts, self.max_pending = max_retries + 1, max_pending
-        self.topology, self.handlers, self.frozen = Topology(), {}, False
+        self.topology, self.handlers, self.frozen, self.lease_seconds = Topology(), {}, False, lease_seconds
+        self.configs: dict[str, SubscriptionConfig] = {}
+        self.stopped = False
 
     # --- set-up
 
     def subscribe(self, subscription: str, *patterns) -> None:
+        if self.frozen:
+            raise RuntimeError("routes can't change after consumption has started")
         for p in patterns:
             self.topology = self.topology.with_route(subscription, p if isinstance(p, str) else p.event_type)
 
-    def handler(self, pattern, *, subscription: str, retry: RetryPolicy | None = None, permanent_errors: tuple = (), timeout: float | None = None, context=None):
-        """Decorator: handle a pattern's events of a subscription; may return one event, which is dispatched.
-
-        Functions may be coroutines; only those can have a timeout. context(attempt) makes a second argument.
+    def subscription(self, name: str, *, concurrency: int | None = None) -> Subscription:
+        """A declared subscription."""
+        if name not in self.topology.routes:
+            raise ValueError(f"subscription {name!r} isn't declared")
+        found = Subscription(self, name)
+        if concurrency is not None:
+            found.config.concurrency = concurrency
+        return found
+
+    def handler(
+        self, pattern, function=None, *, subscription: str | None = None, retry: RetryPolicy | None = None, permanent_errors: tuple = (), timeout: float | None = None, context=None, concurrency: int | None = None
+    ):
+        """Handle a pattern's events of a subscription (by default named like the event type), as a decorator or
+        with the function. It may return one event, which is dispatched; with an explicit lineage
+        as a pair (event, Meta).
+
+        Functions may be coroutines; only those can have a timeout. context(RuntimeContext) makes a second
+        argument. retry and concurrency (tasks that handle a batch) hold for the subscription.
         """
         if self.frozen:
             raise RuntimeError("handlers can't change after consumption has started")
         kind = pattern if isinstance(pattern, str) else pattern.event_type
+        name = kind if subscription is None else subscription
+        if not NAME.match(name):
+            raise ValueError(f"invalid name: {name!r}")
+        config = self.configs.setdefault(name, SubscriptionConfig())
+        for key, value in (("concurrency", concurrency), ("retry", retry)):
+            if value is not None and getattr(config, key) not in (None, value):
+                raise ValueError(f"{name} has another {key} already")
 
         def put(f):
             if timeout is not None and not inspect.iscoroutinefunction(f):
                 raise ValueError("only a coroutine can have a timeout")
-            if (subscription, kind) in self.handlers:
-                raise ValueError(f"{subscription} already handles {kind}")
-            self.subscribe(subscription, kind)
-            self.handlers[subscription, kind] = _Handler(f, retry, tuple(permanent_errors), timeout, context)
+            if (name, kind) in self.handlers:
+                raise ValueError(f"{name} already handles {kind}")
+            self.subscribe(name, kind)
+            for key, value in (("concurrency", concurrency), ("retry", retry)):
+                if value is not None:
+                    setattr(config, key, value)
+            self.handlers[name, kind] = _Handler(f, retry, tuple(permanent_errors), timeout, context)
             return f
 
-        return put
+        return put if function is None else put(function)
+
+    on = handler
+
+    def source(self, source, *, checkpoint: str | None = None, batch_size: int = 1000, max_pending: int | None = None):
+        """Decorator of a transformation: declares a source, to be ingested or executed later."""
+        SourceConfig(batch_size, max_pending)  # wrong values are errors here, not at the first run
+        return lambda transform: SourceDefinition(self, source, transform, checkpoint, SourceConfig(batch_size, max_pending))
 
     def queue_name(self, subscription: str) -> str:
         return f"__bus__:{self.name}:{subscription}"
 
+    def queue_of(self, subscription: str) -> Queue:
+        return Queue(self.store, self.queue_name(subscription), lease_seconds=self.lease_seconds, max_retries=self.max_attempts - 1, clock=self.clock)
+
     # --- dispatch
 
     def _entries(self, events: list[tuple[object, Meta]]) -> tuple[list[tuple], int]:
         """Rows of a batch in source order, each event's envelope made once; and how many had no subscriber."""
         rows, none = [], 0
         for e, meta in events:
-            subs = self.topology.subscriptions_for(e.event_type)
-            if not subs:
-                if self.require:
-                    raise NoSubscribers(e.event_type)
-                none += 1
-            body = dumps(envelope_of(e, meta))
-            job, key, mark = identities(e.event_schema, asdict(e), e.event_identity, meta.event_id)
-            rows += [(len(rows) + i, self.queue_name(s), body, job, key, mark) for i, s in enumerate(subs)]
+            made = self._prepared(e, meta)
+            none += not made
+            rows += [(len(rows) + i, *x) for i, x in enumerate(made)]
         return rows, none
 
-    def _insert(self, base: int, rows: list[tuple], stored: DataFrame | None = None) -> tuple[dict, dict, DataFrame]:
-        store = self.store
-        stored = store.table("messages", base) if stored is None else stored
+    def _prepared(self, e, meta: Meta) -> list[tuple]:
+        """An event's rows without their place in the batch: queue, payload and identities."""
+        subs = self.topology.subscriptions_for(e.event_type)
+        if not subs:
+            if self.require:
+                raise NoSubscribers(e.event_type)
+            return []
+        body = dumps(envelope_of(e, meta))
+        return [(self.queue_name(s), body, *identities(e.event_schema, asdict(e), e.event_identity, meta.event_id)) for s in subs]
+
+    def _insert(self, base: int, rows: list[tuple], max_pending: int | None = None) -> tuple[dict, dict, DataFrame]:
+        store, names = self.store, sorted({r[1] for r in rows})
+        stored = store.table("messages", base).filter(F.col("queue").isin(names))
         batch = prepared(store.spark, rows)
-        admit(batch, stored, {r[1]: self.max_pending for r in rows})
-        new, outcomes = insert(batch, stored, self.clock(), self.max_attempts, store.commit_at(base)["last_id"])
-        outcomes = scratch(outcomes, "outcomes")
-        top = new.agg(F.max("id")).first()[0]
-        facts = {"last_id": top} if top else {}
-        return {"messages": stored.unionByName(new, allowMissingColumns=True)}, facts, outcomes
+        admit(batch, stored, {q: max_pending for q in names})
+        new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts)
+        return ({"messages": [Change(new)]} if last else {}), ({"last_id": last} if last else {}), scratch(outcomes, "outcomes")
 
     def dispatch(self, e, meta: Meta | None = None) -> DispatchReceipt:
         rows, _ = self._entries([(e, meta or Meta())])
-        if not rows:
-            return DispatchReceipt(0, 0, ())
-        held = []
-
-        def change(base: int, store: Store):
-            tables, facts, held[:] = (x := self._insert(base, rows))[0], x[1], [x[2]]
-            return tables, facts
+        out = fan_out(self.store, rows, self.clock(), self.max_attempts)
+        n = sum(inserted for _, inserted in out)
+        return DispatchReceipt(n, len(out) - n, tuple(i for i, _ in out))
 
-        self.store.change(change)
-        out = held[0].orderBy("seq").collect()
-        n = sum(r["inserted"] for r in out)
-        return DispatchReceipt(n, len(out) - n, tuple(r["id"] for r in out))
+    async def dispatch_async(self, e, meta: Meta | None = None) -> DispatchReceipt:
+        return await _settled(asyncio.to_thread(self.dispatch, e, meta))
 
     # --- ingestion
 
@@ -197,13 +380,16 @@ class EventBus:
         found = t.first()
         return found.asDict() if found else None
 
+    def _checkpoint_scope(self, name: str) -> str:
+        return f"checkpoints:{self.name}/{name}"
+
     def reset_checkpoint(self, name: str) -> None:
         """Messages stay; the next run starts a new generation."""
-        keep = ~((F.col("bus_name") == self.name) & (F.col("checkpoint_name") == name))
-        self.store.change(lambda base, s: ({"checkpoints": s.table("checkpoints", base).filter(keep)}, {}))
+        mine = (F.col("bus_name") == self.name) & (F.col("checkpoint_name") == name)
+        self.store.change(lambda base, s: ({"checkpoints": [removed(s.table("checkpoints", base).filter(mine).select("bus_name", "checkpoint_name"))]}, {}), [self._checkpoint_scope(name)])
 
-    def _advance(self, base: int, name: str, old: dict | None, cursor: str, fingerprint: str | None, items: int) -> tuple[DataFrame, dict]:
-        """The checkpoints after a batch, or CheckpointConflict unless it is where this run left it."""
+    def _advance(self, base: int, name: str, old: dict | None, cursor: str, fingerprint: str | None, items: int) -> tuple[Change, dict]:
+        """A checkpoint after a batch, as a change and as a dict; CheckpointConflict unless it is where this run left it."""
         t = self.store.table("checkpoints", base)
         mine = (F.col("bus_name") == self.name) & (F.col("checkpoint_name") == name)
         found = t.filter(mine).first()
@@ -218,32 +404,35 @@ class EventBus:
             "created_at": old["created_at"] if old else now, "updated_at": now,
         }
         row = self.store.spark.createDataFrame([tuple(new[f.name] for f in t.schema)], t.schema)
-        return t.filter(~mine).union(row), new
+        return changed(row), new
 
-    def ingest(self, source, transform=None, *, batch_size: int = 1000, checkpoint: str | None = None, execution: tuple[str, str] | None = None) -> IngestionResult:
+    def ingest(self, source, transform=None, *, batch_size: int = 1000, checkpoint: str | None = None, max_pending: int | None = None, execution: tuple[str, str] | None = None) -> IngestionResult:
         """Dispatch a source's items in batches, each one commit with its cursor (and memberships).
 
-        source: an iterable, or a resumable source (fingerprint, open(cursor)) with a checkpoint. A
-        batch that can never fit is cut in halves, in order.
+        source: an iterable (asynchronous too), or a resumable source (fingerprint, open(cursor)) with a
+        checkpoint. Each item is transformed and given its ids once, whatever follows. Where
+        max_pending (of each subscription; the bus's by default) leaves no room, a batch waits;
+        one that can never fit is cut in halves, in order.
         """
         if batch_size < 1:
             raise ValueError("batch_size must be positive")
+        limit = self.max_pending if max_pending is None else max_pending
         total = IngestionResult()
         state = self.checkpoint(checkpoint) if checkpoint else None
         if checkpoint:
             if state and state["source_fingerprint"] != source.fingerprint:
                 raise SourceChanged(checkpoint)
-            records = ((r.value, r.cursor) for r in source.open(state["cursor"] if state else None))
+            pull = _Pull(source.open(state["cursor"] if state else None))
         else:
-            records = ((v, None) for v in source)
-        held: list[tuple] = []
+            pull = _Pull(source)
 
         def commit(group: list[tuple]) -> None:
             nonlocal total, state
-            events = [(transform(v) if transform else v, Meta()) for v, _ in group]
-            rows, none = self._entries(events)
+            rows = [x for x, _ in group]
+            rows, none = [(i, *x) for i, x in enumerate(x for made in rows for x in made)], sum(not made for made in rows)
+            routed, cursor = len(group) - none, group[-1][1]
             if not rows and not checkpoint:
-                total = IngestionResult(total.items + len(group), total.dispatched, total.unrouted + none, total.inserted, total.deduplicated, total.batches, None)
+                total = replace(total, items=total.items + len(group), unrouted=total.unrouted + none)
                 return
             out: list = []
 
@@ -252,93 +441,129 @@ class EventBus:
                 if execution:
                     self._hold(base, *execution)
                 if checkpoint:
-                    tables["checkpoints"], after = self._advance(base, checkpoint, state, group[-1][1], source.fingerprint, len(group))
+                    advanced, after = self._advance(base, checkpoint, state, cursor, source.fingerprint, len(group))
+                    tables["checkpoints"] = [advanced]
                 outcomes = None
                 if rows:
-                    more, facts, outcomes = self._insert(base, rows)
+                    more, facts, outcomes = self._insert(base, rows, limit)
                     tables |= more
                 if execution:
-                    tables |= self._join_execution(base, execution[0], outcomes, len(group), len(events) - none, none)
+                    tables |= self._join_execution(base, execution[0], outcomes, len(group), routed, none, after)
                 out[:] = [after, outcomes]
                 return tables, facts
 
-            self.store.change(change)
+            scope = [f"messages:{q}" for q in sorted({r[1] for r in rows})]
+            scope += [self._checkpoint_scope(checkpoint)] if checkpoint else []
+            self.store.change(change, [*scope, "executions"] if execution else scope)
             state = out[0] or state
             n = {r["inserted"]: r["n"] for r in out[1].groupBy("inserted").agg(F.count("*").alias("n")).collect()} if out[1] is not None else {}
-            total = IngestionResult(total.items + len(group), total.dispatched + len(events) - none, total.unrouted + none, total.inserted + n.get(True, 0), total.deduplicated + n.get(False, 0), total.batches + 1, group[-1][1])
+            total = IngestionResult(total.items + len(group), total.dispatched + routed, total.unrouted + none, total.inserted + n.get(True, 0), total.deduplicated + n.get(False, 0), total.batches + 1, cursor)
 
         def fit(group: list[tuple]) -> None:
-            try:
-                commit(group)
-            except FullImpossible:
-                if len(group) == 1:
-                    raise
-                fit(group[: len(group) // 2])
-                fit(group[len(group) // 2 :])
-
-        for r in records:
-            held.append(r)
-            if len(held) == batch_size:
+            pause = 0.01
+            while True:
+                try:
+                    return commit(group)
+                except FullImpossible:
+                    if len(group) == 1:
+                        raise
+                    half = len(group) // 2
+                    fit(group[:half])
+                    group, pause = group[half:], 0.01
+                except Full:
+                    time.sleep(pause)
+                    pause = min(pause * 1.5, 0.25)
+
+        held: list[tuple] = []
+        try:
+            for r in pull:
+                value, cursor = (r.value, r.cursor) if checkpoint else (r, None)
+                held.append((self._prepared(pull.settled(transform(value)) if transform else value, Meta()), cursor))
+                if len(held) == batch_size:
+                    fit(held)
+                    held = []
+            if held:
                 fit(held)
-                held = []
-        if held:
-            fit(held)
+        finally:
+            pull.close()
         return total
 
+    async def ingest_async(self, source, transform=None, **options) -> IngestionResult:
+        """ingest() from a coroutine. If it is cancelled, the commit at hand is settled first."""
+        return await _settled(asyncio.to_thread(self.ingest, source, transform, **options))
+
     # --- consumption
 
-    def run_once(self, subscription: str, *, batch: int = 100) -> int:
+    def run_once(self, subscription: str, *, batch: int = 100, heartbeat_interval: float | None = None) -> int:
         """Claim a batch, handle it on executors, and settle it: one commit with acknowledgements, the
-        events that handlers returned, their edges and memberships. Returns how many were claimed."""
+        events that handlers returned, their edges and memberships. Returns how many were claimed.
+        A result that can't be dispatched fails its own delivery only."""
         self.frozen = True
-        from .queue import Queue
-
-        name = self.queue_name(subscription)
+        config = self.configs.setdefault(subscription, SubscriptionConfig())
+        config.frozen = True
         mine = {k: h for (s, k), h in self.handlers.items() if s == subscription}
-        budget = next((h.retry.max_attempts for h in mine.values() if h.retry), None)
-        queue = Queue(self.store, name, max_retries=self.max_attempts - 1, clock=self.clock)
-        claimed = queue.claim(batch, max_attempts=budget)
-        known, registry = dict(mine), dict(REGISTRY)
+        queue = self.queue_of(subscription)
+        claimed = queue.claim(batch, max_attempts=config.retry.max_attempts if config.retry else None)
+        name, known, registry, topology, require, retry = queue.name, dict(mine), dict(REGISTRY), self.topology, self.require, config.retry
 
         def run(batches):
             import pandas as pd
 
             for pdf in batches:
-                yield pd.DataFrame([(name, r.id, r.receipt, *_deliver(bytes(r.payload), r.attempts, known, registry)) for r in pdf.itertuples(index=False)], columns=_OUTCOME)
+                yield pd.DataFrame([(name, r.id, r.receipt, *_deliver(bytes(r.payload), r.attempts, known, registry, topology, require, retry)) for r in pdf.itertuples(index=False)], columns=_OUTCOME)
 
-        done = scratch(claimed.mapInPandas(run, "queue string, id long, receipt string, how string, last_error string, reason string, category string, delay_ms long, child string"), "outcomes")
+        given = claimed.repartition(config.concurrency) if config.concurrency else claimed
+        schema = "queue string, id long, receipt string, how string, last_error string, reason string, category string, delay_ms long, child string"
+        with Heartbeat(queue, claimed, heartbeat_interval):
+            done = scratch(given.mapInPandas(run, schema), "outcomes")
         n = done.count()
         if n:
-            self.store.change(lambda base, s: self._settle(base, done))
+            scope = [queue.scope, "executions", *(f"messages:{self.queue_name(s)}" for s in self.topology.routes)]
+            self.store.change(lambda base, s: self._settle(base, done), scope if done.filter("child is not null").limit(1).count() else [queue.scope])
         return n
 
-    def _settle(self, base: int, done: DataFrame):
-        store, now = self.store, self.clock()
-        m = scratch(store.table("messages", base), "settling")
-        live = transitions.fenced(m, done.select("queue", "id", "receipt", "child"), now).filter("valid")
-        children = live.filter("c_child is not null").select(F.col("id").alias("parent"), F.col("c_child").alias("child")).collect()  # of one claimed batch
-        after = m
-        for how in ("ack", "nack", "fail"):
-            after = getattr(transitions, how)(after, done.filter(F.col("how") == how), now)
-        tables, facts = {"messages": after}, {}
-        rows, parents = [], {}
-        for r in children:
+    def _children(self, base: int, live: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+        """Of the live outcomes' events: rows as of prepared() with parent, without those of parents that have
+        a conflict; all messages of their queues; and the parents (id) whose event conflicts."""
+        spark, rows = self.store.spark, []
+        for r in live.filter("child is not null").select("id", "child").collect():  # of one claimed batch
             body = json.loads(r["child"])
             e = REGISTRY[body["event_type"]](**body["payload"])
             meta = Meta(body["event_id"], body["correlation_id"], body["causation_id"], body["event_created_at"])
-            made, _ = self._entries([(e, meta)])
-            for x in made:
-                parents[len(rows)] = r["parent"]
-                rows.append((len(rows), *x[1:]))
-        if rows:
-            more, facts, outcomes = self._insert(base, rows, scratch(after, "settled"))
-            tables |= more
-            of = store.spark.createDataFrame(list(parents.items()), "seq long, parent_message_id long")
-            edges = outcomes.join(of, "seq").select("parent_message_id", F.col("id").alias("child_message_id"))
-            every = scratch(store.table("edges", base).union(edges).distinct(), "edges")
+            rows += [(*x, r["id"]) for x in self._prepared(e, meta)]
+        if not rows:
+            return None, None, None
+        stored = self.store.table("messages", base).filter(F.col("queue").isin(sorted({r[0] for r in rows})))
+        batch = prepared(spark, [(i, *x[:-1]) for i, x in enumerate(rows)])
+        of = spark.createDataFrame([(i, x[-1]) for i, x in enumerate(rows)], "seq long, parent_message_id long")
+        bad = scratch(enqueue.conflicting(batch, stored).join(of, "seq").select(F.col("parent_message_id").alias("id")).distinct(), "conflicting")
+        batch = batch.join(of, "seq").join(bad.withColumnRenamed("id", "parent_message_id"), "parent_message_id", "left_anti")
+        return scratch(batch, "children"), stored, bad
+
+    def _settle(self, base: int, done: DataFrame) -> tuple[dict, dict]:
+        store, now = self.store, self.clock()
+        m = scratch(enqueue.named(store.table("messages", base), done), "settling")
+        live = transitions.fenced(m, done.select("queue", "id", "receipt", "child"), now).filter("valid").select("id", F.col("c_child").alias("child"))
+        children, stored, bad = self._children(base, live)
+        if bad is not None:
+            hit = done.join(bad, "id", "left_semi").withColumns({"how": F.lit("fail"), "last_error": F.lit("the returned event's identity meets another one"), "reason": F.lit("permanent_handler_error"), "category": F.lit("deduplication_conflict")})
+            done = scratch(done.join(bad, "id", "left_anti").unionByName(hit), "outcomes")
+        kinds, after = {r["how"] for r in done.select("how").distinct().collect()}, None
+        for how in sorted(kinds):
+            some = done.filter(F.col("how") == how)
+            part = transitions.touched(getattr(transitions, how), enqueue.named(m, some), some, now)
+            after = part if after is None else after.unionByName(part)
+        tables, facts = {"messages": [changed(after, done.first()["queue"])]}, {}
+        if children is not None and children.limit(1).count():
+            new, outcomes, last = insert(store, children, stored, now, self.max_attempts)
+            outcomes, facts = scratch(outcomes, "outcomes"), {"last_id": last} if last else {}
+            tables["messages"] += [Change(new)] if last else []
+            edges = outcomes.join(children.select("seq", "parent_message_id"), "seq").select("parent_message_id", F.col("id").alias("child_message_id")).distinct()
+            known = store.table("edges", base)
+            edges = scratch(edges.join(known, ["parent_message_id", "child_message_id"], "left_anti"), "edges")
             held = store.table("deliveries", base)
             roots = held.join(edges, held["message_id"] == edges["parent_message_id"]).select("execution_id", F.col("child_message_id").alias("message_id"))
-            tables |= {"edges": every, "deliveries": lineage.attach(held, every, roots)}
+            tables |= {"edges": [Change(edges)], "deliveries": [Change(lineage.joined(held, known.union(edges), roots))]}
         return tables, facts
 
     def run(self, *, batch: int = 100) -> int:
@@ -350,6 +575,26 @@ class EventBus:
             if not n:
                 return total
 
+    def run_subscription(self, subscription: str, *, batch: int = 100, idle_timeout: float | None = None, poll_interval: float = 0.1, heartbeat_interval: float | None = None) -> int:
+        """One subscription, until nothing could be claimed for idle_timeout seconds (None: until the bus is
+        stopped); returns how many were handled."""
+        total, last = 0, time.monotonic()
+        self.subscription(subscription)
+        while not self.stopped:
+            n = self.run_once(subscription, batch=batch, heartbeat_interval=heartbeat_interval)
+            total += n
+            if n:
+                last = time.monotonic()
+            elif idle_timeout is not None and time.monotonic() - last >= idle_timeout:
+                break
+            else:
+                time.sleep(poll_interval)
+        return total
+
+    def stop(self) -> None:
+        """From any thread: consumers return after the batch at hand."""
+        self.stopped = True
+
     # --- finite executions
 
     def _hold(self, base: int, execution_id: str, receipt: str) -> None:
@@ -357,62 +602,132 @@ class EventBus:
         if r is None or r["source_receipt"] != receipt or (r["source_lease_until"] or 0) <= self.clock():
             raise ExecutionLeaseLost(execution_id)
 
-    def _join_execution(self, base: int, execution_id: str, outcomes: DataFrame | None, items: int, dispatched: int, none: int) -> dict:
+    def _join_execution(self, base: int, execution_id: str, outcomes: DataFrame | None, items: int, dispatched: int, none: int, checkpoint: dict | None) -> dict:
         store, own = self.store, F.col("execution_id") == execution_id
         inserted = outcomes.filter("inserted").count() if outcomes is not None else 0
         everything = outcomes.count() if outcomes is not None else 0
         more = {"items_committed": items, "events_dispatched": dispatched, "events_unrouted": none, "deliveries_inserted": inserted, "deliveries_deduplicated": everything - inserted, "batches_committed": 1}
-        runtime = store.table("runtime", base).withColumns({k: F.when(own, F.col(k) + v).otherwise(F.col(k)) for k, v in more.items()})
-        runtime = runtime.withColumn("source_lease_until", F.when(own, F.lit(self.clock() + LEASE_MS)).otherwise(F.col("source_lease_until")))
-        tables = {"runtime": runtime}
+        runtime = store.table("runtime", base).filter(own).withColumns({k: F.col(k) + v for k, v in more.items()}).withColumn("source_lease_until", F.lit(self.clock() + LEASE_MS))
+        if checkpoint:  # from its first batch on, an execution belongs to that generation of its checkpoint
+            runtime = runtime.withColumn("checkpoint_generation", F.coalesce("checkpoint_generation", F.lit(checkpoint["generation"])))
+        tables = {"runtime": [changed(runtime)]}
         if outcomes is not None:
             roots = outcomes.select(F.lit(execution_id).alias("execution_id"), F.col("id").alias("message_id"))
-            tables["deliveries"] = lineage.attach(store.table("deliveries", base), store.table("edges", base), roots)
+            tables["deliveries"] = [Change(lineage.joined(store.table("deliveries", base), store.table("edges", base), roots))]
         return tables
 
-    def execute(self, source, transform=None, *, name: str, checkpoint: str, batch_size: int = 1000) -> ExecutionResult:
-        """Ingest a resumable source to its end, handle all that follows from it, and report.
+    def _runtime(self, base: int, execution_id: str) -> DataFrame:
+        found = self.store.table("runtime", base).filter(F.col("execution_id") == execution_id)
+        if not found.limit(1).count():
+            raise ExecutionRuntimeMissing(execution_id)
+        return found
 
-        A run that stopped is resumed by its checkpoint's fingerprint while its source isn't completed.
-        """
-        if not source.fingerprint:
-            raise ValueError("an execution needs a source with a fingerprint")
-        receipt, held = secrets.token_urlsafe(24), []
-        state = self.checkpoint(checkpoint)
-        if state and state["source_fingerprint"] != source.fingerprint:
-            raise SourceChanged(checkpoint)
+    def extend_source_lease(self, execution_id: str, receipt: str, seconds: float = LEASE_MS / 1000) -> None:
+        """The holder of a source lease keeps it for some time from now on."""
+
+        def change(base: int, store: Store):
+            self._hold(base, execution_id, receipt)
+            return {"runtime": [changed(self._runtime(base, execution_id).withColumn("source_lease_until", F.lit(self.clock() + int(seconds * 1000))))]}, {}
+
+        self.store.change(change, ["executions"])
+
+    def release_source_lease(self, execution_id: str, receipt: str) -> None:
+        """The holder gives it back; another run may go on at once."""
+
+        def change(base: int, store: Store):
+            self._hold(base, execution_id, receipt)
+            return {"runtime": [changed(self._runtime(base, execution_id).withColumns({"source_receipt": F.lit(None), "source_lease_until": F.lit(None)}))]}, {}
+
+        self.store.change(change, ["executions"])
+
+    def _open(self, name: str, checkpoint: str, fingerprint: str, receipt: str) -> tuple[str, bool]:
+        """The execution to run, with its source lease, and whether its source still has to be read: that of
+        the checkpoint's generation, else one that has committed nothing yet, else a new one."""
+        held: list = []
 
         def claim(base: int, store: Store):
-            now, runtime = self.clock(), store.table("runtime", base)
-            mine = (F.col("bus_name") == self.name) & (F.col("checkpoint_name") == checkpoint) & (F.col("source_fingerprint") == source.fingerprint) & F.col("source_completed_at").isNull()
-            old = runtime.filter(mine).first()
+            now, runtime, state = self.clock(), store.table("runtime", base), self.checkpoint(checkpoint)
+            mine = (F.col("bus_name") == self.name) & (F.col("checkpoint_name") == checkpoint)
+            bound = runtime.filter(mine & (F.col("checkpoint_generation") == state["generation"])).first() if state else None
+            old = bound or runtime.filter(mine & F.col("checkpoint_generation").isNull() & (F.col("source_fingerprint") == fingerprint) & F.col("source_completed_at").isNull()).first()
+            if old and old["source_completed_at"] is not None:
+                held[:] = [old["execution_id"], False]
+                return {}, {}
             if old and (old["source_lease_until"] or 0) > now and old["source_receipt"] != receipt:
                 raise ExecutionLeaseLost(old["execution_id"])
-            held[:] = [old["execution_id"] if old else str(uuid.uuid4())]
+            held[:] = [old["execution_id"] if old else str(uuid.uuid4()), True]
             if old:
-                own = F.col("execution_id") == held[0]
-                return {"runtime": runtime.withColumn("source_receipt", F.when(own, receipt).otherwise(F.col("source_receipt"))).withColumn("source_lease_until", F.when(own, now + LEASE_MS).otherwise(F.col("source_lease_until")))}, {}
-            row = {"execution_id": held[0], "bus_name": self.name, "checkpoint_name": checkpoint, "source_fingerprint": source.fingerprint, "source_receipt": receipt, "source_lease_until": now + LEASE_MS}
+                own = runtime.filter(F.col("execution_id") == held[0])
+                return {"runtime": [changed(own.withColumns({"source_receipt": F.lit(receipt), "source_lease_until": F.lit(now + LEASE_MS)}))]}, {}
+            row = {"execution_id": held[0], "bus_name": self.name, "checkpoint_name": checkpoint, "source_fingerprint": fingerprint, "source_receipt": receipt, "source_lease_until": now + LEASE_MS}
             row |= dict.fromkeys(("items_committed", "events_dispatched", "events_unrouted", "deliveries_inserted", "deliveries_deduplicated", "batches_committed"), 0)
             new = store.spark.createDataFrame([tuple(row.get(f.name) for f in runtime.schema)], runtime.schema)
             executions = store.table("executions", base)
             e = store.spark.createDataFrame([(held[0], self.name, name, checkpoint, False, now, now)], executions.schema)
-            return {"runtime": runtime.union(new), "executions": executions.union(e)}, {}
+            return {"runtime": [Change(new)], "executions": [Change(e)]}, {}
+
+        self.store.change(claim, ["executions", self._checkpoint_scope(checkpoint)])
+        return held[0], held[1]
+
+    def execute(self, source, transform=None, *, name: str | None = None, checkpoint: str | None = None, batch_size: int = 1000, timeout: float | None = None) -> ExecutionResult:
+        """Ingest a resumable source to its end, handle all that follows from it, delayed retries too, and report.
+
+        A run that stopped is resumed while its checkpoint's generation is the same. With a timeout
+        (seconds, from when the execution is open) TimeoutError is raised between two steps; what is
+        committed stays, and the source lease is given back. A SourceDefinition may be given alone.
+        """
+        if isinstance(source, SourceDefinition):
+            return source.execute(timeout=timeout)
+        if timeout is not None and (isinstance(timeout, bool) or not 0 < timeout < float("inf")):
+            raise ValueError("timeout must be a positive finite number")
+        if not getattr(source, "fingerprint", None) or not checkpoint or not name:
+            raise ValueError("an execution needs a name, a checkpoint and a source with a fingerprint")
+        receipt = secrets.token_urlsafe(24)
+        state = self.checkpoint(checkpoint)
+        if state and state["source_fingerprint"] != source.fingerprint:
+            raise SourceChanged(checkpoint)
+        execution_id, unread = self._open(name, checkpoint, source.fingerprint, receipt)
+        until = None if timeout is None else time.monotonic() + timeout
 
-        self.store.change(claim)
-        execution_id = held[0]
-        self.ingest(source, transform, batch_size=batch_size, checkpoint=checkpoint, execution=(execution_id, receipt))
+        def in_time() -> None:
+            if until is not None and time.monotonic() > until:
+                raise TimeoutError(f"execution {execution_id} isn't finished after {timeout} seconds")
 
-        def complete(base: int, store: Store):
+        if unread:
+            try:
+                self.ingest(_Bounded(source, in_time), transform, batch_size=batch_size, checkpoint=checkpoint, execution=(execution_id, receipt))
+            except BaseException:
+                with contextlib.suppress(MillraceError):
+                    self.release_source_lease(execution_id, receipt)
+                raise
+            self._complete(execution_id, receipt)
+        while True:
+            in_time()
+            n = self.run()
+            out = self.finalize(execution_id)
+            if out.completed:
+                return out
+            if not n:  # delayed retries, leases of others, subscriptions without handlers
+                if not any(s in {h for h, _ in self.handlers} for s in self.topology.routes) or self.stopped:
+                    return out
+                if timeout is None and not self._waits(execution_id):
+                    return out
+                time.sleep(0.05)
+
+    def _waits(self, execution_id: str) -> bool:
+        """Whether a member can still be handled by this bus: ready later or leased, and with a handler."""
+        t, names = self.store.table, [self.queue_name(s) for s, _ in self.handlers]
+        open_ = t("messages").filter(F.col("status").isin(0, 1) & F.col("queue").isin(names)).select(F.col("id").alias("message_id"))
+        return bool(t("deliveries").filter(F.col("execution_id") == execution_id).join(open_, "message_id", "left_semi").limit(1).count())
+
+    def _complete(self, execution_id: str, receipt: str) -> None:
+        def change(base: int, store: Store):
             self._hold(base, execution_id, receipt)
-            own, now = F.col("execution_id") == execution_id, self.clock()
-            runtime = store.table("runtime", base).withColumn("source_completed_at", F.when(own, F.coalesce("source_completed_at", F.lit(now))).otherwise(F.col("source_completed_at")))
-            runtime = runtime.withColumn("source_receipt", F.when(own, None).otherwise(F.col("source_receipt"))).withColumn("source_lease_until", F.when(own, None).otherwise(F.col("source_lease_until")))
-            return {"runtime": runtime, "executions": store.table("executions", base).withColumn("source_completed", F.col("source_completed") | own)}, {}
+            runtime = self._runtime(base, execution_id).withColumns({"source_completed_at": F.coalesce("source_completed_at", F.lit(self.clock())), "source_receipt": F.lit(None), "source_lease_until": F.lit(None)})
+            own = store.table("executions", base).filter(F.col("execution_id") == execution_id)
+            return {"runtime": [changed(runtime)], "executions": [changed(own.withColumn("source_completed", F.lit(True)))]}, {}
 
-        self.store.change(complete)
-        self.run()
-        return self.finalize(execution_id)
+        self.store.change(change, ["executions"])
 
     def finalize(self, execution_id: str) -> ExecutionResult:
         """Mark an execution completed if it is, once; and its figures, derived by a join."""
@@ -420,21 +735,44 @@ class EventBus:
 
         def change(base: int, store: Store):
             done = aggregates.finished(store.table("executions", base).filter(own), store.table("deliveries", base), store.table("messages", base))
-            runtime = store.table("runtime", base)
-            if not done.count() or runtime.filter(own & F.col("completed_at").isNotNull()).count():
+            runtime = store.table("runtime", base).filter(own & F.col("completed_at").isNull())
+            if not done.count() or not runtime.count():
                 return {}, {}
-            return {"runtime": runtime.withColumn("completed_at", F.when(own, F.lit(self.clock())).otherwise(F.col("completed_at")))}, {}
+            return {"runtime": [changed(runtime.withColumn("completed_at", F.lit(self.clock())))]}, {}
 
-        self.store.change(change)
+        self.store.change(change, ["executions"])
         t = self.store.table
         r = aggregates.execution_snapshot(t("executions").filter(own), t("runtime"), t("deliveries"), t("messages")).first()
         return ExecutionResult(execution_id, r["completed_at"] is not None, r["total"], r["ready"], r["processing"], r["acked"], r["failed"], r["items_committed"])
 
 
+async def _settled(work) -> object:
+    """What runs in a thread can't be stopped: a cancelled caller waits until it is settled, and is cancelled then."""
+    task = asyncio.ensure_future(work)
+    try:
+        return await asyncio.shield(task)
+    except asyncio.CancelledError:
+        with contextlib.suppress(Exception):
+            await task
+        raise
+
+
+class _Bounded:
+    """A resumable source that asks before each record whether there is time left."""
+
+    def __init__(self, source, in_time):
+        self.source, self.in_time, self.fingerprint = source, in_time, source.fingerprint
+
+    def open(self, cursor):
+        for r in self.source.open(cursor):
+            self.in_time()
+            yield r
+
+
 _OUTCOME = ["queue", "id", "receipt", "how", "last_error", "reason", "category", "delay_ms", "child"]
 
 
-def _deliver(payload: bytes, attempts: int, handlers: dict[str, _Handler], registry: dict[str, type]) -> tuple:
+def _deliver(payload: bytes, attempts: int, handlers: dict[str, _Handler], registry: dict[str, type], topology: Topology | None = None, require: bool = True, retry: RetryPolicy | None = None) -> tuple:
     """(how, last_error, reason, category, delay_ms, child) of one delivery."""
 
     def failed(reason: str, error: str, category: str | None = None) -> tuple:
@@ -456,31 +794,43 @@ def _deliver(payload: bytes, attempts: int, handlers: dict[str, _Handler], regis
     h = handlers.get(kind) or handlers.get("*")
     if h is None:
         return failed("no_handler", f"no handler for {kind!r}")
+    policy = retry or h.retry
+
+    def again(error: str, reason: str | None = None, after: float | None = None) -> tuple:
+        seconds = after if after is not None else policy.seconds(attempts) if policy else 0.0
+        return "nack", error, reason, None, int(seconds * 1000), None
+
     try:
-        out = h(e, attempts)
+        timed_out, out = h(e, attempts, str(body.get("event_id")))
     except Retry as error:
-        return "nack", error_text(error), None, None, int((error.after if error.after is not None else _delay(h.retry, attempts)) * 1000), None
+        return again(error_text(error), after=error.after)
     except Reject as error:
         return failed("rejected", error_text(error), error.category)
-    except TimeoutError as error:  # under a policy, exhaustion reads as such; else as a timeout
-        return "nack", error_text(error), None if h.retry else "handler_timeout", None, int(_delay(h.retry, attempts) * 1000), None
     except h.permanent as error:
-        return failed("permanent_handler_error", error_text(error))
+        return failed("permanent_handler_error", f"permanent failure: {error_text(error)}")
     except Exception as error:  # noqa: BLE001  any other error of the handler means another attempt
-        return "nack", error_text(error), None, None, int(_delay(h.retry, attempts) * 1000), None
+        return again(error_text(error))
+    if timed_out:  # under a policy, exhaustion reads as such; else as a timeout
+        return again(f"handler timeout after {h.timeout} seconds", None if policy else "handler_timeout")
     if out is None:
         return "ack", None, None, None, 0, None
-    if getattr(type(out), "event_type", None) not in registry:
-        return failed("permanent_handler_error", f"a handler returned {type(out).__name__}, not an event")
-    parent = Meta(correlation_id=body.get("correlation_id") or body["event_id"], causation_id=body["event_id"])
-    return "ack", None, None, None, 0, json.dumps(envelope_of(out, parent))
-
+    return _emitted(out, body, h, registry, topology, require) or failed("permanent_handler_error", f"handler {h.name} returned {type(out).__name__}, not an event")
 
-def _delay(policy: RetryPolicy | None, attempt: int) -> float:
-    if policy is None or policy.initial_delay == 0:
-        return 0.0
-    import math
 
-    if math.log(policy.initial_delay) + (attempt - 1) * math.log(policy.multiplier) >= math.log(max(policy.max_delay, 1e-300)):
-        return policy.max_delay
-    return min(policy.initial_delay * policy.multiplier ** (attempt - 1), policy.max_delay)
+def _emitted(out, body: dict, h: _Handler, registry: dict[str, type], topology: Topology | None, require: bool) -> tuple | None:
+    """The outcome of a delivery whose handler returned something; None if that is no event."""
+    parent = Meta(correlation_id=body.get("correlation_id") or body.get("event_id"), causation_id=body.get("event_id"))
+    if isinstance(out, tuple) and len(out) == 2 and isinstance(out[1], Meta):  # what its Meta leaves out comes from the parent
+        given = out[1]
+        out, parent = out[0], replace(given, correlation_id=given.correlation_id or parent.correlation_id, causation_id=given.causation_id or parent.causation_id)
+    if getattr(type(out), "event_type", None) not in registry:
+        return None
+    if topology is not None and not topology.subscriptions_for(out.event_type):
+        if require:
+            return "fail", f"no subscription takes {out.event_type}", "permanent_handler_error", "no_subscribers", 0, None
+        return "ack", None, None, None, 0, None
+    try:
+        identities(out.event_schema, asdict(out), out.event_identity, parent.event_id)
+    except (InvalidEventIdentity, ValueError, TypeError) as error:
+        return "fail", error_text(error), "permanent_handler_error", "invalid_event_identity", 0, None
+    return "ack", None, None, None, 0, json.dumps(envelope_of(out, parent))

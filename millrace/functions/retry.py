@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -33,10 +34,10 @@ class RetryPolicy:
 
     def __post_init__(self):
         if isinstance(self.max_attempts, bool) or self.max_attempts < 1:
-            raise ValueError("max_attempts must be at least 1")
+            raise ValueError(f"at least one attempt is needed, not {self.max_attempts!r}")
         milliseconds(self.initial_delay)
         if not math.isfinite(self.multiplier) or self.multiplier < 1:
-            raise ValueError("multiplier must be finite and at least 1")
+            raise ValueError(f"delays can't shrink or be infinite: multiplier {self.multiplier!r}")
         if self.max_delay < self.initial_delay:
             raise ValueError("max_delay must be at least initial_delay")
 
@@ -50,14 +51,29 @@ class RetryPolicy:
             raise ValueError("multiplier must be greater than 1")
         return cls(max_attempts, initial_delay, multiplier, max_delay, jitter)
 
+    def _last_power(self) -> float:
+        """The attempt from which on the delay is max_delay; told in logarithms, so that no power overflows."""
+        if self.initial_delay == 0 or self.multiplier == 1 or self.max_delay == math.inf:
+            return math.inf
+        return 1 + (math.log(self.max_delay) - math.log(self.initial_delay)) / math.log(self.multiplier)
+
+    def seconds(self, attempt: int, uniform=random.uniform) -> float:
+        """The delay after an attempt; with jitter one draw between 0 and it."""
+        rise = (attempt - 1) * math.log(self.multiplier)
+        if attempt >= self._last_power():
+            base = self.max_delay
+        elif rise < 700:
+            base = min(self.initial_delay * self.multiplier ** (attempt - 1), self.max_delay)
+        else:  # the power alone is too large for a double
+            base = min(math.exp(math.log(self.initial_delay) + rise), self.max_delay)
+        return uniform(0.0, base) if self.jitter else float(base)
+
     def delay(self, attempt: Column, uniform: Column | None = None) -> Column:
-        """Seconds, computed in logarithms so that no power overflows; uniform in [0, 1) spreads it (full jitter)."""
-        if self.initial_delay == 0:
-            base = F.lit(0.0)
-        else:
-            log = math.log(self.initial_delay) + (attempt - 1) * math.log(self.multiplier)
-            power = F.lit(float(self.initial_delay)) * F.pow(F.lit(float(self.multiplier)), (attempt - 1).cast("double"))
-            base = F.lit(float(self.initial_delay)) if self.multiplier == 1 else F.when(log >= math.log(max(self.max_delay, 1e-300)), F.lit(float(self.max_delay))).otherwise(F.least(power, F.lit(float(self.max_delay))))
+        """The same for many attempts; uniform in [0, 1) is the draw, without one there is no jitter."""
+        first, most = F.lit(float(self.initial_delay)), F.lit(float(self.max_delay))
+        rise = (attempt - 1).cast("double") * math.log(self.multiplier)
+        power = first if self.initial_delay == 0 else F.when(rise < 700, first * F.pow(F.lit(float(self.multiplier)), (attempt - 1).cast("double"))).otherwise(F.exp(math.log(self.initial_delay) + rise))
+        base = F.when(attempt >= F.lit(self._last_power()), most).otherwise(F.least(power, most))
         return base * uniform if self.jitter and uniform is not None else base
 
 
@@ -78,4 +94,4 @@ class Reject(Exception):
 
 
 def error_text(error: BaseException) -> str:
-    return f"{type(error).__name__}: {error}"
+    return str(error) or type(error).__name__

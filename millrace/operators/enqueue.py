@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import LEASED, READY
+from ..store import scratch
 
 
 def identity() -> Column:
@@ -14,23 +15,20 @@ def identity() -> Column:
 
 
 def first_rows(batch: DataFrame) -> DataFrame:
-    """The first row by seq of each (queue, identity), and every anonymous row."""
+    """The first row by seq of each (queue, identity), one of equally early ones, and every anonymous row.
+    One shuffle, of at most a row for each identity and task (window group limit)."""
     named = batch.withColumn("identity", identity())
     keyed = named.filter("identity is not null")
     first = keyed.withColumn("rn", F.row_number().over(Window.partitionBy("queue", "identity").orderBy("seq"))).filter("rn = 1").drop("rn")
     return first.unionByName(named.filter("identity is null"))
 
 
-def dedup_by_job(batch: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """batch (queue, job_id, seq, payload) with first_seq, the seq of the row that stands for it, and
-    inserted, whether it is that row. stored (queue, job_id, id): rows there before win."""
-    first = batch.filter("job_id is not null").groupBy("queue", "job_id").agg(F.min("seq").alias("first"))
-    out = batch.join(first, ["queue", "job_id"], "left").withColumn("first_seq", F.coalesce("first", "seq")).drop("first")
-    out = out.withColumn("inserted", F.col("first_seq") == F.col("seq"))
-    if stored is not None:
-        old = stored.filter("job_id is not null").select("queue", "job_id", F.col("id").alias("stored_id"))
-        out = out.join(old, ["queue", "job_id"], "left").withColumn("inserted", F.col("inserted") & F.col("stored_id").isNull())
-    return out
+def dedup_counts(batch: DataFrame) -> DataFrame:
+    """(queue, inserted, deduplicated) of a batch (queue, job_id): of each job one row is inserted, and every
+    row without a job. Counts only, so no payload is shuffled."""
+    groups = batch.groupBy("queue", "job_id").agg(F.count("*").alias("rows"))
+    stay = F.when(F.col("job_id").isNull(), F.col("rows")).otherwise(F.lit(1))
+    return groups.groupBy("queue").agg(F.sum(stay).alias("inserted"), F.sum(F.col("rows") - stay).alias("deduplicated"))
 
 
 def half_identities(batch: DataFrame) -> DataFrame:
@@ -38,25 +36,55 @@ def half_identities(batch: DataFrame) -> DataFrame:
     return batch.filter(F.col("dedup_key").isNull() != F.col("dedup_fingerprint").isNull())
 
 
-def conflicts(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """(queue, kind, value): keys that meet two fingerprints, and job_ids that meet two keys, in the
-    batch or with what is stored; must be empty."""
+def conflicting(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """(seq, queue, kind, value): rows of the batch whose identity meets another one before them, stored or
+    in the batch; must be empty. A key meets a different fingerprint; a job_id a different key or
+    fingerprint (a row without a key agrees with any); or the two name different stored messages."""
     cols = ["queue", "job_id", "dedup_key", "dedup_fingerprint"]
-    both = batch.select(*cols).union(stored.select(*cols))
-    prints = both.filter("dedup_key is not null").groupBy("queue", "dedup_key").agg(F.count_distinct("dedup_fingerprint").alias("n"))
-    prints = prints.filter("n > 1").select("queue", F.lit("dedup_key").alias("kind"), F.col("dedup_key").alias("value"))
-    mark = F.coalesce("dedup_key", F.lit(""))
-    jobs = both.filter("job_id is not null").groupBy("queue", "job_id").agg(F.count_distinct(mark).alias("n")).filter("n > 1")
-    return prints.union(jobs.select("queue", F.lit("job_id").alias("kind"), F.col("job_id").alias("value")))
+    rows = batch.select(F.col("seq").cast("long").alias("seq"), F.lit(None).cast("long").alias("id"), *cols)
+    found = None
+    for kind in ("dedup_key", "job_id"):
+        there = meeting(stored, batch, kind).select(F.lit(-1).cast("long").alias("seq"), "id", *cols)
+        mark = F.struct(F.col("dedup_fingerprint").alias("print"), F.when(F.lit(kind == "job_id"), F.col("dedup_key")).alias("key"), "id")
+        both = rows.union(there).filter(F.col(kind).isNotNull())
+        first = both.groupBy("queue", kind).agg(F.min(F.struct("seq", mark.alias("mark"))).alias(f"first_{kind}"))
+        met = rows.filter(F.col(kind).isNotNull()).join(first, ["queue", kind])
+        x = F.col(f"first_{kind}.mark")
+        other = ~x["print"].eqNullSafe(F.col("dedup_fingerprint")) | (F.lit(kind == "job_id") & ~x["key"].eqNullSafe(F.col("dedup_key")))
+        bad = met.filter(F.col("dedup_key").isNotNull() & other).select("seq", "queue", F.lit(kind).alias("kind"), F.col(kind).alias("value"))
+        found = bad if found is None else found.union(bad)
+    keys, jobs = (meeting(stored, batch, k).select("queue", k, F.col("id").alias(f"{k}_id")) for k in ("dedup_key", "job_id"))
+    two = rows.filter("dedup_key is not null and job_id is not null").join(keys, ["queue", "dedup_key"]).join(jobs, ["queue", "job_id"])
+    two = two.filter("dedup_key_id <> job_id_id").select("seq", "queue", F.lit("both").alias("kind"), F.col("job_id").alias("value"))
+    return found.union(two)
+
+
+def conflicts(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """(queue, kind, value): the identities that conflicting() finds, once each."""
+    return conflicting(batch, stored).select("queue", "kind", "value").distinct()
+
+
+def meeting(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Stored rows with a key that the batch has in the same queue, too. Rows without one take no part."""
+    wanted = batch.filter(F.col(key).isNotNull()).select("queue", key).distinct()
+    return stored.filter(F.col(key).isNotNull()).join(wanted, ["queue", key], "left_semi")
+
+
+def named(stored: DataFrame, commands: DataFrame) -> DataFrame:
+    """Stored rows that commands (queue, id) name."""
+    return stored.join(commands.select("queue", "id").distinct(), ["queue", "id"], "left_semi").select(*stored.columns)
 
 
 def new_rows(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """The first rows of the batch whose job_id and key aren't stored in their queue."""
-    out = first_rows(batch)
+    """The first rows of the batch whose job_id and key aren't stored in their queue. Rows without
+    either are set aside first: they would all hash to one partition."""
+    first = first_rows(batch)
+    out, plain = first.filter("job_id is not null or dedup_key is not null"), first.filter("job_id is null and dedup_key is null")
     for key in ("job_id", "dedup_key"):
-        old = stored.filter(F.col(key).isNotNull()).select(F.col("queue").alias("q"), F.col(key).alias("k")).distinct()
-        out = out.join(old, (out["queue"] == old["q"]) & (out[key] == old["k"]), "left_anti")
-    return out
+        old = meeting(stored, batch, key).select(F.col("queue").alias("q"), F.col(key).alias("k")).distinct()
+        without, keyed = out.filter(F.col(key).isNull()), out.filter(F.col(key).isNotNull())
+        out = keyed.join(old, (keyed["queue"] == old["q"]) & (keyed[key] == old["k"]), "left_anti").unionByName(without)
+    return out.unionByName(plain)
 
 
 def capacity(batch: DataFrame, stored: DataFrame, limits: DataFrame) -> DataFrame:
@@ -71,15 +99,23 @@ def capacity(batch: DataFrame, stored: DataFrame, limits: DataFrame) -> DataFram
     return out.select("queue", "pending", "new", "limit", verdict.alias("verdict"))
 
 
-def number(rows: DataFrame, after: int, by: list[str]) -> DataFrame:
-    """Ids after a given one, in the order of by, without gathering the rows in one task.
+def ranged(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt out by the order of by, with mr_part, the place of their range. They are written: planned
+    twice, ranges need not be the same."""
+    return scratch(rows.repartitionByRange(*by).withColumn("mr_part", F.spark_partition_id()), "ranged")
 
-    Rows are ranged by the order; each range numbers its own, and starts after the counts of
-    the ranges before it, which are as few as there are partitions.
-    """
-    ranged = rows.repartitionByRange(*by).withColumn("mr_part", F.spark_partition_id())
+
+def numbered(parts: DataFrame, after: int, by: list[str]) -> DataFrame:
+    """Of ranged(): ids after a given one, in the order of by, without gathering the rows in one task. Each
+    range numbers its own, and starts after the counts of the ranges before it, which are as
+    few as there are partitions."""
     inside = Window.partitionBy("mr_part").orderBy(*by)
-    sizes = ranged.groupBy("mr_part").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("mr_part").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("mr_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    out = ranged.join(F.broadcast(before), "mr_part")  # a row for each partition
+    out = parts.join(F.broadcast(before), "mr_part")  # a row for each partition
     return out.withColumn("id", F.row_number().over(inside) + F.col("before") + after).drop("mr_part", "before")
+
+
+def number(rows: DataFrame, after: int, by: list[str]) -> DataFrame:
+    """Rows with ids after a given one, in the order of by."""
+    return numbered(ranged(rows, by), after, by)

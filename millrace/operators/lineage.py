@@ -34,8 +34,15 @@ def descendants(edges: DataFrame, roots: DataFrame, *, parent: str = "parent", c
     return seen
 
 
-def attach(deliveries: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Memberships (execution_id, message_id) with those of outcomes and all their descendants added."""
+def joined(deliveries: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """New memberships (execution_id, message_id): those of outcomes and all their descendants that aren't
+    in deliveries."""
     roots = outcomes.select("execution_id", F.col("message_id").alias("node"))
     reached = descendants(edges, roots, parent="parent_message_id", child="child_message_id")
-    return deliveries.union(reached.select("execution_id", F.col("node").alias("message_id"))).distinct()
+    names = ["execution_id", "message_id"]
+    return reached.select("execution_id", F.col("node").alias("message_id")).distinct().join(deliveries.select(*names), names, "left_anti")
+
+
+def attach(deliveries: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Memberships with those of outcomes and all their descendants added."""
+    return deliveries.unionByName(joined(deliveries, edges, outcomes))

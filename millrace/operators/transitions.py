@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 from ..schema import ACKED, FAILED, LEASED, READY
 
 _NULL = None  # as a value of _set()
+TOUCHED = "mr_touched"
+
+
+def touched(change, messages: DataFrame, *args, **named) -> DataFrame:
+    """Only the messages that a change of this module has changed."""
+    return change(messages.withColumn(TOUCHED, F.lit(False)), *args, **named).filter(TOUCHED).drop(TOUCHED)
 
 
 def can_start(now: int) -> Column:
@@ -28,8 +34,11 @@ def deliverable(messages: DataFrame, now: int) -> DataFrame:
 
 
 def _set(messages: DataFrame, when: Column, **values: Column | None) -> DataFrame:
-    """All rows, with these columns changed where when is true. Conditions see the old row."""
+    """All rows, with these columns changed where when is true. Conditions see the old row. A column
+    TOUCHED, where the messages have one, becomes true for those rows."""
     hit = F.coalesce(when, F.lit(False))
+    if TOUCHED in messages.columns:
+        values[TOUCHED] = F.lit(True)
     new = {k: F.when(hit, (F.lit(None) if v is None else v).cast(messages.schema[k].dataType)).otherwise(F.col(k)) for k, v in values.items() if k in messages.columns}
     return messages.select(*[new[c].alias(c) if c in new else F.col(c) for c in messages.columns])
 
@@ -132,12 +141,17 @@ def retry_failed(messages: DataFrame, now: int, ids: DataFrame) -> DataFrame:
     return _plain(out, messages)
 
 
-def purge(messages: DataFrame, protected: DataFrame, cutoff: int, *, queue: str | None = None, include_failed: bool = False) -> DataFrame:
-    """Without settled messages last changed before cutoff, but for members of executions (protected: message_id)."""
+def purgeable(messages: DataFrame, protected: DataFrame, cutoff: int, *, queue: str | None = None, include_failed: bool = False) -> DataFrame:
+    """Settled messages last changed before cutoff, but for members of executions (protected: message_id)."""
     states = [ACKED, FAILED] if include_failed else [ACKED]
     old = F.col("status").isin(states) & (F.col("updated_at") < cutoff)
     old = old if queue is None else old & (F.col("queue") == queue)
-    gone = messages.filter(old).select("id").join(protected, F.col("id") == F.col("message_id"), "left_anti")
+    return messages.filter(old).join(protected, F.col("id") == F.col("message_id"), "left_anti")
+
+
+def purge(messages: DataFrame, protected: DataFrame, cutoff: int, *, queue: str | None = None, include_failed: bool = False) -> DataFrame:
+    """Without the messages that can be purged."""
+    gone = purgeable(messages, protected, cutoff, queue=queue, include_failed=include_failed).select("id")
     return messages.join(gone, "id", "left_anti").select(*messages.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -178,7 +178,7 @@ def dead_letter_page(spark, d):
     return page.select("id", "queue", "attempts", "last_error", failure_reason(F.col("failure_reason")).alias("failure_reason"), "failure_category", (F.col("updated_at") / 1000.0).alias("failed_at"))
 
 
-_LOG = "select user_id as message, event_id as seq, case event_type when 'click' then 'get' when 'view' then 'nack' when 'error' then 'get' when 'purchase' then 'ack' else 'get' end as op, {MS} as at from events where user_id % 3 = 0"
+_LOG = "select user_id as message, event_id as seq, case event_type when 'click' then 'get' when 'view' then 'nack' when 'error' then 'get' when 'purchase' then 'ack' else 'get' end as op, {MS} as at from events"
 _LAPSED = "(s.status = 1 and s.lease_until <= l.at)"
 _NOWLIVE = "(s.status = 1 and s.lease_until > l.at)"
 _AFTER = f"case when {_LAPSED} and l.op = 'get' then case when s.attempts >= 4 then 3 else 0 end else s.status end"
@@ -203,21 +203,82 @@ _B = fx.ctes(b=fx.BATCH)
 
 @query(_B + "select queue, job_id, min(seq) as seq, min_by(payload, seq) as payload from b group by all")
 def enqueue_dedup_job_id(spark, d):
-    out = enqueue.dedup_by_job(fx.relation(spark, d, fx.BATCH)).filter("inserted")
-    return out.select("queue", "job_id", "seq", "payload").dropDuplicates(["queue", "job_id"])  # rows with one seq are equal; no further shuffle
+    batch = fx.relation(spark, d, fx.BATCH).withColumn("dedup_key", F.lit(None).cast("string"))
+    return enqueue.first_rows(batch).select("queue", "job_id", "seq", "payload")
 
 
-@query(_B + "select queue, count(*) filter (where seq = f) as inserted, count(*) filter (where seq <> f) as deduplicated from (select queue, seq, min(seq) over (partition by queue, job_id) as f from b) group by queue")
+@query(_B + "select queue, count(distinct job_id) as inserted, count(*) - count(distinct job_id) as deduplicated from b group by queue")
 def dedup_outcomes(spark, d):
-    out = enqueue.dedup_by_job(fx.relation(spark, d, fx.BATCH))
-    return out.groupBy("queue").agg(F.count_if("inserted").alias("inserted"), F.count_if(~F.col("inserted")).alias("deduplicated"))
+    return enqueue.dedup_counts(fx.relation(spark, d, fx.BATCH))
 
 
 @query(_B + "select queue, 'job_id' as kind, job_id as value from b group by queue, job_id having count(distinct payload) > 1")
 def dedup_conflicts(spark, d):
     b = fx.relation(spark, d, fx.BATCH)
-    rows = b.select("queue", "job_id", F.col("payload").alias("dedup_key"), F.lit("f").alias("dedup_fingerprint"))
-    return enqueue.conflicts(rows, rows.limit(0)).filter("kind = 'job_id'")
+    rows = b.select("seq", "queue", "job_id", F.col("payload").alias("dedup_key"), F.lit("f").alias("dedup_fingerprint"))
+    return enqueue.conflicts(rows, rows.limit(0).withColumn("id", F.lit(0))).filter("kind = 'job_id'")
+
+
+_ROWS = """select event_type as queue, event_id as seq, event_id as id, case when event_id % 2 = 0 then concat('k', cast(user_id % 50 as varchar(9))) end as dedup_key,
+  case when event_id % 2 = 0 then case when event_id % 7 = 0 then 'f1' else 'f0' end end as dedup_fingerprint, case when event_id % 3 = 0 then concat('j', cast(event_id % 300 as varchar(9))) end as job_id from events"""
+
+
+@query(fx.ctes(e=_ROWS) + """
+, s as (select * from e where seq % 10 = 0), b as (select * from e where seq % 10 <> 0),
+u as (select queue, dedup_key, dedup_fingerprint, job_id, id, -1 as seq from s union all select queue, dedup_key, dedup_fingerprint, job_id, null, seq from b),
+k as (select queue, dedup_key, first(dedup_fingerprint order by seq, dedup_fingerprint nulls first, id nulls first) as print from u where dedup_key is not null group by all),
+j as (select queue, job_id, first({'p': dedup_fingerprint, 'k': dedup_key} order by seq, dedup_fingerprint nulls first, dedup_key nulls first, id nulls first) as mark from u where job_id is not null group by all)
+select b.seq, b.queue, 'dedup_key' as kind, b.dedup_key as value from b join k using (queue, dedup_key) where print is distinct from b.dedup_fingerprint
+union all select b.seq, b.queue, 'job_id', b.job_id from b join j using (queue, job_id)
+  where b.dedup_key is not null and (mark.p is distinct from b.dedup_fingerprint or mark.k is distinct from b.dedup_key)
+union all select distinct b.seq, b.queue, 'both', b.job_id from b join s x on x.queue = b.queue and x.dedup_key = b.dedup_key join s y on y.queue = b.queue and y.job_id = b.job_id where x.id <> y.id""")
+def dedup_conflicts_keys(spark, d):
+    """Rows whose key, job or both meet another identity, stored or before them in the batch."""
+    rows = fx.relation(spark, d, _ROWS)
+    return enqueue.conflicting(rows.filter("seq % 10 <> 0"), rows.filter("seq % 10 = 0")).distinct()
+
+
+def _new_queue(spark, name: str):
+    from ..queue import Queue
+    from ..store import Store, shared_dir
+
+    return Queue(Store(spark, f"{shared_dir(spark)}/millrace-store-{uuid.uuid4().hex}"), name, lease_seconds=60, max_retries=3, clock=lambda: NOW)
+
+
+_PUT = """select event_id as seq, event_type as queue, props as payload, case when event_id % 4 = 1 then concat('j', cast(event_id % 1000 as varchar(9))) end as job_id,
+  case when event_id % 4 = 0 then concat('k', cast(user_id as varchar(9))) end as dedup_key, case when event_id % 4 = 0 then 'f' end as dedup_fingerprint from events where event_type = 'view'"""
+
+
+@query(fx.ctes(e=_PUT) + """
+, n as (select *, coalesce('k' || dedup_key, 'j' || job_id) as identity from e),
+s1 as (select seq, identity, row_number() over (order by seq) as id from n where seq % 2 = 0 and (identity is null or seq = (select min(x.seq) from n x where x.identity = n.identity and x.seq % 2 = 0))),
+f2 as (select seq, identity, min(seq) over (partition by identity) as first from n where identity is null or identity not in (select identity from s1 where identity is not null)),
+s2 as (select seq, identity, (select count(*) from s1) + row_number() over (order by seq) as id from f2 where identity is null or seq = first),
+known as (select identity, min(id) as id from (select identity, id from s1 union all select identity, id from s2) where identity is not null group by 1)
+select n.seq, n.queue, coalesce(s2.id, known.id)::bigint as id, s2.id is not null as inserted from n left join s2 using (seq) left join known on known.identity = n.identity""")
+def enqueue_identity(spark, d):
+    """Two batches through a queue and its commits; what became of the second's rows: keys, jobs, rows without either, some stored before."""
+    q, rows = _new_queue(spark, "view"), fx.relation(spark, d, _PUT).withColumn("payload", F.col("payload").cast("binary"))
+    q.put_frame(rows.filter("seq % 2 = 0"))
+    return q.put_frame(rows)
+
+
+@query(fx.ctes(e=_PUT) + f"""
+, f as (select *, row_number() over (order by seq) as id from e where coalesce(dedup_key, job_id) is null or seq = (select min(x.seq) from e x where coalesce('k' || x.dedup_key, 'j' || x.job_id) = coalesce('k' || e.dedup_key, 'j' || e.job_id)))
+select id, payload, job_id, case when id > 300 then 0 when id % 3 = 0 then 2 when id % 3 = 1 then 0 else 3 end::bigint as status, case when id > 300 then 0 else 1 end::bigint as attempts,
+  case when id <= 300 and id % 3 = 1 then {NOW} + 5000 else {NOW} end::bigint as available_at, case when id <= 300 and id % 3 = 1 then 'again' when id <= 300 and id % 3 = 2 then 'no' end as last_error,
+  case when id <= 300 and id % 3 = 2 then 'rejected' end as failure_reason, null::varchar as receipt from f""")
+def store_put_claim_ack(spark, d):
+    """A queue's whole way through the store: put, claim of 300, then an ack, nack or fail of each, each one commit."""
+    q, rows = _new_queue(spark, "view"), fx.relation(spark, d, _PUT).withColumn("payload", F.col("payload").cast("binary"))
+    q.put_frame(rows)
+    commands = q.claim(300).select(F.lit("view").alias("queue"), "id", "receipt")
+    q.apply(commands.filter("id % 3 = 0"), "ack")
+    nack = commands.filter("id % 3 = 1").withColumns({"delay_ms": F.lit(5000).cast("long"), "last_error": F.lit("again"), "reason": F.lit(None).cast("string")})
+    q.apply(nack, "nack")
+    q.apply(commands.filter("id % 3 = 2").withColumns({"last_error": F.lit("no"), "reason": F.lit("rejected"), "category": F.lit(None).cast("string")}), "fail")
+    m = q.store.table("messages", queue="view")
+    return m.select("id", F.col("payload").cast("string").alias("payload"), "job_id", "status", "attempts", "available_at", "last_error", "failure_reason", "receipt")
 
 
 @query("""select doc_id, 'event-identity:v1:' || sha256('{"event_schema":"Doc@1","identity":{"source":' || to_json(source) || ',"text":' || to_json(text) || '}}') as dedup_key,
@@ -403,19 +464,26 @@ def integrity_violations(spark, d):
     return agg.violations(_messages(spark, d), dl)
 
 
-@query("select n_nationkey::varchar as n_nationkey, n_name, n_regionkey::varchar as n_regionkey from nation")
+@query("select o_orderkey::varchar as o_orderkey, o_orderstatus, o_orderpriority, row_number() over (order by o_orderkey)::bigint as record_number from orders")
 def csv_roundtrip(spark, d):
-    import csv
-
-    from ..sources.resumable import CsvSource
-
-    rows = spark.read.parquet(f"{d}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
-    with tempfile.NamedTemporaryFile("w", suffix=".csv", delete=False, newline="", encoding="utf-8") as f:  # 25 rows, by the driver
-        out = csv.writer(f)
-        out.writerow(rows.columns)
-        out.writerows(rows.collect())
-    found = [r.value for r in CsvSource(f.name).open()]
-    return spark.createDataFrame([tuple(str(v[c]) for c in rows.columns) for v in found], "n_nationkey string, n_name string, n_regionkey string")
+    """The orders as one CSV file in the shared folder, and its records by cursor, as a stream in ranges."""
+    from ..sources.resumable import CsvSource, CsvStream
+    from ..store import shared_dir
+
+    rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    path = f"{shared_dir(spark)}/millrace-csv-{uuid.uuid4().hex}"
+    rows.orderBy("o_orderkey").coalesce(1).write.option("header", True).csv(path)
+    name = next(f for f in CsvSource.listed(spark, path) if f.endswith(".csv"))
+    spark.dataSource.register(CsvStream)
+    stream = spark.readStream.format("millrace_csv").option("path", f"{path}/{name}").option("per_batch", 5000).load()
+    out = f"{path}-read"
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").option("path", out).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    cells = F.from_json("row", "o_orderkey string, o_orderstatus string, o_orderpriority string")
+    return spark.read.schema("record_number long, line_number long, row string, cursor string").parquet(out).select(cells.alias("c"), "record_number").select("c.*", "record_number")
 
 
 @query()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import threading
 import time
 import uuid
 from collections.abc import Iterable
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from .functions.retry import Reject, Retry, RetryPolicy, error_text, milliseconds
 from .operators import aggregates, enqueue, transitions
 from .schema import FAILED, LEASED, MESSAGES, READY, DeduplicationConflict, Empty, Full, FullImpossible, LeaseExpired, MillraceError
-from .store import Store, scratch
+from .store import Store, Change, changed, removed, scratch
 
 
 @dataclass(frozen=True)
@@ -49,7 +50,7 @@ def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None]) ->
     """Raise unless the batch has whole identities, no conflicts, and room."""
     if enqueue.half_identities(batch).limit(1).count():
         raise ValueError("a dedup_key and its fingerprint must be given together")
-    found = enqueue.conflicts(batch, stored).limit(1).collect()
+    found = enqueue.conflicting(batch, stored).limit(1).collect()
     if found:
         raise DeduplicationConflict(f"{found[0]['kind']} {found[0]['value']!r} in queue {found[0]['queue']!r}")
     bounded = [(q, n) for q, n in limits.items() if n is not None]
@@ -62,20 +63,40 @@ def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None]) ->
             raise Full(verdicts["full"])
 
 
-def insert(batch: DataFrame, stored: DataFrame, now: int, max_attempts: int, last_id: int) -> tuple[DataFrame, DataFrame]:
-    """The new messages, and an outcome (seq, id, inserted) for every row of the batch."""
-    fresh = scratch(enqueue.number(enqueue.new_rows(batch, stored), last_id, ["seq"]), "fresh")
+def insert(store: Store, batch: DataFrame, stored: DataFrame, now: int, max_attempts: int) -> tuple[DataFrame, DataFrame, int]:
+    """The new messages, an outcome (seq, queue, id, inserted) for every row of the batch, and the last id."""
+    parts = enqueue.ranged(enqueue.new_rows(batch, stored), ["seq"])
+    n = parts.count()
+    after = store.reserve(n) if n else 0
+    fresh = scratch(enqueue.numbered(parts, after, ["seq"]), "fresh")
     new = fresh.select(
         "id", "queue", "payload", F.lit(READY).alias("status"), F.lit(0).alias("attempts"), F.lit(max_attempts).alias("max_attempts"), F.lit(now).alias("available_at"),
         "job_id", "dedup_key", "dedup_fingerprint", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
-    known = stored.select("queue", "job_id", "dedup_key", "id").union(fresh.select("queue", "job_id", "dedup_key", "id"))
     named = batch.select("seq", "queue", "job_id", "dedup_key")
     out = named.join(fresh.select("seq", F.col("id").alias("own")), "seq", "left")
-    for key in ("dedup_key", "job_id"):
+    for key in ("dedup_key", "job_id"):  # only keys of the batch are looked up
+        known = enqueue.meeting(stored, batch, key).select("queue", key, "id").union(fresh.select("queue", key, "id"))
         by = known.filter(F.col(key).isNotNull()).groupBy("queue", key).agg(F.min("id").alias(f"by_{key}"))
         out = out.join(by, ["queue", key], "left")
-    return new, out.select("seq", "queue", F.coalesce("own", "by_dedup_key", "by_job_id").alias("id"), F.col("own").isNotNull().alias("inserted"))
+    return new, out.select("seq", "queue", F.coalesce("own", "by_dedup_key", "by_job_id").alias("id"), F.col("own").isNotNull().alias("inserted")), after + n
+
+
+def fan_out(store: Store, rows: list[tuple], now: int, max_attempts: int) -> list[tuple[int, bool]]:
+    """Rows as of prepared(), for any queues: (id, inserted) of each, in one commit."""
+    if not rows:
+        return []
+    batch, names, held = prepared(store.spark, rows), sorted({r[1] for r in rows}), []
+
+    def change(base: int, store: Store):
+        stored = store.table("messages", base).filter(F.col("queue").isin(names))
+        admit(batch, stored, {})
+        new, outcomes, last = insert(store, batch, stored, now, max_attempts)
+        held[:] = outcomes.orderBy("seq").collect()
+        return ({"messages": [Change(new)]}, {"last_id": last}) if last else ({}, {})
+
+    store.change(change, [f"messages:{q}" for q in names])
+    return [(r["id"], r["inserted"]) for r in held]
 
 
 class Queue:
@@ -92,9 +113,14 @@ class Queue:
         self.lease_ms, self.max_attempts, self.max_pending, self.closed = milliseconds(lease_seconds), max_retries + 1, max_pending, False
 
     def _messages(self, version: int | None = None) -> DataFrame:
+        """This queue's messages."""
         if self.closed:
             raise MillraceError("the queue is closed")
-        return self.store.table("messages", version)
+        return self.store.table("messages", version, self.name)
+
+    @property
+    def scope(self) -> str:
+        return f"messages:{self.name}"
 
     # --- writing
 
@@ -124,16 +150,20 @@ class Queue:
         held: list[DataFrame] = []
 
         def change(base: int, store: Store):
-            stored, last = self._messages(base), store.commit_at(base)["last_id"]
+            stored = self._messages(base)
             admit(batch, stored, {self.name: self.max_pending})
-            new, outcomes = insert(batch, stored, self.clock(), self.max_attempts, last)
+            new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts)
             held[:] = [scratch(outcomes, "outcomes")]
-            top = new.agg(F.max("id")).first()[0]
-            return ({"messages": stored.unionByName(new, allowMissingColumns=True)}, {"last_id": top}) if top else ({}, {})
+            return ({"messages": [Change(new, queue=self.name)]}, {"last_id": last}) if last else ({}, {})
 
-        self.store.change(change)
+        self.store.change(change, [self.scope])
         return held[0]
 
+    def fanout(self, payload: object, targets: Iterable[tuple[str, str | None]]) -> list[int]:
+        """One payload to many queues (name, job_id), in one commit and without limits; ids in the order of targets."""
+        rows = [(i, name, dumps(payload), job_id, None, None) for i, (name, job_id) in enumerate(targets)]
+        return [i for i, _ in fan_out(self.store, rows, self.clock(), self.max_attempts)]
+
     # --- delivery
 
     def claim(self, n: int = 1, *, max_attempts: int | None = None) -> DataFrame:
@@ -142,14 +172,16 @@ class Queue:
 
         def change(base: int, store: Store):
             now, m = self.clock(), self._messages(base)
-            own = m.filter(F.col("queue") == self.name)
-            if not own.filter(transitions.can_start(now) | transitions.is_expired(now)).limit(1).count():
+            if not m.filter(transitions.can_start(now) | transitions.is_expired(now)).limit(1).count():
+                held[:] = [m.limit(0)]
                 return {}, {}
-            after = transitions.claim(own, now, lease_ms=self.lease_ms, n=n, receipt=token, max_attempts=max_attempts)
-            return {"messages": m.filter(F.col("queue") != self.name).union(after)}, {}
+            after = scratch(transitions.touched(transitions.claim, m, now, lease_ms=self.lease_ms, n=n, receipt=token, max_attempts=max_attempts), "claimed")
+            held[:] = [after]
+            return {"messages": [changed(after, self.name)]}, {}
 
-        self.store.change(change)
-        return self._messages().filter((F.col("queue") == self.name) & (F.col("status") == LEASED) & F.col("receipt").startswith(token)).select("id", "payload", "attempts", "receipt", "lease_until")
+        held: list[DataFrame] = []
+        self.store.change(change, [self.scope])
+        return held[0].filter((F.col("status") == LEASED) & F.col("receipt").startswith(token)).select("id", "payload", "attempts", "receipt", "lease_until")
 
     def get(self, block: bool = True, timeout: float | None = None) -> Job:
         until, pause = time.monotonic() + (timeout if timeout is not None else 1e9), 0.01
@@ -172,11 +204,12 @@ class Queue:
         held = [0]
 
         def change(base: int, store: Store):
-            now, m = self.clock(), self._messages(base)
-            held[0] = transitions.fenced(m, commands, now).filter("valid").count()
-            return ({"messages": f(m, commands, now)}, {}) if held[0] else ({}, {})
+            now, m = self.clock(), enqueue.named(self._messages(base), commands)
+            after = scratch(transitions.touched(f, m, commands, now), "settled")
+            held[0] = after.count()
+            return ({"messages": [changed(after, self.name)]}, {}) if held[0] else ({}, {})
 
-        self.store.change(change)
+        self.store.change(change, [self.scope])
         return held[0]
 
     def _one(self, job: Job, how: str, **more) -> None:
@@ -202,60 +235,60 @@ class Queue:
         held = [0]
 
         def change(base: int, store: Store):
-            now, m = self.clock(), self._messages(base)
-            mine = F.col("queue") == self.name
-            held[0] = m.filter(mine & transitions.is_expired(now)).count()
-            return ({"messages": m.filter(~mine).union(transitions.reclaim(m.filter(mine), now))}, {}) if held[0] else ({}, {})
+            now = self.clock()
+            after = scratch(transitions.touched(transitions.reclaim, self._messages(base).filter(transitions.is_expired(now)), now), "reclaimed")
+            held[0] = after.count()
+            return ({"messages": [changed(after, self.name)]}, {}) if held[0] else ({}, {})
 
-        self.store.change(change)
+        self.store.change(change, [self.scope])
         return held[0]
 
     def retry_failed(self, message_id: int) -> None:
         """Existence is checked before room; executions that hold the message open again."""
 
         def change(base: int, store: Store):
-            m, mine = self._messages(base), F.col("queue") == self.name
-            if not m.filter(mine & (F.col("id") == message_id) & (F.col("status") == FAILED)).count():
+            m = self._messages(base)
+            one = m.filter(F.col("id") == message_id)
+            if not one.filter(F.col("status") == FAILED).count():
                 raise MillraceError(f"no failed message {message_id}")
-            if self.max_pending is not None and m.filter(mine & F.col("status").isin(READY, LEASED)).count() + 1 > self.max_pending:
+            if self.max_pending is not None and m.filter(F.col("status").isin(READY, LEASED)).count() + 1 > self.max_pending:
                 raise Full(self.name)
             ids = store.spark.createDataFrame([(self.name, message_id)], "queue string, id long")
-            runtime = store.table("runtime", base)
-            of = store.table("deliveries", base).filter(F.col("message_id") == message_id).select("execution_id").distinct().withColumn("hit", F.lit(True))
-            again = runtime.join(of, "execution_id", "left").withColumn("completed_at", F.when(F.col("hit"), None).otherwise(F.col("completed_at"))).select(*runtime.columns)
-            return {"messages": transitions.retry_failed(m, self.clock(), ids), "runtime": again}, {}
+            of = store.table("deliveries", base).filter(F.col("message_id") == message_id).select("execution_id").distinct()
+            again = store.table("runtime", base).filter("completed_at is not null").join(of, "execution_id", "left_semi").withColumn("completed_at", F.lit(None))
+            return {"messages": [changed(transitions.touched(transitions.retry_failed, one, self.clock(), ids), self.name)], "runtime": [changed(again)]}, {}
 
-        self.store.change(change)
+        self.store.change(change, [self.scope, "executions"])
 
     # --- looking and keeping
 
     def stats(self) -> dict[str, int]:
-        found = aggregates.stats(self._messages().filter(F.col("queue") == self.name)).drop("queue").first()
+        found = aggregates.stats(self._messages()).drop("queue").first()
         return found.asDict() if found else dict.fromkeys(("ready", "processing", "acked", "failed"), 0)
 
     def diagnostics(self) -> dict:
-        found = aggregates.diagnostics(self._messages().filter(F.col("queue") == self.name), self.clock(), self.max_pending).first()
+        found = aggregates.diagnostics(self._messages(), self.clock(), self.max_pending).first()
         return (found.asDict() if found else {"queue": self.name, **self.stats(), "pending": 0}) | self.store.metrics()
 
     def list_failed(self, limit: int = 100, offset: int = 0) -> list[dict]:
-        page = aggregates.failed_page(self._messages().filter(F.col("queue") == self.name), limit=limit, offset=offset)
+        page = aggregates.failed_page(self._messages(), limit=limit, offset=offset)
         return [r.asDict() for r in page.orderBy("id").collect()]
 
     def purge(self, older_than: float, *, include_failed: bool = False) -> int:
         held, cutoff = [0], self.clock() - milliseconds(older_than)
 
         def change(base: int, store: Store):
-            m = self._messages(base)
-            kept = scratch(transitions.purge(m, store.table("deliveries", base).select("message_id"), cutoff, queue=self.name, include_failed=include_failed), "kept")
-            held[0] = m.count() - kept.count()
-            return ({"messages": kept}, {}) if held[0] else ({}, {})
+            gone = transitions.purgeable(self._messages(base), store.table("deliveries", base).select("message_id"), cutoff, include_failed=include_failed)
+            gone = scratch(gone.select("id", "queue"), "gone")
+            held[0] = gone.count()
+            return ({"messages": [removed(gone, self.name)]}, {}) if held[0] else ({}, {})
 
-        self.store.change(change)
+        self.store.change(change, [self.scope, "executions"])
         return held[0]
 
     def check_integrity(self) -> dict[str, int]:
         """Broken rules and how many rows break each; empty when all hold."""
-        found = aggregates.violations(self._messages(), self.store.table("deliveries"), self.store.table("edges"))
+        found = aggregates.violations(self.store.table("messages"), self.store.table("deliveries"), self.store.table("edges"))
         return {r["rule"]: r["n"] for r in found.filter("n > 0").collect()}
 
     def vacuum(self) -> int:
@@ -268,20 +301,53 @@ class Queue:
         self.closed = True
 
 
+class Heartbeat:
+    """While it is entered, a thread of the driver extends the leases of a claimed batch (id, receipt) every
+    interval seconds. Leases that are lost meanwhile stay lost."""
+
+    def __init__(self, queue: Queue, claimed: DataFrame, interval: float | None):
+        self.queue, self.interval, self.ended = queue, interval, threading.Event()
+        if interval is not None and not 0 < interval * 1000 < queue.lease_ms:
+            raise ValueError("a heartbeat must be shorter than the lease")
+        self.commands = claimed.select(F.lit(queue.name).alias("queue"), "id", "receipt", F.lit(queue.lease_ms).cast("long").alias("lease_ms"))
+
+    def _beat(self) -> None:
+        while not self.ended.wait(self.interval):
+            self.queue.apply(self.commands, "extend")
+
+    def __enter__(self):
+        if self.interval is not None:
+            self.thread = threading.Thread(target=self._beat, daemon=True)
+            self.thread.start()
+        return self
+
+    def __exit__(self, *_):
+        self.ended.set()
+        if self.interval is not None:
+            self.thread.join()
+
+
 class Worker:
     """Claims batches, runs a handler on executors, and settles the outcomes in one commit of each kind.
 
     handler(data) runs in Python tasks; what it raises decides: Retry, Reject, permanent_errors,
-    or anything else (another attempt). A lost lease beats the handler's result.
+    or anything else (another attempt). A lost lease beats the handler's result. stop() ends
+    run() after the batch at hand; poll_interval is the time between looks at an empty queue;
+    with a heartbeat_interval leases are extended while a batch runs.
     """
 
-    def __init__(self, queue: Queue, handler, *, permanent_errors: tuple = (), retry: RetryPolicy | None = None, batch: int = 100):
+    def __init__(self, queue: Queue, handler, *, permanent_errors: tuple = (), retry: RetryPolicy | None = None, batch: int = 100, poll_interval: float = 1.0, heartbeat_interval: float | None = None):
+        if not poll_interval > 0:
+            raise ValueError("poll_interval must be positive")
+        if heartbeat_interval is not None and not 0 < heartbeat_interval * 1000 < queue.lease_ms:
+            raise ValueError("heartbeat_interval must be positive and shorter than the lease")
         self.queue, self.handler, self.permanent, self.retry, self.batch = queue, handler, tuple(permanent_errors), retry, batch
+        self.poll_interval, self.heartbeat_interval, self.stopped = poll_interval, heartbeat_interval, threading.Event()
 
     def run_once(self) -> int:
         """One batch; returns how many messages it claimed."""
         claimed = self.queue.claim(self.batch, max_attempts=self.retry.max_attempts if self.retry else None)
-        handler, permanent, name = self.handler, self.permanent, self.queue.name
+        handler, permanent, name, retry = self.handler, self.permanent, self.queue.name, self.retry
 
         def run(batches):
             import pandas as pd
@@ -300,26 +366,32 @@ class Worker:
                         how, error, reason = "fail", error_text(e), "permanent_handler_error"
                     except Exception as e:  # noqa: BLE001  any other error of the handler means another attempt
                         how, error = "nack", error_text(e)
-                    rows.append((name, r.id, r.receipt, r.attempts, how, error, reason, category, after))
-                yield pd.DataFrame(rows, columns=["queue", "id", "receipt", "attempts", "how", "last_error", "reason", "category", "after"])
-
-        schema = "queue string, id long, receipt string, attempts long, how string, last_error string, reason string, category string, after double"
-        done = scratch(claimed.mapInPandas(run, schema), "outcomes")  # a handler runs once for each claim, whatever reads this
-        delay = F.coalesce("after", self.retry.delay(F.col("attempts")) if self.retry else F.lit(0.0), F.lit(0.0))
-        done = done.withColumn("delay_ms", (delay * 1000).cast("long"))
-        n = done.count()
+                    if after is None:
+                        after = retry.seconds(r.attempts) if retry else 0.0
+                    rows.append((name, r.id, r.receipt, how, error, reason, category, int(after * 1000)))
+                yield pd.DataFrame(rows, columns=["queue", "id", "receipt", "how", "last_error", "reason", "category", "delay_ms"])
+
+        schema = "queue string, id long, receipt string, how string, last_error string, reason string, category string, delay_ms long"
+        with Heartbeat(self.queue, claimed, self.heartbeat_interval):
+            done = scratch(claimed.mapInPandas(run, schema), "outcomes")  # a handler runs once for each claim, whatever reads this
+        kinds = {r["how"]: r["n"] for r in done.groupBy("how").agg(F.count("*").alias("n")).collect()}
         for how in ("ack", "nack", "fail"):
-            some = done.filter(F.col("how") == how)
-            if some.limit(1).count():
-                self.queue.apply(some, how)
-        return n
+            if how in kinds:
+                self.queue.apply(done.filter(F.col("how") == how), how)
+        return sum(kinds.values())
+
+    def stop(self) -> None:
+        """From any thread: run() returns after its batch."""
+        self.stopped.set()
 
-    def run(self, *, idle_rounds: int = 1) -> int:
-        """Batches until none is claimed for some rounds; returns how many messages were handled."""
+    def run(self, *, idle_rounds: int | None = 1) -> int:
+        """Batches until none is claimed for some rounds, or (None) until stop(); returns how many messages were handled."""
         total, idle = 0, 0
-        while idle < idle_rounds:
+        while not self.stopped.is_set() and (idle_rounds is None or idle < idle_rounds):
             n = self.run_once()
             total, idle = total + n, 0 if n else idle + 1
+            if not n and (idle_rounds is None or idle < idle_rounds):
+                self.stopped.wait(self.poll_interval)
         return total
 
 

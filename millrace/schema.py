@@ -99,6 +99,10 @@ class ExecutionLeaseLost(MillraceError):
     """Another run holds the source lease."""
 
 
+class ExecutionRuntimeMissing(MillraceError):
+    """An execution has no runtime row."""
+
+
 class ExecutionFailed(MillraceError):
     """An execution has failed deliveries."""
 

@@ -95,3 +95,22 @@ def test_topology(spark):
     events = spark.createDataFrame([(1, "buy"), (2, "sell")], "id long, event_type string")
     assert route(events, t.frame(spark)).count() == 4
     assert unrouted(events, Topology({"s": {"buy"}}).frame(spark)).collect()[0]["id"] == 2
+
+
+@pytest.mark.parametrize("end", ["\n", "\r", "\r\n"])
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16", "latin-1"])
+def test_csv_line_ends(tmp_path, end, encoding):
+    path = tmp_path / "x.csv"
+    rows = ["a,b", "1,x", '2,"y"', "3,é"]
+    path.write_bytes(end.join(rows).encode(encoding))
+    source = CsvSource(f"file://{path}", encoding=encoding)
+    records = list(source.open())
+    assert [(r.value["a"], r.value["b"], r.value["record_number"]) for r in records] == [("1", "x", 1), ("2", "y", 2), ("3", "é", 3)]
+    assert [r.value["a"] for r in source.open(records[0].cursor)] == ["2", "3"]
+
+
+def test_csv_header_errors(tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('a,"b\n1,2\n')
+    with pytest.raises(CsvSourceError):
+        list(CsvSource(str(path)).open())

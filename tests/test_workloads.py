@@ -2,6 +2,7 @@ import asyncio
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.bus import EventBus, _deliver, _Handler, event, REGISTRY
 from millrace.functions.report import write
@@ -41,7 +42,7 @@ def test_timeout_and_context():
     async def slow(e, attempt):
         await asyncio.sleep(attempt)
 
-    h = _Handler(slow, None, (), 0.05, lambda attempt: attempt - 1)
+    h = _Handler(slow, None, (), 0.05, lambda c: c.attempt - 1)
     assert _deliver(body(), 1, {"*": h}, REGISTRY)[0] == "ack"
     assert _deliver(body(), 2, {"*": h}, REGISTRY)[::2][:2] == ("nack", "handler_timeout")
     h.retry = RetryPolicy.exponential(3, 1, 3, 2)
@@ -51,6 +52,49 @@ def test_timeout_and_context():
         EventBus(None).handler(Tick, subscription="s", timeout=1)(lambda e: None)
 
 
+class Cancelled(Exception):
+    pass
+
+
+@pytest.mark.parametrize(
+    ("raised", "permanent", "outcome"),
+    [
+        (TimeoutError("upstream"), (), ("nack", "upstream", None)),  # its own TimeoutError is like any other error
+        (TimeoutError("upstream"), (TimeoutError,), ("fail", "permanent failure: upstream", "permanent_handler_error")),
+        (None, (TimeoutError,), ("nack", "handler timeout after 0.05 seconds", "handler_timeout")),  # the limit beats permanent_errors
+        (KeyError(), (), ("nack", "KeyError", None)),
+    ],
+)
+def test_precedence_of_timeouts(raised, permanent, outcome):
+    async def handle(e):
+        if raised is not None:
+            raise raised
+        try:
+            await asyncio.sleep(9)
+        finally:
+            return Tick(1)  # what comes after the cancellation doesn't count  # noqa: B012
+
+    assert _deliver(body(), 1, {"*": _Handler(handle, None, permanent, 0.05)}, REGISTRY)[:3] == outcome
+
+
+def test_retry_delays():
+    draws = []
+    policy = RetryPolicy.exponential(3, 2, 2, 10, jitter=True)
+    assert policy.seconds(2, lambda a, b: draws.append((a, b)) or b / 4) == 1.0 and draws == [(0.0, 4.0)]
+    assert RetryPolicy.exponential(500, 1e-300, 10.0, 1e200).seconds(400) == pytest.approx(1e99, rel=1e-9)
+    assert RetryPolicy.exponential(500, 1, 2.0, 60).seconds(2000) == 60 and RetryPolicy.exponential(5, 0).seconds(4) == 0
+    h = _Handler(lambda e: 1 / 0, RetryPolicy.fixed(3, 8), ())
+    h.retry = RetryPolicy.exponential(9, 8, 2, 64, jitter=True)
+    delays = {_deliver(body(), 3, {"*": h}, REGISTRY)[4] for _ in range(20)}
+    assert len(delays) > 10 and all(0 <= d <= 32_000 for d in delays)
+
+
+def test_delays_of_columns_and_numbers_agree(spark):
+    for policy in (RetryPolicy.exponential(50, 0.5, 2.0, 60.0), RetryPolicy.fixed(3, 7), RetryPolicy.exponential(50, 1e-300, 10.0, 1e200), RetryPolicy.exponential(4, 0)):
+        rows = spark.range(1, 500).select("id", policy.delay(F.col("id")).alias("d")).collect()
+        assert all(r["d"] == pytest.approx(policy.seconds(r["id"]), rel=1e-9) for r in rows)
+
+
 def test_digest_and_reconciliation(spark):
     import hashlib
 
