@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..bus import EventBus
 from ..operators.aggregates import id_check, latency_summary
-from ..queue import Queue, dumps, prepared
+from ..queue import Queue
 from ..schema import ACKED, MillraceError
 
 
@@ -26,9 +26,10 @@ def bulk(queue: Queue, n: int, *, rounds: int = 3, payload: int = 128) -> DataFr
     Returns the latency summary by step (microseconds a batch).
     """
     spark, samples = queue.store.spark, []
+    none = [F.lit(None).cast("string").alias(c) for c in ("job_id", "dedup_key", "dedup_fingerprint")]
     for r in range(rounds):
-        rows = [(i, queue.name, dumps({"id": f"{r * n + i:012d}", "padding": "x" * payload}), None, None, None) for i in range(n)]
-        batch = prepared(spark, rows)
+        body = F.concat(F.lit('{"id":"'), F.lpad((F.col("id") + r * n).cast("string"), 12, "0"), F.lit('","padding":"' + "x" * payload + '"}'))
+        batch = spark.range(n).select(F.col("id").alias("seq"), F.lit(queue.name).alias("queue"), body.cast("binary").alias("payload"), *none)
         _timed(samples, f"put_many-{n}", lambda b=batch: queue.put_frame(b).count())
         claimed = _timed(samples, f"claim-{n}", lambda: queue.claim(n))
         commands = claimed.select(F.lit(queue.name).alias("queue"), "id", "receipt")
