@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,7 +183,7 @@ _AFTER = f"case when {_LAPSED} and l.op = 'get' then case when s.attempts >= 4 t
 _TAKEN = f"(l.op = 'get' and {_AFTER} = 0)"
 
 
-@query(f"""with recursive log as (select *, row_number() over (partition by message order by seq) as rn from ({_LOG.replace('{MS}', fx.MS['duck'])})),
+_FOLD = f"""with recursive log as (select *, row_number() over (partition by message order by seq) as rn from ({_LOG.replace('{MS}', fx.MS['duck'])})),
 s(message, rn, status, attempts, lease_until) as (
   select distinct message, 0::bigint, 0, 0, null::bigint from log
   union all
@@ -193,7 +191,10 @@ s(message, rn, status, attempts, lease_until) as (
     s.attempts + case when {_TAKEN} then 1 else 0 end,
     case when {_TAKEN} then l.at + 3600000 when {_NOWLIVE} and l.op not in ('ack', 'nack') then s.lease_until when {_LAPSED} and l.op <> 'get' then s.lease_until end
   from s join log l on l.message = s.message and l.rn = s.rn + 1)
-select message, status::bigint as status, attempts::bigint as attempts, lease_until from s qualify row_number() over (partition by message order by rn desc) = 1""")
+select message, status::bigint as status, attempts::bigint as attempts, lease_until from s qualify row_number() over (partition by message order by rn desc) = 1"""
+
+
+@query(_FOLD)
 def command_replay(spark, d):
     return tr.replay(fx.relation(spark, d, _LOG), lease=3600000, max_attempts=4)
 
@@ -240,9 +241,9 @@ def dedup_conflicts_keys(spark, d):
 
 def _new_queue(spark, name: str):
     from ..queue import Queue
-    from ..store import Store, shared_dir
+    from ..store import Store, scratch_path
 
-    return Queue(Store(spark, f"{shared_dir(spark)}/millrace-store-{uuid.uuid4().hex}"), name, lease_seconds=60, max_retries=3, clock=lambda: NOW)
+    return Queue(Store(spark, scratch_path(spark, "store")), name, lease_seconds=60, max_retries=3, clock=lambda: NOW)
 
 
 _PUT = """select event_id as seq, event_type as queue, props as payload, case when event_id % 4 = 1 then concat('j', cast(event_id % 1000 as varchar(9))) end as job_id,
@@ -468,16 +469,17 @@ def integrity_violations(spark, d):
 def csv_roundtrip(spark, d):
     """The orders as one CSV file in the shared folder, and its records by cursor, as a stream in ranges."""
     from ..sources.resumable import CsvSource, CsvStream
-    from ..store import shared_dir
+    from ..store import scratch_path
 
     rows = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    path = f"{shared_dir(spark)}/millrace-csv-{uuid.uuid4().hex}"
+    base = scratch_path(spark, "csv")
+    path = f"{base}/given"
     rows.orderBy("o_orderkey").coalesce(1).write.option("header", True).csv(path)
     name = next(f for f in CsvSource.listed(spark, path) if f.endswith(".csv"))
     spark.dataSource.register(CsvStream)
     stream = spark.readStream.format("millrace_csv").option("path", f"{path}/{name}").option("per_batch", 5000).load()
-    out = f"{path}-read"
-    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}-state").option("path", out).start()
+    out = f"{base}/read"
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint").option("path", out).start()
     try:
         q.processAllAvailable()
     finally:
@@ -486,12 +488,22 @@ def csv_roundtrip(spark, d):
     return spark.read.schema("record_number long, line_number long, row string, cursor string").parquet(out).select(cells.alias("c"), "record_number").select("c.*", "record_number")
 
 
-@query()
+# the last watermark is the latest command's time: leases that have ended by then are given up
+_END = f"(select max({fx.MS['duck']}) from events)"
+
+
+@query(f"""select message, case when status = 1 and lease_until <= {_END} then case when attempts >= 4 then 3 else 0 end else status end as status, attempts,
+  case when status = 1 and lease_until > {_END} then lease_until end as lease_until from ({_FOLD})""")
 def stream_state_machine(spark, d):
+    """Each message's state at the end of a stream that is stopped and resumed three times; leases end by timers."""
     from ..streaming.machine import run_to_end
 
-    commands = _events(spark, d).select(F.col("event_type").alias("queue"), F.col("event_id").alias("seq"), F.when(F.col("event_id") % 3 == 0, "put").when(F.col("event_id") % 3 == 1, "get").otherwise("ack").alias("op"), F.col("event_id").alias("at"))
-    return run_to_end(spark, commands)
+    log = fx.relation(spark, d, _LOG).select(F.lit("q").alias("queue"), F.col("message").cast("long").alias("message"), F.col("seq").cast("long").alias("seq"), "op", F.col("at").cast("long").alias("at"))
+    cuts = [-1, *log.approxQuantile("seq", [0.25, 0.5, 0.75], 0.01), float("inf")]
+    parts = [log.filter((F.col("seq") > a) & (F.col("seq") <= b)) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = run_to_end(spark, parts, lease=3600000, max_attempts=4)
+    last = out.groupBy("queue", "message").agg(F.max_by(F.struct("status", "attempts", "lease_until"), "step").alias("x"))
+    return last.select("message", "x.*")
 
 
 @query("select event_type, count(*) as items, max(event_id) as cursor from events group by 1")

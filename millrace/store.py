@@ -63,6 +63,15 @@ def _clean() -> None:
             fs.delete(p, True)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when Python ends."""
+    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clean)
+    _made[path] = spark
+    return path
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it again.
 
@@ -70,10 +79,7 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     Python ends.
     """
     spark, schema = df.sparkSession, df.schema
-    path = f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clean)
-    _made[path] = spark
+    path = scratch_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -16,17 +16,16 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_stream_machine(spark, sf_dir):
-    out = catalog.QUERIES["stream_state_machine"](spark, sf_dir).collect()
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    assert sum(r["op"] != "expire" for r in out) == events
-    taken = {}
-    for r in sorted(out, key=lambda r: (r["queue"], r["seq"])):
-        if r["status"] == "acked":
-            assert taken[r["queue"], r["message"]] > 0
-        if r["op"] == "get" and r["message"] is not None:
-            taken[r["queue"], r["message"]] = taken.get((r["queue"], r["message"]), 0) + 1
-    assert max(taken.values()) <= 4
+def test_stream_leases_end_by_timers(spark):
+    """A lease that nothing asks for ends when the watermark passes it; a stale timer ends nothing."""
+    from millrace.streaming.machine import run_to_end
+
+    rows = [("q", 1, 1, "get", 1000), ("q", 2, 2, "get", 1010), ("q", 2, 3, "ack", 1020), ("q", 3, 4, "get", 1030), ("q", 9, 5, "get", 5000), ("q", 3, 6, "get", 5010), ("q", 9, 7, "nack", 5020), ("q", 8, 8, "ack", 5100)]
+    frames = [spark.createDataFrame(part, "queue string, message long, seq long, op string, at long") for part in (rows[:4], rows[4:])]
+    out = run_to_end(spark, frames, lease=100, max_attempts=1).collect()
+    steps = {m: [(r["op"], r["status"], r["attempts"]) for r in sorted(out, key=lambda r: r["step"]) if r["message"] == m] for m in (1, 2, 3, 8, 9)}
+    assert steps[1] == [("get", 1, 1), ("expire", 3, 1)] and steps[2] == [("get", 1, 1), ("ack", 2, 1)] and steps[8] == [("ack", 0, 0)]
+    assert steps[3] == [("get", 1, 1), ("get", 3, 1)] and steps[9] == [("get", 1, 1), ("nack", 3, 1)]
 
 
 def test_plans_push_filters_down(spark, sf_dir):
