@@ -37,14 +37,18 @@ class Topology:
 
 def route(events: DataFrame, topology: DataFrame) -> DataFrame:
     """A row for each event and subscription, once each. Two equi-joins, not one with an or: routes by
-    type, and wildcard routes to every event."""
-    small = topology.limit(MAX_BROADCAST_ROUTES + 1).count() <= MAX_BROADCAST_ROUTES
-    side = F.broadcast if small else (lambda df: df)
+    type, and wildcard routes to every event. Those are broadcast, beyond MAX_BROADCAST_ROUTES in
+    chunks, so that no event leaves its task for them."""
+    routes = topology.count()
+    side = F.broadcast if routes <= MAX_BROADCAST_ROUTES else (lambda df: df)
     every = topology.filter("pattern = '*'").select("subscription").distinct()
     named = topology.filter("pattern <> '*'").join(side(every), "subscription", "left_anti").distinct()
-    exact = events.join(side(named), events["event_type"] == named["pattern"]).drop("pattern")
-    all_ = events.withColumn("one", F.lit(1)).join(side(every.withColumn("one", F.lit(1))), "one").drop("one")
-    return exact.unionByName(all_)
+    out = events.join(side(named), events["event_type"] == named["pattern"]).drop("pattern")
+    chunks = max(1, -(-routes // MAX_BROADCAST_ROUTES))
+    for k in range(chunks):
+        chunk = every.filter(F.pmod(F.xxhash64("subscription"), F.lit(chunks)) == k) if chunks > 1 else every
+        out = out.unionByName(events.withColumn("one", F.lit(1)).join(F.broadcast(chunk.withColumn("one", F.lit(1))), "one").drop("one"))
+    return out
 
 
 def unrouted(events: DataFrame, topology: DataFrame) -> DataFrame:

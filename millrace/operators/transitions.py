@@ -63,19 +63,25 @@ def fail_over_budget(messages: DataFrame, now: int, max_attempts: int) -> DataFr
     return _set(messages, used, status=F.lit(FAILED), max_attempts=F.lit(max_attempts), failure_reason=F.lit("retries_exhausted"), updated_at=F.lit(now))
 
 
-def claim(messages: DataFrame, now: int, *, lease_ms: int, n: int = 1, receipt: str = "r", max_attempts: int | None = None) -> DataFrame:
+#: Picked ids are broadcast up to so many (a few MB) where the number of queues is known; beyond, joined.
+MAX_BROADCAST_PICKS = 200_000
+
+
+def claim(messages: DataFrame, now: int, *, lease_ms: int, n: int = 1, receipt: str = "r", max_attempts: int | None = None, queues: int | None = None) -> DataFrame:
     """All messages after the n oldest of each queue are leased; a receipt is its token and the id.
 
     The steps are those of one transaction: expired leases are reclaimed, rows over a reduced
     budget fail, and the first by id are taken. A window limit keeps n rows of each queue
-    before the shuffle, so a queue with most of the rows meets in no task.
+    before the shuffle, so a queue with most of the rows meets in no task. queues: how many
+    there are, if known.
     """
     now_ready = reclaim(messages, now, max_attempts=max_attempts)
     if max_attempts is not None:
         now_ready = fail_over_budget(now_ready, now, max_attempts)
     first = now_ready.filter(can_start(now)).select("queue", "id")
     picked = first.withColumn("rn", F.row_number().over(Window.partitionBy("queue").orderBy("id"))).filter(F.col("rn") <= n).select(F.col("id").alias("picked"))
-    joined = now_ready.join(picked, now_ready["id"] == picked["picked"], "left")
+    few = queues is not None and n * queues <= MAX_BROADCAST_PICKS
+    joined = now_ready.join(F.broadcast(picked) if few else picked, now_ready["id"] == picked["picked"], "left")
     budget = F.col("max_attempts") if max_attempts is None else F.lit(max_attempts)
     out = _set(
         joined, F.col("picked").isNotNull(), status=F.lit(LEASED), receipt=F.concat(F.lit(f"{receipt}-"), F.col("id").cast("string")),
@@ -157,7 +163,9 @@ def purge(messages: DataFrame, protected: DataFrame, cutoff: int, *, queue: str
 
 def replay(log: DataFrame, *, lease: int, max_attempts: int) -> DataFrame:
     """The state of each message after an ordered log of commands (message, seq, op, at), folded in one
-    aggregate: (message, status, attempts, lease_until). op: get, ack, nack, fail, reclaim."""
+    aggregate: (message, status, attempts, lease_until). op: get, ack, nack, fail, reclaim. A message's
+    whole log meets in one task, as its commands depend on each other; a stream (streaming.machine)
+    carries a state on instead."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "op", "at")))
     zero = F.struct(F.lit(READY).alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("long").alias("lease_until"))
 

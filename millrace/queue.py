@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions.retry import Reject, Retry, RetryPolicy, error_text, milliseconds
 from .operators import aggregates, enqueue, transitions
-from .schema import FAILED, LEASED, MESSAGES, READY, DeduplicationConflict, Empty, Full, FullImpossible, LeaseExpired, MillraceError
+from .schema import FAILED, LEASED, MESSAGES, READY, ConflictingCapacityPolicies, DeduplicationConflict, Empty, Full, FullImpossible, LeaseExpired, MillraceError
 from .store import Store, Change, changed, removed, scratch
 
 
@@ -46,8 +46,12 @@ def prepared(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "seq long, queue string, payload binary, job_id string, dedup_key string, dedup_fingerprint string")
 
 
-def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None]) -> None:
-    """Raise unless the batch has whole identities, no conflicts, and room."""
+def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None] | list[tuple[str, int | None]]) -> None:
+    """Raise unless the batch has whole identities, no conflicts, and room. A queue has one limit."""
+    pairs = list(limits.items() if isinstance(limits, dict) else limits)
+    limits = dict(pairs)
+    if any(limits[q] != n for q, n in pairs):
+        raise ConflictingCapacityPolicies(", ".join(sorted({q for q, n in pairs if limits[q] != n})))
     if enqueue.half_identities(batch).limit(1).count():
         raise ValueError("a dedup_key and its fingerprint must be given together")
     found = enqueue.conflicting(batch, stored).limit(1).collect()
@@ -175,7 +179,7 @@ class Queue:
             if not m.filter(transitions.can_start(now) | transitions.is_expired(now)).limit(1).count():
                 held[:] = [m.limit(0)]
                 return {}, {}
-            after = scratch(transitions.touched(transitions.claim, m, now, lease_ms=self.lease_ms, n=n, receipt=token, max_attempts=max_attempts), "claimed")
+            after = scratch(transitions.touched(transitions.claim, m, now, lease_ms=self.lease_ms, n=n, receipt=token, max_attempts=max_attempts, queues=1), "claimed")
             held[:] = [after]
             return {"messages": [changed(after, self.name)]}, {}
 

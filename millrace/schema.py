@@ -71,6 +71,10 @@ class FullImpossible(Full):
     """New rows alone exceed a queue's limit."""
 
 
+class ConflictingCapacityPolicies(MillraceError, ValueError):
+    """One queue is given two limits."""
+
+
 class LeaseExpired(MillraceError):
     """A receipt no longer holds its lease."""
 

@@ -106,3 +106,33 @@ def test_digest_and_reconciliation(spark):
     outcomes = spark.createDataFrame([("q", "ack"), ("q", "nack"), ("p", "ack")], "queue string, outcome string")
     messages = spark.createDataFrame([("q", 2), ("p", 0)], "queue string, status int")
     assert {r["queue"]: r["ok"] for r in reconcile(outcomes, messages).collect()} == {"q": True, "p": False}
+
+
+def test_more_workloads(spark, tmp_path):
+    from millrace.plans.workloads import ingestion_matrix, large, many_clients, round_trip
+
+    names = [r["name"] for r in round_trip(Queue(Store(spark, f"file://{tmp_path}/a"), "q"), 2).collect()]
+    assert sorted(names) == sorted(["put", "get", "ack", "round_trip"] * 2)
+    assert many_clients(Store(spark, f"file://{tmp_path}/b"), ["x", "y"], 60, batch=30) == {"produced": 120, "claimed": 120, "acked": 120}
+    out = large(Queue(Store(spark, f"file://{tmp_path}/c"), "q"), 20_000, batches=2, n=100).collect()
+    assert {r["name"] for r in out} == {"claim-100", "ack-100"}
+    rows = ingestion_matrix(lambda name: EventBus(Store(spark, f"file://{tmp_path}/{name}")), Tick, 20, fan_outs=(1, 2), batches=(10,), limits=(None,)).collect()
+    assert [(r["fan_out"], r["inserted"]) for r in rows] == [(1, 20), (2, 40)]
+
+
+def test_two_limits_of_one_queue(spark):
+    from millrace.queue import admit, prepared
+    from millrace.schema import MESSAGES, ConflictingCapacityPolicies
+
+    with pytest.raises(ConflictingCapacityPolicies):
+        admit(prepared(spark, [(0, "q", b"1", None, None, None)]), spark.createDataFrame([], MESSAGES), [("q", 1), ("q", 2)])
+
+
+def test_wildcards_in_chunks(spark, monkeypatch):
+    from millrace.operators import routing
+
+    topology = spark.createDataFrame([(f"s{i}", "*") for i in range(7)] + [("t", "a")], "subscription string, pattern string")
+    events = spark.createDataFrame([(1, "a"), (2, "b")], "event_id long, event_type string")
+    whole = sorted(map(tuple, routing.route(events, topology).collect()))
+    monkeypatch.setattr(routing, "MAX_BROADCAST_ROUTES", 3)
+    assert sorted(map(tuple, routing.route(events, topology).collect())) == whole and len(whole) == 15
