@@ -25,32 +25,53 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go: no text, no letter, or unlike any language learned. A null lang
-    is filled with the prediction."""
+    is filled with the prediction.
+
+    Null and empty texts go; null doc_ids are judged by their text and teach nothing; repeated
+    rows stay or go together. An empty table gives none.
+    """
     model = langid.fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))
     found = langid.identify(docs.select(*COLUMNS), model).filter(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; n_chars follows the text. A document may become empty, and stays."""
+    """Lines that three documents or more hold go, but from the largest doc_id; n_chars follows the text.
+
+    Null texts stay null, empty ones empty, and a document may become so; a null doc_id keeps all
+    its lines; repeated rows are one document and change alike. An empty table gives none.
+    """
     kept = dedup_lines(docs.select(*COLUMNS))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest id stays."""
+    """Of each group of near-duplicates, the document with the smallest id stays.
+
+    Null, empty and blank texts are like nothing and stay, as do null doc_ids; repeated rows are one
+    document and stay or go together. An empty table gives none.
+    """
     gone = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, or a run of 13 of its tokens.
+
+    Null and empty texts hold none and stay, as do null doc_ids; null and empty items are in no
+    document; repeated rows go together. An empty table gives none.
+    """
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of documents, so that every source has the same expected share of characters."""
+    """Copies of documents, so that every source has the same expected share of characters.
+
+    Null sources are a source of their own; null and empty texts are drawn at their source's rate;
+    repeated rows (and all null doc_ids) have the same number of copies each. An empty table
+    gives none. Null doc_ids draw as the text 'null'.
+    """
     return mix(docs.select(*COLUMNS))
 
 
