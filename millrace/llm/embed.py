@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import group_runs, one_thread, write_shared
+from .common import drop_shared, group_runs, one_thread, write_shared
 from .components import connected_components
 
 COSINE = 0.95
@@ -280,10 +280,12 @@ def near_vectors(vectors: DataFrame, *, cosine: float = COSINE) -> DataFrame:
     order = [*bucket, "i", "j"]
     dealt = dealt.select(*order, "block", "id", "size", "vec", "keys").repartition(*order).sortWithinPartitions(*order, "id")
     links = write_shared(dealt.mapInArrow(_links(kind, cosine), "id long, links long, of long"), "links")
+    drop_shared(coded)
     components = connected_components(links.select("id", "of")).withColumnRenamed("id", "cid")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(counts, "id", "left").join(components, F.col("id") == F.col("cid"), "left").withColumn("component", F.coalesce("component", "id"))
     named = write_shared(named.select("h1", "h2", "component", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n")), "named")
+    drop_shared(classes, links)
     smallest = named.groupBy("component").agg(F.min("least").alias("smallest"))
     mine = rows.select("vec_id", "h1", "h2").join(named.join(smallest, "component").select("h1", "h2", "n", "smallest"), ["h1", "h2"], "left")
     out = mine.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("smallest", "vec_id").alias("component_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import one_thread, pieces, write_shared
+from .common import drop_shared, one_thread, pieces, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
@@ -448,8 +448,11 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
 
     parts = write_shared(texts.mapInArrow(trained, "n long, p binary"), "networks")
     while (tasks := parts.count()) > SUMS * FAN_IN:  # averages of averages: no task reads more than some FAN_IN networks
-        parts = write_shared(parts.repartition(-(-tasks // FAN_IN)).mapInArrow(summed, "n long, p binary"), "networks")
+        fewer = write_shared(parts.repartition(-(-tasks // FAN_IN)).mapInArrow(summed, "n long, p binary"), "networks")
+        drop_shared(parts)
+        parts = fewer
     sums = parts.coalesce(SUMS).mapInArrow(summed, "n long, p binary").collect()
+    drop_shared(parts)
     if sums:
         total = sum(r["n"] * np.frombuffer(r["p"], np.float32).astype(np.float64) for r in sums)
         model.network.use((total / sum(r["n"] for r in sums)).astype(np.float32))
