@@ -17,6 +17,15 @@ from ..store import scratch as write_shared
 #: Fixed value: the characters that separate words and are stripped from lines.
 SPACES = " \t\n\x0b\x0c\r"
 
+def bound_batches(spark: SparkSession) -> None:
+    """For the queries and the pipeline, which own their session: batches of 8 MB to Python tasks, where the
+    session leaves Spark's default of 64 MB, so that several tasks fit in a small executor. The
+    operators themselves change no setting."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") == "67108864b":
+        spark.conf.set(key, "8m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, licenses, lm, quality, secret_scan
-from .common import remainder, table
+from .common import bound_batches, remainder, table
 from .decontam import find_passages
 from .embed import near_vectors
 from .linededup import dedup_lines
@@ -219,4 +220,12 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
+    def bounded(f):
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bound_batches(spark)
+            return f(spark, sf_dir)
+
+        return run
+
+    return {k: bounded(f) for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
