@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid
-from millrace.llm.common import remainder, table, write_shared
+from millrace.llm.common import bound_batches, remainder, table, write_shared
 from millrace.llm.decontam import decontaminate
 from millrace.llm.linededup import dedup_lines
 from millrace.llm.minhash import near_duplicates
@@ -30,6 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go; null doc_ids are judged by their text and teach nothing; repeated
     rows stay or go together. An empty table gives none.
     """
+    bound_batches(spark)
     model = langid.fit(docs.filter(remainder(F.col("doc_id"), 4) != 2))
     found = langid.identify(docs.select(*COLUMNS), model).filter(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
@@ -41,6 +42,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, empty ones empty, and a document may become so; a null doc_id keeps all
     its lines; repeated rows are one document and change alike. An empty table gives none.
     """
+    bound_batches(spark)
     kept = dedup_lines(docs.select(*COLUMNS))
     changed = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", changed).select(*COLUMNS)
@@ -52,6 +54,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and blank texts are like nothing and stay, as do null doc_ids; repeated rows are one
     document and stay or go together. An empty table gives none.
     """
+    bound_batches(spark)
     gone = near_duplicates(docs.select("doc_id", "text"), percent=NEAR_PERCENT).filter(~F.col("kept")).select("doc_id")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
@@ -62,6 +65,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts hold none and stay, as do null doc_ids; null and empty items are in no
     document; repeated rows go together. An empty table gives none.
     """
+    bound_batches(spark)
     return decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -72,6 +76,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows (and all null doc_ids) have the same number of copies each. An empty table
     gives none. Null doc_ids draw as the text 'null'.
     """
+    bound_batches(spark)
     return mix(docs.select(*COLUMNS))
 
 
