@@ -41,8 +41,3 @@ def joined(deliveries: DataFrame, edges: DataFrame, outcomes: DataFrame) -> Data
     reached = descendants(edges, roots, parent="parent_message_id", child="child_message_id")
     names = ["execution_id", "message_id"]
     return reached.select("execution_id", F.col("node").alias("message_id")).distinct().join(deliveries.select(*names), names, "left_anti")
-
-
-def attach(deliveries: DataFrame, edges: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Memberships with those of outcomes and all their descendants added."""
-    return deliveries.unionByName(joined(deliveries, edges, outcomes))
