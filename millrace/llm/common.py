@@ -22,8 +22,8 @@ def bound_batches(spark: SparkSession) -> None:
     """For the queries and the pipeline, which own their session: batches of 8 MB to Python tasks, where the
     session leaves Spark's default of 64 MB, so that several tasks fit in a small executor. The
     operators themselves change no setting."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") == "67108864b":
+    key, default = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+    if spark.conf.get(key, default) == default:
         spark.conf.set(key, "8m")
 
 

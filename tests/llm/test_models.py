@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import entry, langid, lm, quality, secret_scan
-from millrace.llm.common import word_hashes, blocks
+from millrace.llm.common import blocks, bound_batches, word_hashes
 
 EDGES = [(None, "Das ist ein Text."), (9001, None), (9002, ""), (9003, "123 !!"), (9004, "mot " * 60_000), (9005, "x"), (9005, "x")]
 
@@ -35,6 +35,20 @@ def test_words_of_bytes():
     assert seen[0][4][0] == seen[0][5][1] and len({h for x in seen[0] for h in x}) == 8
 
 
+def test_queries_bound_batches_and_leave_other_choices(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.unset(key)
+        bound_batches(spark)
+        assert spark.conf.get(key) in ("8m", "8388608b")
+        spark.conf.set(key, "3m")
+        bound_batches(spark)
+        assert spark.conf.get(key) in ("3m", "3145728b")
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_language_id(spark, sf_dir):
     out = entry.op8_language_id(spark, sf_dir)
     langs = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
