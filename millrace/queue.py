@@ -41,6 +41,16 @@ def dumps(value: object) -> bytes:
     return json.dumps(value, separators=(",", ":"), ensure_ascii=False).encode()
 
 
+class JsonSerializer:
+    """Payloads as JSON. Any object with these two methods may take its place; tasks use it too."""
+
+    def dumps(self, value: object) -> bytes:
+        return dumps(value)
+
+    def loads(self, data: bytes) -> object:
+        return json.loads(data)
+
+
 def prepared(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """Rows (seq, queue, payload, job_id, dedup_key, dedup_fingerprint) as a batch."""
     return spark.createDataFrame(list(rows), "seq long, queue string, payload binary, job_id string, dedup_key string, dedup_fingerprint string")
@@ -110,10 +120,10 @@ class Queue:
     clock gives epoch milliseconds.
     """
 
-    def __init__(self, store: Store, name: str = "default", *, lease_seconds: float = 60, max_retries: int = 3, max_pending: int | None = None, clock=wall_clock):
+    def __init__(self, store: Store, name: str = "default", *, lease_seconds: float = 60, max_retries: int = 3, max_pending: int | None = None, serializer=None, clock=wall_clock):
         if lease_seconds <= 0 or max_retries < 0 or (max_pending is not None and max_pending < 1):
             raise ValueError("lease_seconds and max_pending must be positive, max_retries not negative")
-        self.store, self.name, self.clock = store, name, clock
+        self.store, self.name, self.clock, self.serializer = store, name, clock, serializer or JsonSerializer()
         self.lease_ms, self.max_attempts, self.max_pending, self.closed = milliseconds(lease_seconds), max_retries + 1, max_pending, False
 
     def _messages(self, version: int | None = None) -> DataFrame:
@@ -136,7 +146,7 @@ class Queue:
         rows = [x if isinstance(x, EnqueueItem) else EnqueueItem(x) for x in items]
         if not rows:
             return []
-        batch = prepared(self.store.spark, [(i, self.name, dumps(x.data), x.job_id, None, None) for i, x in enumerate(rows)])
+        batch = prepared(self.store.spark, [(i, self.name, self.serializer.dumps(x.data), x.job_id, None, None) for i, x in enumerate(rows)])
         until, pause = time.monotonic() + (timeout if timeout is not None else 1e9), 0.01
         while True:
             try:
@@ -165,7 +175,7 @@ class Queue:
 
     def fanout(self, payload: object, targets: Iterable[tuple[str, str | None]]) -> list[int]:
         """One payload to many queues (name, job_id), in one commit and without limits; ids in the order of targets."""
-        rows = [(i, name, dumps(payload), job_id, None, None) for i, (name, job_id) in enumerate(targets)]
+        rows = [(i, name, self.serializer.dumps(payload), job_id, None, None) for i, (name, job_id) in enumerate(targets)]
         return [i for i, _ in fan_out(self.store, rows, self.clock(), self.max_attempts)]
 
     # --- delivery
@@ -193,7 +203,7 @@ class Queue:
             found = self.claim().collect()
             if found:
                 r = found[0]
-                return Job(r["id"], json.loads(bytes(r["payload"])), max(r["attempts"] - 1, 0), r["receipt"], r["lease_until"])
+                return Job(r["id"], self.serializer.loads(bytes(r["payload"])), max(r["attempts"] - 1, 0), r["receipt"], r["lease_until"])
             if not block or time.monotonic() + pause > until:
                 raise Empty(self.name)
             time.sleep(pause)
@@ -351,7 +361,7 @@ class Worker:
     def run_once(self) -> int:
         """One batch; returns how many messages it claimed."""
         claimed = self.queue.claim(self.batch, max_attempts=self.retry.max_attempts if self.retry else None)
-        handler, permanent, name, retry = self.handler, self.permanent, self.queue.name, self.retry
+        handler, permanent, name, retry, loads = self.handler, self.permanent, self.queue.name, self.retry, self.queue.serializer.loads
 
         def run(batches):
             import pandas as pd
@@ -361,7 +371,7 @@ class Worker:
                 for r in pdf.itertuples(index=False):
                     how, error, reason, category, after = "ack", None, None, None, None
                     try:
-                        handler(json.loads(bytes(r.payload)))
+                        handler(loads(bytes(r.payload)))
                     except Retry as e:
                         how, error, after = "nack", error_text(e), e.after
                     except Reject as e:

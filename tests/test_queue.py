@@ -258,3 +258,24 @@ def test_worker_stops_and_keeps_its_leases(spark, tmp_path):
     assert q.stats()["acked"] == 2  # though handling took longer than a lease
     with pytest.raises(ValueError):
         Worker(q, slow, heartbeat_interval=9)
+
+
+class Pickled:
+    def dumps(self, value):
+        import pickle
+
+        return pickle.dumps(value)
+
+    def loads(self, data):
+        import pickle
+
+        return pickle.loads(data)
+
+
+def test_own_serializer(spark, tmp_path, clock):
+    q = Queue(Store(spark, f"file://{tmp_path}/s"), "q", serializer=Pickled(), clock=clock)
+    q.put({1, 2})
+    q.put((3, b"x"))
+    assert q.get_nowait().data == {1, 2}
+    assert Worker(q, lambda data: data.add).run() == 1  # a tuple has no add: another attempt
+    assert q.stats()["ready"] == 1
