@@ -264,6 +264,25 @@ def enqueue_identity(spark, d):
     return q.put_frame(rows)
 
 
+_IDS = """select event_type as queue, event_id as seq, event_id as id, cast(0 as bigint) as status, case when event_id % 3 = 0 then concat('k', cast(user_id % 40 as varchar(9))) end as dedup_key,
+  case when event_id % 5 <> 0 then concat('j', cast(event_id % 700 as varchar(9))) end as job_id from events"""
+
+
+@query(fx.ctes(e=_IDS, lim="select * from (values ('click', 100000), ('view', 10), ('error', 400)) t(queue, lim)") + """
+, s as (select * from e where seq % 4 = 0), b as (select *, coalesce('k' || dedup_key, 'j' || job_id, 'a' || seq) as identity from e where seq % 4 <> 0),
+f as (select * from b qualify row_number() over (partition by queue, identity order by seq) = 1),
+n as (select queue, count(*) as new from f where not exists (select 1 from s where s.queue = f.queue and s.dedup_key = f.dedup_key) and not exists (select 1 from s where s.queue = f.queue and s.job_id = f.job_id) group by 1),
+p as (select queue, count(*) as pending from s group by 1)
+select lim.queue, coalesce(pending, 0) as pending, coalesce(new, 0) as new, lim::bigint as "limit",
+  case when coalesce(new, 0) = 0 then 'ok' when new > lim then 'impossible' when coalesce(pending, 0) + new > lim then 'full' else 'ok' end as verdict
+from lim left join n using (queue) left join p using (queue)""")
+def capacity_identities(spark, d):
+    """Room for new identities: keys before jobs, rows without either one by one, some stored."""
+    rows = fx.relation(spark, d, _IDS)
+    limits = spark.sql("select * from values ('click', 100000L), ('view', 10L), ('error', 400L) t(queue, limit)")
+    return enqueue.capacity(rows.filter("seq % 4 <> 0"), rows.filter("seq % 4 = 0"), limits)
+
+
 @query(fx.ctes(e=_PUT) + f"""
 , f as (select *, row_number() over (order by seq) as id from e where coalesce(dedup_key, job_id) is null or seq = (select min(x.seq) from e x where coalesce('k' || x.dedup_key, 'j' || x.job_id) = coalesce('k' || e.dedup_key, 'j' || e.job_id)))
 select id, payload, job_id, case when id > 300 then 0 when id % 3 = 0 then 2 when id % 3 = 1 then 0 else 3 end::bigint as status, case when id > 300 then 0 else 1 end::bigint as attempts,
@@ -409,10 +428,14 @@ def reopen_executions(spark, d):
     return agg.reopened(x, dl, m.filter("id % 97 = 0")).select("execution_id")
 
 
-@query("select event_id, least(0.5 * pow(2.0, user_id % 12), 60.0) as delay from events")
+@query("""select event_id, least(0.5 * pow(2.0, user_id % 12), 60.0) as delay,
+  round(least(0.5 * pow(2.0, user_id % 12), 60.0) * (('0x' || substr(md5('7|' || event_id), 1, 8))::bigint / 4294967296.0::double), 9) as jittered from events""")
 def retry_backoff(spark, d):
-    policy = RetryPolicy.exponential(13, 0.5, 2.0, 60.0)
-    return _events(spark, d).select("event_id", policy.delay(F.col("user_id") % 12 + 1).alias("delay"))
+    """Capped exponential delays, and the same with full jitter by a seeded hash."""
+    plain, jitter = (RetryPolicy.exponential(13, 0.5, 2.0, 60.0, jitter=j) for j in (False, True))
+    attempt = F.col("user_id") % 12 + 1
+    uniform = F.conv(F.substring(F.md5(F.concat(F.lit("7|"), F.col("event_id").cast("string"))), 1, 8), 16, 10).cast("bigint") / F.lit(float(2**32))
+    return _events(spark, d).select("event_id", plain.delay(attempt).alias("delay"), F.round(jitter.delay(attempt, uniform), 9).alias("jittered"))
 
 
 @query("select (event_id - lo) // 1000 as batch, count(*) as items, count(*) filter (where event_type in ('click', 'view', 'purchase')) as routed, count(*) filter (where event_type not in ('click', 'view', 'purchase')) as unrouted, max(event_id) as cursor from events, (select min(event_id) as lo from events) group by 1")

@@ -277,5 +277,5 @@ def test_own_serializer(spark, tmp_path, clock):
     q.put({1, 2})
     q.put((3, b"x"))
     assert q.get_nowait().data == {1, 2}
-    assert Worker(q, lambda data: data.add).run() == 1  # a tuple has no add: another attempt
+    assert Worker(q, lambda data: data.add).run_once() == 1  # a tuple has no add: another attempt
     assert q.stats()["ready"] == 1
