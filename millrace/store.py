@@ -105,6 +105,8 @@ VERSION, DELETED = "mr_version", "mr_deleted"
 BROADCAST_BYTES = 64_000_000
 #: So many parts of a queue (or table) are merged after a commit; parts of rows from SMALL_BYTES on stay as they are.
 MANY_PARTS, SMALL_BYTES = 24, 64_000_000
+#: So many commits' files stay, for writers that look back at those after their base.
+OLD_COMMITS = 200
 
 
 @dataclass
@@ -349,7 +351,8 @@ class Store:
         return len(gone)
 
     def vacuum(self) -> int:
-        """Merge parts, then delete folders that none of the last keep versions names, and commits long before them; returns how many folders."""
+        """Merge parts, then delete folders that none of the last keep versions names, and the files of commits
+        long before them; returns how many folders."""
         tables = self.commit_at(self.version())["tables"]
         for name, parts in tables.items():
             for q in {(p["queues"] or [None])[0] for p in parts}:
@@ -361,6 +364,10 @@ class Store:
         for n in gone:
             fs, p = _fs(self.spark, f"{self.path}/data/{n}")
             fs.delete(p, True)
+        for n in self._names("commits"):
+            if n.endswith(".json") and int(n.removesuffix(".json")) <= newest - max(self.keep, OLD_COMMITS):
+                fs, p = _fs(self.spark, f"{self.path}/commits/{n}")
+                fs.delete(p, False)
         return len(gone)
 
     def backup(self, target: str) -> dict:
