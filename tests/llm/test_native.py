@@ -147,7 +147,7 @@ def test_licences(spark):
 def _wrapped(text: str, width: int) -> str:
     import textwrap
 
-    return "\n".join(textwrap.wrap(text, width, break_on_hyphens=False))
+    return "\n".join(textwrap.wrap(text, width, break_on_hyphens=False, break_long_words=False))
 
 
 def test_every_licence_however_it_is_wrapped(spark):
