@@ -360,8 +360,8 @@ class EventBus:
         store, names = self.store, sorted({r[1] for r in rows})
         stored = store.table("messages", base).filter(F.col("queue").isin(names))
         batch = prepared(store.spark, rows)
-        admit(batch, stored, {q: max_pending for q in names})
-        new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts)
+        named = admit(batch, stored, {q: max_pending for q in names})
+        new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts, named)
         return ({"messages": [Change(new)]} if last else {}), ({"last_id": last} if last else {}), scratch(outcomes, "outcomes")
 
     def dispatch(self, e, meta: Meta | None = None) -> DispatchReceipt:

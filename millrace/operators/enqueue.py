@@ -31,11 +31,6 @@ def dedup_counts(batch: DataFrame) -> DataFrame:
     return groups.groupBy("queue").agg(F.sum(stay).alias("inserted"), F.sum(F.col("rows") - stay).alias("deduplicated"))
 
 
-def half_identities(batch: DataFrame) -> DataFrame:
-    """Rows with a dedup_key or a fingerprint but not both; must be empty."""
-    return batch.filter(F.col("dedup_key").isNull() != F.col("dedup_fingerprint").isNull())
-
-
 def conflicting(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """(seq, queue, kind, value): rows of the batch whose identity meets another one before them, stored or
     in the batch; must be empty. A key meets a different fingerprint; a job_id a different key or

@@ -56,15 +56,18 @@ def prepared(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), "seq long, queue string, payload binary, job_id string, dedup_key string, dedup_fingerprint string")
 
 
-def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None] | list[tuple[str, int | None]]) -> None:
-    """Raise unless the batch has whole identities, no conflicts, and room. A queue has one limit."""
+def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None] | list[tuple[str, int | None]]) -> bool:
+    """Raise unless the batch has whole identities, no conflicts, and room. A queue has one limit. Returns
+    whether any row has an identity; else there is nothing to compare with what is stored."""
     pairs = list(limits.items() if isinstance(limits, dict) else limits)
     limits = dict(pairs)
     if any(limits[q] != n for q, n in pairs):
         raise ConflictingCapacityPolicies(", ".join(sorted({q for q, n in pairs if limits[q] != n})))
-    if enqueue.half_identities(batch).limit(1).count():
+    half = F.col("dedup_key").isNull() != F.col("dedup_fingerprint").isNull()
+    facts = batch.agg(F.count_if(half).alias("half"), (F.count("job_id") + F.count("dedup_key")).alias("named")).first()
+    if facts["half"]:
         raise ValueError("a dedup_key and its fingerprint must be given together")
-    found = enqueue.conflicting(batch, stored).limit(1).collect()
+    found = enqueue.conflicting(batch, stored).limit(1).collect() if facts["named"] else None
     if found:
         raise DeduplicationConflict(f"{found[0]['kind']} {found[0]['value']!r} in queue {found[0]['queue']!r}")
     bounded = [(q, n) for q, n in limits.items() if n is not None]
@@ -75,11 +78,13 @@ def admit(batch: DataFrame, stored: DataFrame, limits: dict[str, int | None] | l
             raise FullImpossible(verdicts["impossible"])
         if "full" in verdicts:
             raise Full(verdicts["full"])
+    return bool(facts["named"])
 
 
-def insert(store: Store, batch: DataFrame, stored: DataFrame, now: int, max_attempts: int) -> tuple[DataFrame, DataFrame, int]:
-    """The new messages, an outcome (seq, queue, id, inserted) for every row of the batch, and the last id."""
-    parts = enqueue.ranged(enqueue.new_rows(batch, stored), ["seq"])
+def insert(store: Store, batch: DataFrame, stored: DataFrame, now: int, max_attempts: int, named: bool = True) -> tuple[DataFrame, DataFrame, int]:
+    """The new messages, an outcome (seq, queue, id, inserted) for every row of the batch, and the last id.
+    named: whether any row has an identity."""
+    parts = enqueue.ranged(enqueue.new_rows(batch, stored) if named else batch, ["seq"])
     n = parts.count()
     after = store.reserve(n) if n else 0
     fresh = scratch(enqueue.numbered(parts, after, ["seq"]), "fresh")
@@ -87,8 +92,9 @@ def insert(store: Store, batch: DataFrame, stored: DataFrame, now: int, max_atte
         "id", "queue", "payload", F.lit(READY).alias("status"), F.lit(0).alias("attempts"), F.lit(max_attempts).alias("max_attempts"), F.lit(now).alias("available_at"),
         "job_id", "dedup_key", "dedup_fingerprint", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"),
     )
-    named = batch.select("seq", "queue", "job_id", "dedup_key")
-    out = named.join(fresh.select("seq", F.col("id").alias("own")), "seq", "left")
+    if not named:
+        return new, fresh.select("seq", "queue", "id", F.lit(True).alias("inserted")), after + n
+    out = batch.select("seq", "queue", "job_id", "dedup_key").join(fresh.select("seq", F.col("id").alias("own")), "seq", "left")
     for key in ("dedup_key", "job_id"):  # only keys of the batch are looked up
         known = enqueue.meeting(stored, batch, key).select("queue", key, "id").union(fresh.select("queue", key, "id"))
         by = known.filter(F.col(key).isNotNull()).groupBy("queue", key).agg(F.min("id").alias(f"by_{key}"))
@@ -104,8 +110,7 @@ def fan_out(store: Store, rows: list[tuple], now: int, max_attempts: int) -> lis
 
     def change(base: int, store: Store):
         stored = store.table("messages", base).filter(F.col("queue").isin(names))
-        admit(batch, stored, {})
-        new, outcomes, last = insert(store, batch, stored, now, max_attempts)
+        new, outcomes, last = insert(store, batch, stored, now, max_attempts, admit(batch, stored, {}))
         held[:] = outcomes.orderBy("seq").collect()
         return ({"messages": [Change(new)]}, {"last_id": last}) if last else ({}, {})
 
@@ -165,9 +170,9 @@ class Queue:
 
         def change(base: int, store: Store):
             stored = self._messages(base)
-            admit(batch, stored, {self.name: self.max_pending})
-            new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts)
-            held[:] = [scratch(outcomes, "outcomes")]
+            named = admit(batch, stored, {self.name: self.max_pending})
+            new, outcomes, last = insert(store, batch, stored, self.clock(), self.max_attempts, named)
+            held[:] = [scratch(outcomes, "outcomes") if named else outcomes]
             return ({"messages": [Change(new, queue=self.name)]}, {"last_id": last}) if last else ({}, {})
 
         self.store.change(change, [self.scope])
