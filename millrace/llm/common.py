@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import functools
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -87,25 +86,10 @@ def groups(batches, names: tuple[str, ...]):
             yield t.slice(x, y - x)
 
 
-#: Of the C library's mallopt(), what keeps freed memory, and from what size on an array is mapped.
-_TRIM, _MAP = -1, -3
-
-
-@functools.cache
-def keep_pages() -> None:
-    """Let this process keep up to 64 MB of freed memory: arrays of a few MB that are made and dropped
-    again and again needn't be mapped anew each time (an eighth of the time of training). Where the
-    C library isn't glibc, nothing changes."""
-    with contextlib.suppress(AttributeError, OSError):
-        mallopt = ctypes.CDLL(None).mallopt
-        mallopt(_TRIM, 64 << 20), mallopt(_MAP, 16 << 20)
-
-
 @contextlib.contextmanager
 def one_thread():
     """Small matrix products on one thread: tasks already fill the cores. Where numpy's own
     library isn't an OpenBLAS that can be found, its setting stays."""
-    keep_pages()
     put = get = None
     maps = Path("/proc/self/maps")
     for path in {x.split()[-1] for x in maps.read_text().splitlines() if "openblas" in x} if maps.exists() else ():
