@@ -59,6 +59,31 @@ def pieces(batches, column: str | int, size: int = 1 << 22):
             first = last
 
 
+def averaged(networks: DataFrame, sums: int = 4, fan_in: int = 64) -> np.ndarray | None:
+    """The mean of vectors p (float32, as bytes) by their weights n; with no rows, none. sums go to the driver, at most."""
+    import pyarrow as pa
+
+    def summed(batches):
+        n, p = 0, 0.0
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                n, p = n + k, p + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(p / n).astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
+
+    parts = write_shared(networks, "networks")
+    while (tasks := parts.count()) > sums * fan_in:  # averages of averages: no task reads more than some fan_in networks
+        fewer = write_shared(parts.repartition(-(-tasks // fan_in)).mapInArrow(summed, "n long, p binary"), "networks")
+        drop_shared(parts)
+        parts = fewer
+    rows = parts.coalesce(sums).mapInArrow(summed, "n long, p binary").collect()
+    drop_shared(parts)
+    if not rows:
+        return None
+    total = sum(r["n"] * np.frombuffer(r["p"], np.float32).astype(np.float64) for r in rows)
+    return (total / sum(r["n"] for r in rows)).astype(np.float32)
+
+
 def group_runs(batches, names: tuple[str, ...]):
     """Whole groups of rows with equal values in names of a sorted stream of Arrow batches, several
     at a time: a table, and where its groups begin."""

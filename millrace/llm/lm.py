@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_shared, one_thread, pieces, write_shared
+from .common import averaged, one_thread, pieces, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
@@ -438,24 +438,9 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
         if tokens:
             yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([network.flat.tobytes()], pa.binary())], ["n", "p"])
 
-    def summed(batches):
-        n, p = 0, 0.0
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n, p = n + k, p + k * np.frombuffer(x.as_py(), np.float32).astype(np.float64)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(p / n).astype(np.float32).tobytes()], pa.binary())], ["n", "p"])
-
-    parts = write_shared(texts.mapInArrow(trained, "n long, p binary"), "networks")
-    while (tasks := parts.count()) > SUMS * FAN_IN:  # averages of averages: no task reads more than some FAN_IN networks
-        fewer = write_shared(parts.repartition(-(-tasks // FAN_IN)).mapInArrow(summed, "n long, p binary"), "networks")
-        drop_shared(parts)
-        parts = fewer
-    sums = parts.coalesce(SUMS).mapInArrow(summed, "n long, p binary").collect()
-    drop_shared(parts)
-    if sums:
-        total = sum(r["n"] * np.frombuffer(r["p"], np.float32).astype(np.float64) for r in sums)
-        model.network.use((total / sum(r["n"] for r in sums)).astype(np.float32))
+    mean = averaged(texts.mapInArrow(trained, "n long, p binary"), SUMS, FAN_IN)
+    if mean is not None:
+        model.network.use(mean)
 
 
 def score(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -353,3 +353,44 @@ def test_secret_model(spark, quick):
         assert [(s["start"], s["end"], s["kind"]) for s in r["secrets"] if s["known"]] == brute(r["text"])
         assert all(s["value"] == r["text"][s["start"] : s["end"]] for s in r["secrets"])
     assert secret_scan.fit(df.filter("doc_id < 0")).threshold > 1 and secret_scan.scan_secrets(df.limit(0), model).count() == 0
+
+
+def test_secret_model_learns_from_findings_outside_the_sample(spark, quick, monkeypatch):
+    """Findings beyond the sample change the network, and the threshold counts all held-out ones."""
+    import xxhash
+
+    monkeypatch.setattr(secret_scan, "SAMPLE", 30)
+    monkeypatch.setattr(secret_scan, "LEAST", 1 - 1e-9)  # so that the secrets set the threshold
+    rng = random.Random(4)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    name = lambda: "".join(rng.choice(["an", "the", "tion", "er", "in", "ous"]) for _ in range(6))
+    texts = [f"{name()} password={draw(rng.randrange(14, 30))} {name()} {name()}" for _ in range(200)]
+
+    def distinct(texts):
+        out = {}
+        for t in texts:
+            covered = secret_scan._Covered(brute(t))
+            for a, b in secret_scan.candidates(t):
+                x = secret_scan.encode(t, a, b)
+                out[int(covered(a, b)), xxhash.xxh64_intdigest(x.tobytes()) >> 1] = x
+        return out
+
+    found = distinct(texts)
+    last = [sorted(h for label, h in found if label == k)[29] for k in (0, 1)]
+    more = [t for t in (f"{name()} token={draw(30)} {name().upper()}" for _ in range(200)) if all(h > last[k] for k, h in distinct([t]))]
+    assert len(more) > 20
+    fit = lambda rows: secret_scan.fit(spark.createDataFrame([(t,) for t in rows], "text string").repartition(2))
+    few, all_ = fit(texts), fit(texts + more)
+    assert any(not np.allclose(few.p[k], all_.p[k], atol=1e-6) for k in few.p)
+    scores = np.sort(all_.score(np.stack([x for (k, h), x in distinct(texts + more).items() if k == 1 and h % secret_scan.FOLDS == 0])))
+    want = scores[len(scores) - math.ceil(secret_scan.RECALL * len(scores))]  # the highest that finds RECALL
+    logit = lambda p: math.log(p / (1 - p))
+    assert logit(want) - 2 * secret_scan.STEP < logit(all_.threshold) < logit(want) + 1e-3
+
+
+def test_base_spans_of_drawn_texts():
+    rng = random.Random(6)
+    bits = ["Token", "api_KEY", "\u212a", "secret", "passwd", "pa\u017fword", "=", ": ", "'", "AKIA", "0123456789abcdef", "ABCDEF", "f" * 9, ".", "-", " ", "\n", "\u0130", "\U0001f600", "zz_+/"]
+    for _ in range(2000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
+        assert secret_scan.base_spans(text) == brute(text)
