@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import copy
 import heapq
+import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,13 +48,16 @@ SUMS, FAN_IN = 4, 64
 EPOCHS, LANES, WINDOW, RATE = 2, 48, 32, 0.004
 #: For learning, a longer text is cut into parts of so many words that run side by side; scoring cuts none.
 PART = 2048
-SCORE_LANES, SCORE_WINDOW = 256, 64
+#: Scoring reads windows of so many places: one long text leaves few lanes, and then windows are longer.
+SCORE_LANES, SCORE_PLACES = 256, 16_384
 #: Levels of counts (16 for each doubling), and parts of the level at the cut, by hash.
 _LEVELS, _PARTS = 16, 4096
 #: Tokens of whole documents that a task gathers before it scores them.
 SCORE_TOKENS = 3_000_000
 _FLUSH = 300_000
 _RANGE = 1 << 30
+#: Rows of the softmax over classes, and parameters, that are worked on together; sums of which exp needs no shift.
+_ROWS, _BLOCK, _SAFE = 2048, 16_384, 60.0
 _OTHER, _END = 0, 1
 
 
@@ -84,7 +89,14 @@ class WordNetwork:
 
     def use(self, flat: np.ndarray) -> None:
         """All parameters as one vector; p holds views of it."""
-        self.flat, self.p = flat, self._views(flat)
+        self.flat, self.p, self.spaces = flat, self._views(flat), {}
+
+    def _space(self, name: str, *shape: int) -> np.ndarray:
+        """An array for intermediate values, the same memory each time: new memory costs as much as the products."""
+        n = math.prod(shape)
+        if len(self.spaces.get(name, ())) < n or self.spaces[name].dtype != self.flat.dtype:
+            self.spaces[name] = np.empty(n, self.flat.dtype)
+        return self.spaces[name][:n].reshape(shape)
 
     def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
         at, views = 0, {}
@@ -96,7 +108,7 @@ class WordNetwork:
 
     def _classes(self, first: np.ndarray) -> None:
         """first: where classes begin, and the end; of: each entry's class."""
-        self.first, self.of = first, np.repeat(np.arange(len(first) - 1), np.diff(first))
+        self.first, self.of = first, np.repeat(np.arange(len(first) - 1, dtype=np.min_scalar_type(len(first))), np.diff(first))
 
     def __getstate__(self):
         return self.shapes, self.first, self.flat
@@ -107,51 +119,95 @@ class WordNetwork:
         self.use(flat.copy())
 
     def step(self, x: np.ndarray, h: np.ndarray):
-        """x: the input's part of the gates. Returns the new state and what backpropagation needs."""
+        """The layer written plainly, lanes as rows; x: the input's part of the gates. Returns the new
+        state and the gates. _forward does the same for a window."""
         g = h @ self.p["u"]
         zr = _sigmoid(x[:, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
         z, r, q = zr[:, :HIDDEN], zr[:, HIDDEN:], g[:, 2 * HIDDEN :]
         n = np.tanh(x[:, 2 * HIDDEN :] + r * q)
         return n + z * (h - n), (z, r, q, n)
 
+    def _forward(self, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool):
+        """x, starts: time by lane; h: unit by lane. The states by time, unit and lane, so that gates are whole
+        blocks of memory; and, where kept, what backpropagation needs. Both in memory that the next call uses again."""
+        p, (times, lanes), gates, own = self.p, x.shape, 2 * HIDDEN, EMBED + 1
+        slots = times if keep else 1
+        inner = self._space("inner", slots, own + HIDDEN, lanes)  # input, 1, state before
+        zr, q, n = (self._space(k, slots, size, lanes) for k, size in (("zr", gates), ("q", HIDDEN), ("n", HIDDEN)))
+        states = self._space("states", times, HIDDEN, lanes)
+        inner[:, EMBED] = 1
+        from_input = np.concatenate([p["w"], p["b"][None]])
+        turned = -np.concatenate([from_input, p["u"]])[:, :gates].T
+        wn, un = np.ascontiguousarray(from_input[:, gates:].T), np.ascontiguousarray(p["u"][:, gates:].T)
+        fresh = starts.any(axis=1)
+        for t in range(times):
+            i, a, m, s = inner[t % slots], zr[t % slots], n[t % slots], states[t]
+            if fresh[t]:
+                h = np.where(starts[t], 0, h)
+            i[:EMBED] = p["embed"].take(x[t], axis=0).T
+            i[own:] = h
+            np.matmul(turned, i, out=a)
+            np.exp(a, out=a)
+            a += 1
+            np.reciprocal(a, out=a)
+            np.matmul(wn, i[:own], out=m)
+            np.matmul(un, i[own:], out=q[t % slots])
+            np.multiply(a[HIDDEN:], q[t % slots], out=s)
+            m += s
+            np.tanh(m, out=m)
+            np.subtract(i[own:], m, out=s)
+            s *= a[:HIDDEN]
+            s += m
+            h = s
+        return states, (inner, zr, q, n)
+
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
         """Natural log of each target's probability after state h; with grads (zeros), also d(-sum)/dh."""
-        p, cls = self.p, self.of[target]
-        order = np.argsort(cls, kind="stable")  # by class: its words' part is one product
-        hs, cls, rows = h[order], cls[order], np.arange(len(order))
-        cuts, at = np.searchsorted(cls, np.arange(len(self.first))), target[order] - self.first[cls]
-        e = hs @ p["c"]
-        e += p["cb"]
-        e -= e.max(axis=1, keepdims=True)
-        out = e[rows, cls]
-        np.exp(e, out=e)
-        total = e.sum(axis=1)
-        out -= np.log(total)
-        dh = None
-        if grads is not None:
-            e *= (1 / total)[:, None]
-            e[rows, cls] -= 1
-            grads["c"] += hs.T @ e
-            grads["cb"] += e.sum(axis=0)
-            dh = e @ p["c"].T
-        for k in np.flatnonzero((cuts[1:] > cuts[:-1]) & (np.diff(self.first) > 1)):
-            a, b, words = cuts[k], cuts[k + 1], slice(self.first[k], self.first[k + 1])
-            own, mine, chosen = hs[a:b], rows[: b - a], at[a:b]
-            z = own @ p["o"][words].T
+        p, k, classes = self.p, HIDDEN, len(self.first) - 1
+        cls = self.of[target]
+        order, sizes = np.argsort(cls, kind="stable"), np.bincount(cls, minlength=classes)  # by class: its words' part is one product
+        cuts, cls, rows = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(classes), sizes), np.arange(len(order))
+        at = target[order] - self.first[cls]
+        hs, dh = np.take(h, order, axis=0, out=self._space("hs", len(order), k), mode="clip"), self._space("dh", len(order), k)
+        out = np.empty(len(hs), hs.dtype)
+        reach = max(1.0, float(hs.max()), -float(hs.min())) if len(hs) else 1.0
+
+        def close(weights, bias, axis):  # exp of these sums can neither overflow nor vanish
+            return reach * np.abs(weights).sum(axis=axis) + np.abs(bias) < _SAFE
+
+        near = bool(close(p["c"], p["cb"], 0).all())
+        words_near = np.logical_and.reduceat(close(p["o"], p["ob"], 1), self.first[:-1])
+        turned, ones = np.ascontiguousarray(p["c"].T), np.ones(max(classes, int(np.diff(self.first).max())), hs.dtype)
+        for a in range(0, len(hs), _ROWS):
+            own, chosen = hs[a : a + _ROWS], cls[a : a + _ROWS]
+            e = np.matmul(own, p["c"], out=self._space("e", len(own), classes))
+            e += p["cb"]
+            out[a : a + _ROWS], inverse = _softmax(e, rows[: len(own)], chosen, near, ones, grads is not None)
+            if grads is not None:
+                grads["c"] += (own * inverse[:, None]).T @ e
+                grads["cb"] += inverse @ e
+                np.matmul(e, turned, out=dh[a : a + _ROWS])
+                dh[a : a + _ROWS] *= inverse[:, None]
+        for i in np.flatnonzero((sizes > 0) & (np.diff(self.first) > 1)):
+            a, b, words = cuts[i], cuts[i + 1], slice(self.first[i], self.first[i + 1])
+            own = hs[a:b]
+            z = np.matmul(own, p["o"][words].T, out=self._space("z", b - a, words.stop - words.start))
             z += p["ob"][words]
-            z -= z.max(axis=1, keepdims=True)
-            out[a:b] += z[mine, chosen]
-            np.exp(z, out=z)
-            total = z.sum(axis=1)
-            out[a:b] -= np.log(total)
+            logs, inverse = _softmax(z, rows[: b - a], at[a:b], words_near[i], ones, grads is not None)
+            out[a:b] += logs
             if grads is not None:
-                z *= (1 / total)[:, None]
-                z[mine, chosen] -= 1
-                grads["o"][words], grads["ob"][words] = z.T @ own, z.sum(axis=0)
-                dh[a:b] += z @ p["o"][words]
-        back = np.empty_like(order)
-        back[order] = rows
-        return out[back], None if dh is None else dh[back]
+                np.matmul(z.T, own * inverse[:, None], out=grads["o"][words])
+                np.matmul(inverse, z, out=grads["ob"][words])
+                back = z @ p["o"][words]
+                back *= inverse[:, None]
+                dh[a:b] += back
+        logs = np.empty_like(out)
+        logs[order] = out
+        if grads is None:
+            return logs, None
+        by_row = self._space("by_row", len(hs), k)
+        by_row[order] = dh
+        return logs, by_row
 
     def train(self, docs: list[np.ndarray], seed: int = 2) -> None:
         """docs: numbers of the words, without the end. State goes on between windows; a new document starts at 0."""
@@ -175,87 +231,117 @@ class WordNetwork:
             g, h = self._gradients(x, y, s, h)
             steps[0] += 1
             rate = rate_at(t / len(inputs)) * min(1, steps[0] / 50)
-            g *= min(1, 1 / max(float(np.sqrt(g @ g)), 1e-9))
+            self._adam(g, m, v, steps[0], rate)
+
+    def _adam(self, gradient: np.ndarray, moment: np.ndarray, square: np.ndarray, step: int, rate: float) -> None:
+        """gradient is used up; moment and square are sums, not yet times 0.1 and 0.001. In blocks that stay in a core's cache."""
+        shrunk = min(1, 1 / max(float(np.sqrt(gradient @ gradient)), 1e-9))
+        root = math.sqrt(0.001 / (1 - 0.999**step))
+        for at in range(0, len(gradient), _BLOCK):
+            g, m, v = gradient[at : at + _BLOCK], moment[at : at + _BLOCK], square[at : at + _BLOCK]
+            if shrunk < 1:
+                g *= shrunk
             m *= 0.9
-            m += 0.1 * g
+            m += g
             v *= 0.999
             g *= g
-            g *= 0.001
             v += g
             np.sqrt(v, out=g)
-            g /= np.sqrt(1 - 0.999 ** steps[0])
-            g += 1e-7
+            g += 1e-7 / root
             np.divide(m, g, out=g)
-            g *= rate / (1 - 0.9 ** steps[0])
-            self.flat -= g
+            g *= rate * 0.1 / (1 - 0.9**step) / root
+            self.flat[at : at + _BLOCK] -= g
 
     def _gradients(self, x, y, starts, h):
         """Of the mean loss of a window, as one vector like flat; and the state after it."""
-        p, held, states = self.p, [], []
-        flat = np.zeros_like(self.flat)
+        p, own, k = self.p, EMBED + 1, HIDDEN
+        times, lanes = x.shape
+        flat = self._space("gradient", len(self.flat))
+        flat[:] = 0
         g = self._views(flat)
-        e = p["embed"][x]
-        xs = e @ p["w"]
-        xs += p["b"]
-        for t in range(len(x)):
-            if starts[t].any():
-                h = np.where(starts[t][:, None], 0, h)
-            new, inner = self.step(xs[t], h)
-            held.append((h, *inner))
-            states.append(new)
-            h = new
+        states, (inner, zr, q, n) = self._forward(x, starts, h.T, keep=True)
         live = y >= 0
-        _, dlive = self.log_probability(np.stack(states)[live], y[live], g)
-        d = np.zeros((*y.shape, HIDDEN), xs.dtype)
-        d[live] = dlive
-        dxs, dgs, back = np.empty_like(xs), np.empty_like(xs), np.zeros_like(h)
-        turned = np.ascontiguousarray(p["u"].T)
+        dlive = self.log_probability(self._rows(states, live), y[live], g)[1]
+        if len(dlive) < y.size:
+            d = self._space("all", times, lanes, k)
+            d[:] = 0
+            d[live] = dlive
+            dlive = d
+        d = self._space("d", times, k, lanes)
+        d[:] = dlive.reshape(times, lanes, k).transpose(0, 2, 1)
+        back, all_ = np.zeros_like(d[0]), np.zeros((own + k, 4 * k), d.dtype)
+        de, part = self._space("de", times, EMBED, lanes), np.empty((4 * k, lanes), d.dtype)
+        dn, dz, dr, dq = part[:k], part[k : 2 * k], part[2 * k : 3 * k], part[3 * k :]
+        w = np.concatenate([p["w"][:, 2 * k :], p["w"][:, : 2 * k]], axis=1)  # in part's order
+        fresh, room = starts.any(axis=1), np.empty_like(back)
         for t in range(len(x) - 1, -1, -1):
-            h0, z, r, q, nn = held[t]
-            dh = d[t] + back
-            keep = 1 - z
-            dn = dh * keep * (1 - nn * nn)
-            dx, dg = dxs[t], dgs[t]
-            dx[:, :HIDDEN] = dh * (h0 - nn) * z * keep
-            dx[:, HIDDEN : 2 * HIDDEN] = dn * q * r * (1 - r)
-            dx[:, 2 * HIDDEN :] = dn
-            dg[:, : 2 * HIDDEN] = dx[:, : 2 * HIDDEN]
-            dg[:, 2 * HIDDEN :] = dn * r
-            back = dh * z + dg @ turned
-            if starts[t].any():
-                back = np.where(starts[t][:, None], 0, back)
-        rows = dxs.reshape(-1, 3 * HIDDEN)
-        g["u"][:] = np.stack([k[0] for k in held]).reshape(-1, HIDDEN).T @ dgs.reshape(-1, 3 * HIDDEN)
-        g["w"][:] = e.reshape(-1, EMBED).T @ rows
-        g["b"][:] = rows.sum(axis=0)
-        de, order = rows @ p["w"].T, np.argsort(x.reshape(-1), kind="stable")
-        words = x.reshape(-1)[order]
+            z, r, dh = zr[t, :k], zr[t, k:], d[t]
+            dh += back
+            np.multiply(dh, z, out=back)
+            np.subtract(dh, back, out=dn)  # dh * (1 - z)
+            np.subtract(inner[t, own:], n[t], out=dz)
+            dz *= z
+            dz *= dn
+            np.multiply(n[t], n[t], out=room)
+            np.subtract(1, room, out=room)
+            dn *= room
+            np.multiply(dn, r, out=dq)
+            np.subtract(1, r, out=room)
+            np.multiply(dq, room, out=dr)
+            dr *= q[t]
+            back += p["u"] @ part[k:]
+            np.matmul(w, part[: 3 * k], out=de[t])
+            all_ += inner[t] @ part.T
+            if fresh[t]:
+                back[:, starts[t]] = 0
+        g["w"][:, : 2 * k], g["w"][:, 2 * k :] = all_[:EMBED, k : 3 * k], all_[:EMBED, :k]
+        g["b"][: 2 * k], g["b"][2 * k :] = all_[EMBED, k : 3 * k], all_[EMBED, :k]
+        g["u"][:] = all_[own:, k:]
+        words = x.reshape(-1).astype(np.min_scalar_type(len(self.of)))  # two bytes are sorted by their digits
+        order = np.argsort(words, kind="stable")
+        words = words[order]
         first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        g["embed"][words[first]] = np.add.reduceat(de[order], first, axis=0)
-        flat /= max(1, int(live.sum()))
-        return flat, h
+        g["embed"][words[first]] = np.add.reduceat(de.transpose(0, 2, 1).reshape(-1, EMBED)[order], first, axis=0)
+        flat *= 1 / max(1, int(live.sum()))
+        return flat, states[-1].T.copy()
+
+    def _rows(self, states: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """States of live places, each a row."""
+        rows = self._space("rows", *live.shape, HIDDEN)
+        rows[:] = states.transpose(0, 2, 1)
+        return rows.reshape(-1, HIDDEN) if live.all() else rows[live]
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 of the probability of each whole document's entries and its end."""
         if not docs:
             return np.zeros(0)
         inputs, targets, owner, starts = in_lanes([_whole(d) for d in docs], SCORE_LANES)
-        table = self.p["embed"] @ self.p["w"] + self.p["b"]
-        h, total = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros(len(docs))
-        for t in range(0, len(inputs), SCORE_WINDOW):
-            states = []
-            for k in range(t, min(t + SCORE_WINDOW, len(inputs))):
-                if starts[k].any():
-                    h = np.where(starts[k][:, None], 0, h)
-                h, _ = self.step(table[inputs[k]], h)
-                states.append(h)
-            y, of = targets[t : t + SCORE_WINDOW], owner[t : t + SCORE_WINDOW]
+        h, total = np.zeros((HIDDEN, inputs.shape[1]), np.float32), np.zeros(len(docs))
+        size = max(1, SCORE_PLACES // inputs.shape[1])
+        for t in range(0, len(inputs), size):
+            window = slice(t, t + size)
+            states, _ = self._forward(inputs[window], starts[window], h, keep=False)
+            y, of, h = targets[window], owner[window], states[-1].copy()
             live = y >= 0
-            logs, _ = self.log_probability(np.stack(states)[live], y[live])
+            logs, _ = self.log_probability(self._rows(states, live), y[live])
             total += np.bincount(of[live], logs, len(docs))
         return total / np.log(10)
 
 
+def _softmax(e: np.ndarray, rows: np.ndarray, chosen: np.ndarray, near: bool, ones: np.ndarray, learning: bool):
+    """Of sums e: the log probability of each row's chosen column, and 1 / total of the exponentials. Learning, e is
+    left as the gradient of -log, times total. near: no exponential overflows."""
+    if not near:
+        e -= e.max(axis=1, keepdims=True)
+    out = e[rows, chosen]
+    np.exp(e, out=e)
+    total = e @ ones[: e.shape[1]]
+    out -= np.log(total)
+    if learning:
+        e[rows, chosen] -= total
+    return out, 1 / total
+
+
 def _class_starts(n: int) -> np.ndarray:
     """Where the classes of n entries begin, and the end: the first (words outside the vocabulary)
     is a class of its own; the others grow with the number of entries before them."""
@@ -329,8 +415,7 @@ def _count(batches):
     held, texts = Counter(), 0
 
     def out():
-        rows = [(w.decode("utf-8", "surrogatepass"), n) for w, n in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64()))], ["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     for batch in pieces(batches, 0):
         for text in batch.column(0).to_pylist():
@@ -369,7 +454,7 @@ def numbered(texts, model: LanguageModel):
     get = model.places.get
     for text in texts:
         words = words_of(text)
-        yield words, np.fromiter((get(w, -1) for w in words), np.int32, len(words))
+        yield words, np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
 
 
 def fit(training: DataFrame) -> LanguageModel:
