@@ -35,8 +35,6 @@ END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
 HOT_WORDS = 200_000
 VOCABULARY = 8192
-#: The rarer words, the larger their class: its size is a SHARE-th of the number of words before it, SHARE / 2 at least.
-SHARE = 16
 HIDDEN, EMBED = 48, 24
 #: The network begins on whole training documents of about so many tokens in all, by hash of the id;
 #: from there on it learns from all training documents.
@@ -75,7 +73,7 @@ class WordNetwork:
     def __init__(self, counts: np.ndarray, seed: int = 1):
         """counts: of the vocabulary's entries, in the order of their numbers."""
         rng = np.random.default_rng(seed)
-        self._classes(_class_starts(len(counts)))
+        self._classes(_class_starts(counts))
         held, k = counts + 0.5, len(self.first) - 1
         mass = np.add.reduceat(held, self.first[:-1])
         draw = lambda scale, *s: rng.standard_normal(s) * scale
@@ -342,12 +340,14 @@ def _softmax(e: np.ndarray, rows: np.ndarray, chosen: np.ndarray, near: bool, on
     return out, 1 / total
 
 
-def _class_starts(n: int) -> np.ndarray:
-    """Where the classes of n entries begin, and the end: the first (words outside the vocabulary)
-    is a class of its own; the others grow with the number of entries before them."""
-    at = [0]
+def _class_starts(counts: np.ndarray) -> np.ndarray:
+    """Where the classes begin, and the end: the first (words outside the vocabulary) is a class of its own; of the
+    others, one that begins with a share p of all tokens has 1 / sqrt(p) entries. A token costs a column for each class
+    and for each entry of its own class; of classes of neighbours in the order of counts, these make it about the least."""
+    at, n, total = [0], len(counts), counts.sum() + 1
     while at[-1] < n:
-        at.append(min(n, at[-1] + max(SHARE // 2, at[-1] // SHARE) if at[-1] else 1))
+        size = round(math.sqrt(total / (counts[at[-1] : at[-1] + 2].max() + 0.5))) if at[-1] else 1  # the end comes before more frequent words
+        at.append(min(n, at[-1] + max(1, size)))
     return np.array(at)
 
 

@@ -394,3 +394,56 @@ def test_base_spans_of_drawn_texts():
     for _ in range(2000):
         text = "".join(rng.choice(bits) for _ in range(rng.randrange(40)))
         assert secret_scan.base_spans(text) == brute(text)
+
+
+def test_lm_one_long_text_takes_few_windows(monkeypatch):
+    """One lane only: the softmax still works on many places at once."""
+    net, calls, plain = lm.WordNetwork(np.array([5, 3, 2, 1, 1])), [], lm.WordNetwork.log_probability
+    monkeypatch.setattr(lm.WordNetwork, "log_probability", lambda self, h, y, grads=None: calls.append(len(y)) or plain(self, h, y, grads))
+    net.score([np.random.default_rng(1).integers(0, 5, 20_000).astype(np.int32)])
+    assert sum(calls) == 20_001 and len(calls) <= 3
+
+
+def test_lm_classes_take_few_columns():
+    """A token costs a column for each class and for each word of its own class."""
+    counts = np.concatenate([[3e6, 4e4], 1e6 / np.arange(1, 8191)]).astype(np.int64)
+    net = lm.WordNetwork(counts)
+    sizes = np.diff(net.first)
+    assert net.first[0] == 0 and net.first[1] == 1 and net.first[-1] == len(counts) and (sizes > 0).all() and list(net.of[net.first[:-1]]) == list(range(len(sizes)))
+    assert len(sizes) + (sizes[net.of] * counts)[1:].sum() / counts.sum() < 125
+    for n in (1, 2, 3, 40):
+        few = lm.WordNetwork(np.zeros(n, np.int64))
+        assert few.first[0] == 0 and few.first[-1] == n and (np.diff(few.first) > 0).all()
+
+
+def test_lm_window_is_the_layer_step_by_step():
+    net, rng = lm.WordNetwork(np.array([5, 3, 2, 1, 1])), np.random.default_rng(3)
+    x, starts, h = rng.integers(0, 5, (9, 4)), rng.random((9, 4)) < 0.3, (rng.standard_normal((4, lm.HIDDEN)) * 0.3).astype(np.float32)
+    table, want, state = net.p["embed"] @ net.p["w"] + net.p["b"], [], h
+    for t in range(9):
+        state, _ = net.step(table[x[t]], np.where(starts[t][:, None], 0, state))
+        want.append(state)
+    for keep in (True, False):
+        states, _ = net._forward(x, starts, h.T, keep)
+        assert np.allclose(states.transpose(0, 2, 1), want, atol=1e-5)
+
+
+@pytest.mark.parametrize("scale", [1, 4000])
+def test_lm_softmax_at_any_size(scale):
+    """With and without shifts, against the logarithm of the softmax in double precision."""
+    net, rng = lm.WordNetwork(np.arange(60, 0, -1)), np.random.default_rng(4)
+    for k in ("c", "o"):
+        net.p[k] *= scale
+    h, y = rng.uniform(-1, 1, (200, lm.HIDDEN)).astype(np.float32), rng.integers(0, 60, 200)
+
+    def softmax(z):
+        z = z - z.max()
+        return z - np.log(np.exp(z).sum())
+
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    for state, target, log in zip(h.astype(float), y, net.log_probability(h, y)[0], strict=True):
+        k = int(net.of[target])
+        words = slice(net.first[k], net.first[k + 1])
+        want = softmax(state @ p["c"] + p["cb"])[k] + softmax(p["o"][words] @ state + p["ob"][words])[target - words.start]
+        assert abs(log - want) < 1e-4 * max(1, abs(want))
+    assert net.log_probability(h[:0], y[:0])[0].shape == (0,)
