@@ -20,16 +20,15 @@ from __future__ import annotations
 import copy
 import heapq
 import math
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import averaged, one_thread, pieces, write_shared
+from .common import _LOWER, _SPACE, averaged, blocks, one_thread, pieces, write_shared
 
 END = "\n"  # no word holds white space
 #: Words whose counts every task holds, at most (some 30 MB a worker).
@@ -52,15 +51,27 @@ SCORE_LANES, SCORE_PLACES = 256, 16_384
 _LEVELS, _PARTS = 16, 4096
 #: Tokens of whole documents that a task gathers before it scores them.
 SCORE_TOKENS = 3_000_000
-_FLUSH = 300_000
+#: Bytes of words that are looked up together; and of those that are counted together.
+_WORDS, _COUNTED = 1 << 22, 1 << 24
 _RANGE = 1 << 30
 #: Rows of the softmax over classes, and parameters, that are worked on together; sums of which exp needs no shift.
 _ROWS, _BLOCK, _SAFE = 2048, 16_384, 60.0
 _OTHER, _END = 0, 1
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: A-Z and ASCII white space only
+def words_of(column, size: int = _WORDS):
+    """Of an Arrow column of texts: runs of rows, as their words (an Arrow array, A-Z lower-cased, one row's after
+    another's), and where each row's begin (with the end). A null has none."""
+    for _, data, offsets in blocks(column, size):
+        inside = ~_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        rows = offsets[:-1][offsets[:-1] < len(data)]
+        first[rows] = inside[rows]
+        starts, kept = np.flatnonzero(first), _LOWER[data[inside]]
+        at = np.append(np.cumsum(inside, dtype=np.int64)[starts] - 1, len(kept))
+        parts = [None, pa.py_buffer(at), pa.py_buffer(kept)]
+        yield pa.Array.from_buffers(pa.large_binary(), len(starts), parts), np.searchsorted(starts, offsets)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -87,7 +98,7 @@ class WordNetwork:
 
     def use(self, flat: np.ndarray) -> None:
         """All parameters as one vector; p holds views of it."""
-        self.flat, self.p, self.spaces = flat, self._views(flat), {}
+        self.flat, self.p, self.spaces, self.near = flat, self._views(flat), {}, None
 
     def _space(self, name: str, *shape: int) -> np.ndarray:
         """An array for intermediate values, the same memory each time: new memory costs as much as the products."""
@@ -125,42 +136,57 @@ class WordNetwork:
         n = np.tanh(x[:, 2 * HIDDEN :] + r * q)
         return n + z * (h - n), (z, r, q, n)
 
-    def _forward(self, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool):
-        """x, starts: time by lane; h: unit by lane. The states by time, unit and lane, so that gates are whole
-        blocks of memory; and, where kept, what backpropagation needs. Both in memory that the next call uses again."""
-        p, (times, lanes), gates, own = self.p, x.shape, 2 * HIDDEN, EMBED + 1
+    def _table(self, words: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The input's part of the gates for each of words, bias included: gate after gate, a row for each word."""
+        embed = self.p["embed"][words]
+        made = np.empty((3, len(embed), HIDDEN), embed.dtype)
+        np.matmul(embed, _by_gate(self.p["w"]), out=made)
+        made += self.p["b"].reshape(3, 1, HIDDEN)
+        np.negative(made[:2], out=made[:2])  # as 1 / (1 + exp(-sum)) needs them
+        return made.reshape(-1, HIDDEN)
+
+    def _forward(self, x: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: bool, table: np.ndarray | None = None):
+        """x, starts: time by lane; h: unit by lane; table: of the words that x numbers, all if not given. The states by
+        time, unit and lane (rows in memory, a lane's units side by side); and, where kept, what backpropagation needs,
+        lanes as rows, each gate a block of memory. Both in memory that the next call uses again."""
+        (times, lanes), table = x.shape, self._table() if table is None else table
         slots = times if keep else 1
-        inner = self._space("inner", slots, own + HIDDEN, lanes)  # input, 1, state before
-        zr, q, n = (self._space(k, slots, size, lanes) for k, size in (("zr", gates), ("q", HIDDEN), ("n", HIDDEN)))
-        states = self._space("states", times, HIDDEN, lanes)
-        inner[:, EMBED] = 1
-        from_input = np.concatenate([p["w"], p["b"][None]])
-        turned = -np.concatenate([from_input, p["u"]])[:, :gates].T
-        wn, un = np.ascontiguousarray(from_input[:, gates:].T), np.ascontiguousarray(p["u"][:, gates:].T)
-        fresh = starts.any(axis=1)
+        gates, n = self._space("gates", slots, 3, lanes, HIDDEN), self._space("n", slots, lanes, HIDDEN)
+        states, inputs = self._space("states", times + 1, lanes, HIDDEN), self._space("inputs", 3, lanes, HIDDEN)
+        at = x[:, None].astype(np.intp) + np.arange(0, len(table), len(table) // 3)[:, None]
+        inner = _by_gate(self.p["u"])
+        np.negative(inner[:2], out=inner[:2])
+        states[0], fresh = h.T, starts.any(axis=1)
         for t in range(times):
-            i, a, m, s = inner[t % slots], zr[t % slots], n[t % slots], states[t]
+            g, m, s, h = gates[t % slots], n[t % slots], states[t + 1], states[t]
             if fresh[t]:
-                h = np.where(starts[t], 0, h)
-            i[:EMBED] = p["embed"].take(x[t], axis=0).T
-            i[own:] = h
-            np.matmul(turned, i, out=a)
+                h = np.where(starts[t][:, None], 0, h)
+            np.matmul(h, inner, out=g)
+            table.take(at[t], axis=0, out=inputs, mode="clip")
+            a = g[:2]
+            a += inputs[:2]
             np.exp(a, out=a)
             a += 1
             np.reciprocal(a, out=a)
-            np.matmul(wn, i[:own], out=m)
-            np.matmul(un, i[own:], out=q[t % slots])
-            np.multiply(a[HIDDEN:], q[t % slots], out=s)
-            m += s
+            np.multiply(g[1], g[2], out=m)
+            m += inputs[2]
             np.tanh(m, out=m)
-            np.subtract(i[own:], m, out=s)
-            s *= a[:HIDDEN]
+            np.subtract(h, m, out=s)
+            s *= g[0]
             s += m
-            h = s
-        return states, (inner, zr, q, n)
+        return states[1:].transpose(0, 2, 1), (states[:-1], gates, n)
+
+    def _near(self) -> tuple[float, np.ndarray]:
+        """How large a state's units may be so that exp of no sum overflows or vanishes: of classes, and of words by class."""
+
+        def limit(weights, bias):
+            return (_SAFE - np.abs(bias)) / np.maximum(np.abs(weights, out=self._space("sizes", *weights.shape)) @ np.ones(HIDDEN, bias.dtype), 1e-9)
+
+        p = self.p
+        return float(limit(p["c"].T, p["cb"]).min()), np.minimum.reduceat(limit(p["o"], p["ob"]), self.first[:-1])
 
     def log_probability(self, h: np.ndarray, target: np.ndarray, grads: dict | None = None):
-        """Natural log of each target's probability after state h; with grads (zeros), also d(-sum)/dh."""
+        """Natural log of each target's probability after state h; with grads (zeros), also d(-mean)/dh."""
         p, k, classes = self.p, HIDDEN, len(self.first) - 1
         cls = self.of[target]
         order, sizes = np.argsort(cls, kind="stable"), np.bincount(cls, minlength=classes)  # by class: its words' part is one product
@@ -169,20 +195,20 @@ class WordNetwork:
         hs, dh = np.take(h, order, axis=0, out=self._space("hs", len(order), k), mode="clip"), self._space("dh", len(order), k)
         out = np.empty(len(hs), hs.dtype)
         reach = max(1.0, float(hs.max()), -float(hs.min())) if len(hs) else 1.0
-
-        def close(weights, bias, axis):  # exp of these sums can neither overflow nor vanish
-            return reach * np.abs(weights).sum(axis=axis) + np.abs(bias) < _SAFE
-
-        near = bool(close(p["c"], p["cb"], 0).all())
-        words_near = np.logical_and.reduceat(close(p["o"], p["ob"], 1), self.first[:-1])
+        classes_near, words_near = self.near or self._near()
+        classes_near, words_near = reach < classes_near, reach < words_near
+        at += rows * np.diff(self.first)[cls]  # in the sums of all places of the class
+        at -= np.take(cuts[:-1] * np.diff(self.first), cls)
+        chosen, share = rows[:_ROWS] * classes, 1 / max(1, len(hs))
         turned, ones = np.ascontiguousarray(p["c"].T), np.ones(max(classes, int(np.diff(self.first).max())), hs.dtype)
         for a in range(0, len(hs), _ROWS):
-            own, chosen = hs[a : a + _ROWS], cls[a : a + _ROWS]
+            own = hs[a : a + _ROWS]
             e = np.matmul(own, p["c"], out=self._space("e", len(own), classes))
             e += p["cb"]
-            out[a : a + _ROWS], inverse = _softmax(e, rows[: len(own)], chosen, near, ones, grads is not None)
+            out[a : a + _ROWS], inverse = _softmax(e, chosen[: len(own)] + cls[a : a + _ROWS], classes_near, ones, grads is not None)
             if grads is not None:
-                grads["c"] += (own * inverse[:, None]).T @ e
+                inverse *= share
+                grads["c"] += np.multiply(own, inverse[:, None], out=self._space("own", *own.shape)).T @ e
                 grads["cb"] += inverse @ e
                 np.matmul(e, turned, out=dh[a : a + _ROWS])
                 dh[a : a + _ROWS] *= inverse[:, None]
@@ -191,10 +217,11 @@ class WordNetwork:
             own = hs[a:b]
             z = np.matmul(own, p["o"][words].T, out=self._space("z", b - a, words.stop - words.start))
             z += p["ob"][words]
-            logs, inverse = _softmax(z, rows[: b - a], at[a:b], words_near[i], ones, grads is not None)
+            logs, inverse = _softmax(z, at[a:b], words_near[i], ones, grads is not None)
             out[a:b] += logs
             if grads is not None:
-                np.matmul(z.T, own * inverse[:, None], out=grads["o"][words])
+                inverse *= share
+                np.matmul(z.T, np.multiply(own, inverse[:, None], out=self._space("own", *own.shape)), out=grads["o"][words])
                 np.matmul(inverse, z, out=grads["ob"][words])
                 back = z @ p["o"][words]
                 back *= inverse[:, None]
@@ -252,62 +279,71 @@ class WordNetwork:
 
     def _gradients(self, x, y, starts, h):
         """Of the mean loss of a window, as one vector like flat; and the state after it."""
-        p, own, k = self.p, EMBED + 1, HIDDEN
+        p, k = self.p, HIDDEN
         times, lanes = x.shape
         flat = self._space("gradient", len(self.flat))
         flat[:] = 0
         g = self._views(flat)
-        states, (inner, zr, q, n) = self._forward(x, starts, h.T, keep=True)
+        words = x.reshape(-1).astype(np.min_scalar_type(len(self.of)))  # two bytes are sorted by their digits
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        new = np.append(True, words[1:] != words[:-1])
+        first, place = np.flatnonzero(new), np.empty(len(words), np.intp)
+        words, place[order] = words[first], np.cumsum(new) - 1  # only the words of this window are looked up
+        place = place.reshape(x.shape)
+        states, (before, gates, n) = self._forward(place, starts, h.T, True, self._table(words))
         live = y >= 0
-        dlive = self.log_probability(self._rows(states, live), y[live], g)[1]
-        if len(dlive) < y.size:
-            d = self._space("all", times, lanes, k)
+        d = self.log_probability(self._rows(states, live), y[live], g)[1]
+        if len(d) < y.size:
+            some, d = d, self._space("all", y.size, k)
             d[:] = 0
-            d[live] = dlive
-            dlive = d
-        d = self._space("d", times, k, lanes)
-        d[:] = dlive.reshape(times, lanes, k).transpose(0, 2, 1)
-        back, all_ = np.zeros_like(d[0]), np.zeros((own + k, 4 * k), d.dtype)
-        de, part = self._space("de", times, EMBED, lanes), np.empty((4 * k, lanes), d.dtype)
-        dn, dz, dr, dq = part[:k], part[k : 2 * k], part[2 * k : 3 * k], part[3 * k :]
-        w = np.concatenate([p["w"][:, 2 * k :], p["w"][:, : 2 * k]], axis=1)  # in part's order
-        fresh, room = starts.any(axis=1), np.empty_like(back)
-        for t in range(len(x) - 1, -1, -1):
-            z, r, dh = zr[t, :k], zr[t, k:], d[t]
+            d[live.reshape(-1)] = some
+        d = d.reshape(times, lanes, k)
+        inputs, de = np.ones((len(words), EMBED + 1), d.dtype), self._space("de", times, lanes, EMBED)
+        inputs[:, :EMBED] = p["embed"][words]
+        part, room = self._space("part", 4, lanes, k), self._space("room", 3, lanes, k)
+        given, by_gate = self._space("given", lanes, EMBED + 1), self._space("by_gate", 3, lanes, EMBED)
+        dn, dz, dr, dq = part  # the sums of w's gates in the order n, z, r; of u's in the order z, r, n
+        back, w, u = np.zeros((lanes, k), d.dtype), _by_gate(p["w"])[[2, 0, 1]].transpose(0, 2, 1).copy(), _by_gate(p["u"]).transpose(0, 2, 1).copy()
+        gw, gu = np.zeros((3, EMBED + 1, k), d.dtype), np.zeros((3, k, k), d.dtype)
+        fresh = starts.any(axis=1)
+        for t in range(times - 1, -1, -1):
+            (z, r, q), dh, was = gates[t], d[t], before[t]
+            if fresh[t]:
+                was = np.where(starts[t][:, None], 0, was)
             dh += back
             np.multiply(dh, z, out=back)
             np.subtract(dh, back, out=dn)  # dh * (1 - z)
-            np.subtract(inner[t, own:], n[t], out=dz)
+            np.subtract(was, n[t], out=dz)
             dz *= z
             dz *= dn
-            np.multiply(n[t], n[t], out=room)
-            np.subtract(1, room, out=room)
-            dn *= room
+            np.multiply(n[t], n[t], out=dq)
+            np.subtract(1, dq, out=dq)
+            dn *= dq
             np.multiply(dn, r, out=dq)
-            np.subtract(1, r, out=room)
-            np.multiply(dq, room, out=dr)
-            dr *= q[t]
-            back += p["u"] @ part[k:]
-            np.matmul(w, part[: 3 * k], out=de[t])
-            all_ += inner[t] @ part.T
+            np.subtract(1, r, out=dr)
+            dr *= dq
+            dr *= q
+            np.matmul(part[1:], u, out=room)
+            for summand in room:
+                back += summand
+            np.matmul(part[:3], w, out=by_gate)
+            np.add(by_gate[0], by_gate[1], out=de[t])
+            de[t] += by_gate[2]
+            gu += was.T @ part[1:]
+            gw += inputs.take(place[t], axis=0, out=given, mode="clip").T @ part[:3]
             if fresh[t]:
-                back[:, starts[t]] = 0
-        g["w"][:, : 2 * k], g["w"][:, 2 * k :] = all_[:EMBED, k : 3 * k], all_[:EMBED, :k]
-        g["b"][: 2 * k], g["b"][2 * k :] = all_[EMBED, k : 3 * k], all_[EMBED, :k]
-        g["u"][:] = all_[own:, k:]
-        words = x.reshape(-1).astype(np.min_scalar_type(len(self.of)))  # two bytes are sorted by their digits
-        order = np.argsort(words, kind="stable")
-        words = words[order]
-        first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
-        g["embed"][words[first]] = np.add.reduceat(de.transpose(0, 2, 1).reshape(-1, EMBED)[order], first, axis=0)
-        flat *= 1 / max(1, int(live.sum()))
+                back[starts[t]] = 0
+        for at, i in enumerate((2, 0, 1)):
+            gate = slice(i * k, i * k + k)
+            g["w"][:, gate], g["b"][gate], g["u"][:, at * k : at * k + k] = gw[at, :EMBED], gw[at, EMBED], gu[at]
+        g["embed"][words] = np.add.reduceat(de.reshape(-1, EMBED)[order], first, axis=0)
         return flat, states[-1].T.copy()
 
     def _rows(self, states: np.ndarray, live: np.ndarray) -> np.ndarray:
         """States of live places, each a row."""
-        rows = self._space("rows", *live.shape, HIDDEN)
-        rows[:] = states.transpose(0, 2, 1)
-        return rows.reshape(-1, HIDDEN) if live.all() else rows[live]
+        rows = states.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        return rows if live.all() else rows[live.reshape(-1)]
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Log10 of the probability of each whole document's entries and its end."""
@@ -315,28 +351,35 @@ class WordNetwork:
             return np.zeros(0)
         inputs, targets, owner, starts = in_lanes([_whole(d) for d in docs], SCORE_LANES)
         h, total = np.zeros((HIDDEN, inputs.shape[1]), np.float32), np.zeros(len(docs))
-        size = max(1, SCORE_PLACES // inputs.shape[1])
+        size, table, self.near = max(1, SCORE_PLACES // inputs.shape[1]), self._table(), self._near()
         for t in range(0, len(inputs), size):
             window = slice(t, t + size)
-            states, _ = self._forward(inputs[window], starts[window], h, keep=False)
+            states, _ = self._forward(inputs[window], starts[window], h, False, table)
             y, of, h = targets[window], owner[window], states[-1].copy()
             live = y >= 0
             logs, _ = self.log_probability(self._rows(states, live), y[live])
             total += np.bincount(of[live], logs, len(docs))
+        self.near = None  # parameters may change now
         return total / np.log(10)
 
 
-def _softmax(e: np.ndarray, rows: np.ndarray, chosen: np.ndarray, near: bool, ones: np.ndarray, learning: bool):
-    """Of sums e: the log probability of each row's chosen column, and 1 / total of the exponentials. Learning, e is
-    left as the gradient of -log, times total. near: no exponential overflows."""
+def _by_gate(x: np.ndarray) -> np.ndarray:
+    """Columns of the three gates as three matrices."""
+    return np.ascontiguousarray(x.reshape(len(x), 3, HIDDEN).transpose(1, 0, 2))
+
+
+def _softmax(e: np.ndarray, chosen: np.ndarray, near: bool, ones: np.ndarray, learning: bool):
+    """Of sums e: the log probability of each row's chosen place (its number in all of e), and 1 / total of the
+    exponentials. Learning, e is left as the gradient of -log, times total. near: no exponential overflows."""
     if not near:
         e -= e.max(axis=1, keepdims=True)
-    out = e[rows, chosen]
+    flat = e.reshape(-1)
+    out = flat.take(chosen)
     np.exp(e, out=e)
     total = e @ ones[: e.shape[1]]
     out -= np.log(total)
     if learning:
-        e[rows, chosen] -= total
+        flat[chosen] -= total
     return out, 1 / total
 
 
@@ -392,7 +435,7 @@ class LanguageModel:
     counts: DataFrame  # (word, n) of all training words, the end among them
     total: int
     distinct: int
-    places: dict[bytes, int]  # hot words, the most frequent first
+    places: pa.Array  # hot words, the most frequent first
     hot: np.ndarray  # their counts
     entries: np.ndarray  # their vocabulary numbers; _OTHER for those outside
     end: int  # count of the end
@@ -412,21 +455,25 @@ class LanguageModel:
 
 
 def _count(batches):
-    held, texts = Counter(), 0
+    held, size, texts = [], 0, 0
 
     def out():
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+        found = pc.value_counts(pa.concat_arrays(held)) if held else None
+        words, counts = (found.field(0), found.field(1)) if held else (pa.array([], pa.large_binary()), pa.array([], pa.int64()))
+        return pa.RecordBatch.from_arrays([words.cast(pa.binary()).cast(pa.string()), counts], ["word", "n"])
 
     for batch in pieces(batches, 0):
-        for text in batch.column(0).to_pylist():
-            held.update(words_of(text))
-            texts += 1
-            if len(held) > _FLUSH:
+        texts += batch.num_rows
+        for words, _ in words_of(batch.column(0)):
+            held.append(words)
+            size += words.buffers()[2].size
+            if size > _COUNTED:
                 yield out()
-                held.clear()
+                held, size = [], 0
+    if held:
+        yield out()
     if texts:
-        held[END.encode()] = texts
-    yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([texts], pa.int64())], ["word", "n"])
 
 
 def _most_frequent(counts: DataFrame) -> DataFrame:
@@ -449,12 +496,9 @@ def _most_frequent(counts: DataFrame) -> DataFrame:
     return counts.filter((level > cut) | ((level == cut) & (part < upto)))
 
 
-def numbered(texts, model: LanguageModel):
-    """For each text: its words, and the places of the hot ones (-1: not hot)."""
-    get = model.places.get
-    for text in texts:
-        words = words_of(text)
-        yield words, np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
+def places_of(words: pa.Array, known: pa.Array, none: int) -> np.ndarray:
+    """Each word's place among the known ones; none for the others."""
+    return pc.fill_null(pc.index_in(words, value_set=known), none).to_numpy(zero_copy_only=False)
 
 
 def fit(training: DataFrame) -> LanguageModel:
@@ -467,7 +511,7 @@ def fit(training: DataFrame) -> LanguageModel:
     if end is None:
         end = sum(r["n"] for r in counts.filter(F.col("word") == END).collect())
     rows = [r for r in rows if r[0] != END]
-    places = {w.encode("utf-8", "surrogatepass"): i for i, (w, _) in enumerate(rows)}
+    places = pa.array([w.encode("utf-8", "surrogatepass") for w, _ in rows], pa.large_binary())
     hot = np.array([n for _, n in rows], np.int64)
     size = min(len(rows), VOCABULARY - 2)
     entries = np.where(np.arange(len(rows)) < size, np.arange(len(rows)) + 2, _OTHER)
@@ -480,7 +524,7 @@ def fit(training: DataFrame) -> LanguageModel:
 
         def sampled(batches):
             for batch in pieces(batches, 0):
-                made = [x.astype(np.int16).tobytes() for x in entries_of(batch.column(0).to_pylist(), held.value)]
+                made = [x.astype(np.int16).tobytes() for x in entries_of(batch.column(0), held.value)]
                 yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["x"])
 
         chosen = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(_RANGE)) < bound
@@ -492,10 +536,12 @@ def fit(training: DataFrame) -> LanguageModel:
     return model
 
 
-def entries_of(texts, model: LanguageModel):
-    """For each text: its words' vocabulary numbers."""
-    for _, at in numbered(texts, model):
-        yield np.where(at >= 0, model.entries[at], _OTHER).astype(np.int32) if len(model.entries) else np.zeros(len(at), np.int32)
+def entries_of(column, model: LanguageModel):
+    """For each text of an Arrow column: its words' vocabulary numbers."""
+    known = model.places.slice(0, int(np.count_nonzero(model.entries != _OTHER)))  # they are numbered from 2 on
+    for words, at in words_of(column):
+        numbers = places_of(words, known, _OTHER - 2) + 2
+        yield from (numbers[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
 
 
 def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
@@ -511,7 +557,7 @@ def _learn_from_all(texts: DataFrame, model: LanguageModel) -> None:
                 network.once(docs, SHARD_LANES, moments, lambda at: SHARD_RATE)
 
         for batch in pieces(batches, 0):
-            for x in entries_of(batch.column(0).to_pylist(), held.value):
+            for x in entries_of(batch.column(0), held.value):
                 docs.append(x)
                 size += len(x) + 1
                 if size >= SHARD_TOKENS:
@@ -539,34 +585,36 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches):
         m = held.value
-        base_log, within_log = m.base(m.hot), m.within(m.hot)
-        rows, numbers, tokens = [], [], 0
+        # one more place, the last: of words that aren't hot
+        base_log, entries = np.append(m.base(m.hot), 0), np.append(m.entries, _OTHER).astype(np.int32)
+        within_log = np.append(np.where(m.entries == _OTHER, m.within(m.hot), 0), 0)
+        parts, numbers, tokens = [], [], 0
 
         def out():
             with one_thread():
-                likely = m.network.score(numbers) + np.array([r[5] for r in rows]) if rows else np.zeros(0)
-            kinds = (pa.int64(), ids, pa.int64(), pa.int64(), pa.float64(), None, pa.list_(pa.string()))
-            columns = [pa.array(likely if k == 5 else [r[k] for r in rows], pa.float64() if k == 5 else t) for k, t in enumerate(kinds)]
-            return pa.RecordBatch.from_arrays(columns, names)
+                likely = m.network.score(numbers)
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            whole = whole.set_column(5, "likely", pa.array(likely + whole.column(5).to_numpy()))
+            return whole.to_batches()
 
-        ids = pa.int64()
         for batch in pieces(batches, 2):
-            ids = batch.column(1).type
-            head = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for (row, doc_id), (words, at) in zip(head, numbered(batch.column(2).to_pylist(), m), strict=True):
-                rare, there = np.flatnonzero(at < 0), at[at >= 0]
-                entry = m.entries[there] if len(there) else there
-                number = np.full(len(at), _OTHER, np.int32)
-                number[at >= 0] = entry
-                base = float(base_log[there].sum()) + float(m.base(m.end))
-                inner = float(within_log[there[entry == _OTHER]].sum())
-                rows.append((row, doc_id, len(words) + 1, len(there) + (m.end > 0), base, inner, [words[k].decode("utf-8", "surrogatepass") for k in rare]))
-                numbers.append(number)
-                tokens += len(words) + 1
+            first = 0
+            for words, at in words_of(batch.column(2)):
+                rows, place = len(at) - 1, places_of(words, m.places, -1)
+                of, rare, number = np.repeat(np.arange(rows), np.diff(at)), place < 0, entries[place]
+                base, inner = (np.bincount(of, x[place], rows) for x in (base_log, within_log))
+                left = np.bincount(of[rare], minlength=rows)
+                rest = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(left)), pa.int32()), words.filter(pa.array(rare)).cast(pa.binary()).cast(pa.string()))
+                counts = pa.array(np.diff(at) + 1), pa.array(np.diff(at) - left + (m.end > 0))
+                head = batch.slice(first, rows)
+                parts.append(pa.RecordBatch.from_arrays([head.column(0), head.column(1), *counts, pa.array(base + m.base(m.end)), pa.array(inner), rest], names))
+                numbers += [number[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+                first, tokens = first + rows, tokens + len(words) + rows
             if tokens >= SCORE_TOKENS:  # enough to fill the lanes
-                yield out()
-                rows, numbers, tokens = [], [], 0
-        yield out()
+                yield from out()
+                parts, numbers, tokens = [], [], 0
+        if parts:
+            yield from out()
 
     names = ["row", "doc_id", "n_tokens", "known", "base", "likely", "rest"]
     kind = dict(docs.dtypes)["doc_id"]

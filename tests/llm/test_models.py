@@ -447,3 +447,36 @@ def test_lm_softmax_at_any_size(scale):
         want = softmax(state @ p["c"] + p["cb"])[k] + softmax(p["o"][words] @ state + p["ob"][words])[target - words.start]
         assert abs(log - want) < 1e-4 * max(1, abs(want))
     assert net.log_probability(h[:0], y[:0])[0].shape == (0,)
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 22])
+def test_lm_words_of_a_column_are_those_of_split(size):
+    texts = ["A bC\nd", "", None, " é\x0bÉ\x0cx\x1cy ", "tail", "head tail", " \t\r\n", "　\x00a\x85b", "z"]
+    for column in (pa.array(texts), pa.array(["skipped", *texts]).slice(1), pa.array([None, "", " "]), pa.array([], pa.string())):
+        got = [w.to_pylist()[a:b] for w, at in lm.words_of(column, size) for a, b in zip(at[:-1], at[1:], strict=True)]
+        assert got == [(t or "").encode().lower().split() for t in column.to_pylist()]
+
+
+def test_lm_counts_in_parts(monkeypatch):
+    monkeypatch.setattr(lm, "_COUNTED", 5)
+    texts = ["b A a", None, "a é", "", "b " * 20, "É c"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 2])], ["text"]) for i in (0, 2, 4)]
+    found, made = Counter(), list(lm._count(iter(batches)))
+    for r in (r for b in made for r in b.to_pylist()):
+        found[r["word"]] += r["n"]
+    assert len(made) > 2 and found == {"a": 3, "b": 21, "é": 1, "É": 1, "c": 1, lm.END: 6}
+    assert not list(lm._count(iter([])))
+
+
+def test_lm_work_on_parameters_is_bounded(monkeypatch):
+    """Scoring prepares the parameters once, not for each window; a window of training looks up its own words only."""
+    net, calls = lm.WordNetwork(np.arange(3000, 0, -1)), []
+    for name in ("_table", "_near"):
+        plain = getattr(lm.WordNetwork, name)
+        monkeypatch.setattr(lm.WordNetwork, name, lambda self, *a, name=name, plain=plain: calls.append((name, *map(len, a))) or plain(self, *a))
+    docs = [np.random.default_rng(i).integers(0, 3000, 40_000).astype(np.int32) for i in range(2)]
+    net.score(docs)
+    assert sorted(calls) == [("_near",), ("_table",)] and net.near is None
+    calls.clear()
+    net.once([np.tile(np.arange(5, 15, dtype=np.int32), 30)], 4, net.moments(), lambda at: 0.001)
+    assert 10 <= max(c[1] for c in calls if c[0] == "_table") <= 11
